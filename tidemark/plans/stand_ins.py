@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.text import null_tokens
 from tidemark.operators.clean import Cleaned, clean_listings
 from tidemark.operators.normalize import Normalized, normalize_listings
+from tidemark.session import spread
 
 ORDER = ("partkey", "suppkey", "shipdate", "base_price")
 KEEP = ("orderkey", "linenumber", *ORDER, "file_quarter")
@@ -129,7 +130,9 @@ def tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame
 
 def raw_export(spark: SparkSession, folder: str) -> DataFrame:
     """Order lines as export text under messy headers."""
-    raw = spark.sql(RAW_EXPORT, **tables(spark, folder, "lineitem", "orders", "part"))
+    found = tables(spark, folder, "lineitem", "orders", "part")
+    found["lineitem"] = spread(found["lineitem"], "l_orderkey")
+    raw = spark.sql(RAW_EXPORT, **found)
     return raw.select(*KEEP, *[null_tokens(c).alias(h) for c, h in HEADERS.items()])
 
 

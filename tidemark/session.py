@@ -24,6 +24,7 @@ def build_session(cores: str = "*", app: str = "tidemark", **conf: str) -> Spark
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in conf.items():
@@ -70,3 +71,14 @@ def attach(
     if table.limit(max_rows + 1).count() <= max_rows:
         table = F.broadcast(table)
     return rows.join(table, keys, how)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a table that one file holds over the cores.
+
+    Tables with enough splits, as on a cluster, pass through unchanged.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
