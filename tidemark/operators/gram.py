@@ -21,8 +21,13 @@ MAX_COLUMNS = 1_000
 FAN_IN = 64
 
 
-def fold_arrays(partials: DataFrame, column: str = "m") -> np.ndarray | None:
-    """Sum arrays of equal length over all rows by way of ``FAN_IN`` tasks."""
+def fold_arrays(
+    partials: DataFrame, column: str = "m", parts: int | None = None
+) -> np.ndarray | None:
+    """Sum arrays of equal length over all rows by way of at most ``FAN_IN`` tasks.
+
+    With ``parts`` known to be at most that many, the rows come back directly.
+    """
 
     def add(batches):
         total = None
@@ -33,9 +38,11 @@ def fold_arrays(partials: DataFrame, column: str = "m") -> np.ndarray | None:
         if total is not None:
             yield pd.DataFrame({column: [total]})
 
-    rows = (
-        partials.select(column).repartition(FAN_IN).mapInPandas(add, f"{column} array<double>").collect()
-    )
+    partials = partials.select(column)
+    if parts is None or parts > FAN_IN:
+        tasks = min(FAN_IN, partials.sparkSession.sparkContext.defaultParallelism)
+        partials = partials.repartition(tasks).mapInPandas(add, f"{column} array<double>")
+    rows = partials.collect()
     return np.sum([np.asarray(r[column]) for r in rows], axis=0) if rows else None
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidemark.functions.text import null_tokens
 from tidemark.operators.clean import Cleaned, clean_listings
 from tidemark.operators.normalize import Normalized, normalize_listings
-from tidemark.session import spread
+from tidemark.session import settle, spread
 
 ORDER = ("partkey", "suppkey", "shipdate", "base_price")
 KEEP = ("orderkey", "linenumber", *ORDER, "file_quarter")
@@ -128,12 +128,22 @@ def tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
+_LANDED: dict[tuple[str, str], DataFrame] = {}
+
+
 def raw_export(spark: SparkSession, folder: str) -> DataFrame:
-    """Order lines as export text under messy headers."""
-    found = tables(spark, folder, "lineitem", "orders", "part")
-    found["lineitem"] = spread(found["lineitem"], "l_orderkey")
-    raw = spark.sql(RAW_EXPORT, **found)
-    return raw.select(*KEEP, *[null_tokens(c).alias(h) for c, h in HEADERS.items()])
+    """Order lines as export text under messy headers.
+
+    An export is a file; this one is written down once per session and folder.
+    """
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LANDED:
+        found = tables(spark, folder, "lineitem", "orders", "part")
+        found["lineitem"] = spread(found["lineitem"], "l_orderkey")
+        raw = spark.sql(RAW_EXPORT, **found)
+        raw = raw.select(*KEEP, *[null_tokens(c).alias(h) for c, h in HEADERS.items()])
+        _LANDED[key] = settle(raw)
+    return _LANDED[key]
 
 
 def zip_lookup(spark: SparkSession, folder: str) -> DataFrame:
