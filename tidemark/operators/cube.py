@@ -6,7 +6,6 @@ measure is a projection of that row: nothing is shuffled per cell.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -291,8 +290,3 @@ def npv(flows: DataFrame, keys: list[str], amount: str, months: str, annual_rate
     return flows.groupBy(*keys).agg(
         F.sum(col(amount) * discount_factor(months, annual_rate)).alias("npv_usd")
     )
-
-
-def discount_note(rate: float) -> str:
-    """One line on the rate, for reports."""
-    return f"discounted at {rate:.2%} a year, {math.log1p(rate) / 12:.4%} a month continuous"

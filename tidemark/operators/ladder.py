@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.errors import SchemaError
-from tidemark.functions.common import all_of, col, finite, first_match
+from tidemark.functions.common import col, finite, first_match
 from tidemark.operators.design import Design
 
 # Levels, margin over cost, narrowest band in dollars.
@@ -129,8 +129,3 @@ def unmatched_units(ladder: DataFrame, units: DataFrame, keys: list[str]) -> Dat
 def uncovered_submarkets(units: DataFrame, comps: DataFrame) -> DataFrame:
     """Submarkets of the inventory without a comparable median."""
     return units.select("submarket").distinct().join(comps.select("submarket"), "submarket", "left_anti")
-
-
-def complete(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows with every named column present."""
-    return df.where(all_of(F.col(c).isNotNull() for c in columns))

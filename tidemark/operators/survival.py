@@ -405,3 +405,50 @@ def _building_notes(design: Design, used: bool, min_level: int) -> list[str]:
 def with_candidate_price(df: DataFrame, price, reference: str = "cell_median_ppsf") -> DataFrame:
     """Put a candidate price in place of the listing's own premium."""
     return df.withColumn(PRICE, relative_premium(price, reference))
+
+
+def day_residuals(df: DataFrame, cox: CoxFit, duration: str = DURATION, event: str = EVENT) -> DataFrame:
+    """``(name, statistic, p_value)`` of the correlation of scaled residuals with ranked time.
+
+    Per event day, the residual sum is the covariates of its events minus their
+    risk-set mean; everything beyond the per-day sums is a few thousand numbers.
+    """
+    from tidemark.functions.distributions import chi_square_p
+
+    design = cox.fit.design
+    flag = col(event).cast("double")
+    usable = df.where((col(duration) > 0) & flag.isin(0.0, 1.0))
+    columns = design.expressions()
+    encoded = usable.select(
+        col(duration).alias(duration), flag.alias(event), *[e.alias(n) for n, e in columns.items()]
+    ).na.drop(subset=list(columns))
+    rows = prepare_rows(encoded, design, 0, duration, event)
+    scale = np.array([design.scale[n] for n in design.names])
+    sums = rows.day_sums(cox.fit.values * scale)
+    x = _event_sums(rows)
+    s0, s1 = _suffix(sums["s0"]), _suffix(sums["s1"])
+    deaths = sums["events"]
+    at = deaths > 0
+    mean = s1[at] / s0[at][:, None]
+    residual = np.array([x[d] for d in sums["day"][at]]) - deaths[at][:, None] * mean
+    # Average rank of the tied event times.
+    upto = np.cumsum(deaths[at])
+    rank = upto - (deaths[at] - 1) / 2
+    total = deaths[at].sum()
+    centre = rank - (deaths[at] @ rank) / total
+    variance = cox.fit.covariance * np.outer(scale, scale)
+    scaled = total * residual @ variance
+    top = (centre @ scaled) ** 2
+    bottom = total * np.diag(variance) * (deaths[at] @ centre**2)
+    statistic = top / bottom
+    return df.sparkSession.createDataFrame(
+        [(n, float(s), chi_square_p(float(s), 1)) for n, s in zip(design.names, statistic)],
+        "name string, statistic double, p_value double",
+    )
+
+
+def _event_sums(rows: _Rows) -> dict[float, np.ndarray]:
+    """Sum of the covariates of the events of each day."""
+    names = [f"x{i}" for i in range(rows.p)]
+    table = rows.frame.where(F.col("e") == 1).groupBy("t").agg(*[F.sum(n).alias(n) for n in names])
+    return {r["t"]: np.array([r[n] for n in names]) for r in table.limit(MAX_DAYS).collect()}
