@@ -10,7 +10,9 @@ from tidemark.functions.common import col, finite, tally
 from tidemark.functions.dates import minus_days, quarter_key, whole_days
 from tidemark.functions.distributions import chi_square_p, t_p
 from tidemark.operators.features import cell_sizes
-from tidemark.operators.quantiles import grouped_quantiles, weighted_quantiles
+from tidemark.operators.quantiles import (
+    MAX_GROUP, grouped_middle, grouped_quantiles, weighted_quantiles,
+)
 from tidemark.session import attach
 
 CELL_SIZES = (1, 2, 4, 8, 16, 32)
@@ -52,14 +54,15 @@ def median_noise(df: DataFrame, keys: list[str], value: str, premium: str, least
     )
 
 
-def leave_one_out_median(df: DataFrame, keys: list[str], value: str, least: int = 8) -> DataFrame:
+def leave_one_out_median(
+    df: DataFrame, keys: list[str], value: str, least: int = 8, max_group: int = MAX_GROUP
+) -> DataFrame:
     """Median of a cell without the row itself, as ``loo_median``.
 
     Leaving one value out moves the median to a neighbouring rank, so three
-    order statistics per cell answer every row: no self-join, no window over a
-    cell.  Cells under ``least`` rows have none.
+    order statistics per cell answer every row, without a self-join.  Cells under ``least`` rows have none.
     """
-    middle = grouped_ranks(df, keys, value)
+    middle = grouped_middle(df, keys, value, max_group)
     middle = middle.where(F.col("_n") >= least)
     joined = attach(df, middle, keys)
     v, lo, mid, hi = F.col(value), F.col("_lo"), F.col("_mid"), F.col("_hi")
@@ -69,30 +72,6 @@ def leave_one_out_median(df: DataFrame, keys: list[str], value: str, least: int
     return joined.withColumn("loo_median", loo).drop("_lo", "_mid", "_hi", "_n")
 
 
-def grouped_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Middle value and its two neighbours per cell (the two middle ones when even).
-
-    Distinct values are counted before the ranking, and cells are thin by
-    nature; the running count is per cell.
-    """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
-    cell = Window.partitionBy(*keys)
-    order = cell.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumns({"_upto": F.sum("_c").over(order), "_n": F.sum("_c").over(cell)})
-    upto, n = F.col("_upto"), F.col("_n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((upto >= rank) & (upto - F.col("_c") < rank), F.col(value)))
-
-    half = F.floor(n / 2)
-    is_odd = n % 2 == 1
-    return ranked.groupBy(*keys, "_n").agg(
-        at(half).alias("_lo"),
-        at(half + 1).alias("_mid"),
-        at(F.when(is_odd, half + 2).otherwise(half + 1)).alias("_hi"),
-    )
-
-
 def inclusive_vs_left_out(df: DataFrame, premium: str, left_out: str) -> DataFrame:
     """Bias, deviation and correlation of two versions of the premium."""
     both = df.where(finite(premium).isNotNull() & finite(left_out).isNotNull())

@@ -71,14 +71,12 @@ def _direct(rows: DataFrame, keys: list[str], probabilities: dict[str, float], c
     )
 
 
-def _bracketed(
-    rows: DataFrame,
-    keys: list[str],
-    sizes: DataFrame,
-    probabilities: dict[str, float],
-    count_as: str,
-) -> DataFrame:
-    """Order statistics of large groups by sketch, count and rank."""
+def _bracket_counts(rows: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+    """Running counts around each wanted rank: ``(keys, name, rank, position, _v, c, upto)``.
+
+    The first row of each name has a null value and stands for all rows below
+    the bracket.
+    """
     names = list(probabilities)
     lows = [max(0.0, p - BRACKET) for p in probabilities.values()]
     highs = [min(1.0, p + BRACKET) for p in probabilities.values()]
@@ -134,19 +132,37 @@ def _bracketed(
         )
     )
     counted = placed.groupBy(*keys, "name", "rank", "position", "_v").agg(F.count("*").alias("c"))
+    return _running(counted, [*keys, "name"], "_v")
+
+
+def _running(counted: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Add ``upto``, the running count over distinct values, nulls first."""
     order = (
-        Window.partitionBy(*keys, "name")
-        .orderBy(F.col("_v").asc_nulls_first())
+        Window.partitionBy(*keys)
+        .orderBy(F.col(value).asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    ranked = counted.withColumn("upto", F.sum("c").over(order))
+    return counted.withColumn("upto", F.sum("c").over(order))
 
-    def at(rank: Column) -> Column:
-        inside = (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
-        return F.max(F.when(inside, F.col("_v")))
 
+def _at(rank: Column) -> Column:
+    """Value at a zero-based rank of a running count."""
+    inside = (F.col("upto") > rank) & (F.col("upto") - F.col("c") <= rank)
+    return F.max(F.when(inside, F.col("_v")))
+
+
+def _bracketed(
+    rows: DataFrame,
+    keys: list[str],
+    sizes: DataFrame,
+    probabilities: dict[str, float],
+    count_as: str,
+) -> DataFrame:
+    """Order statistics of large groups by sketch, count and rank."""
+    names = list(probabilities)
+    ranked = _bracket_counts(rows, keys, probabilities)
     picked = ranked.groupBy(*keys, "name", "rank", "position").agg(
-        at(F.col("rank")).alias("lower"), at(F.col("rank") + 1).alias("upper")
+        _at(F.col("rank")).alias("lower"), _at(F.col("rank") + 1).alias("upper")
     )
     share = F.col("position") - F.col("rank")
     result = picked.withColumn(
@@ -162,6 +178,33 @@ def _bracketed(
     return wide.withColumn(count_as, F.lit(total))
 
 
+def grouped_middle(
+    df: DataFrame, keys: list[str], value: str, max_group: int = MAX_GROUP
+) -> DataFrame:
+    """``(keys, _n, _lo, _mid, _hi)``: the middle value of each group and its neighbours.
+
+    With an even count ``_lo`` and ``_hi`` are the two middle values.
+    """
+    rows = df.select(*keys, finite(value).alias("_v")).where(F.col("_v").isNotNull())
+    sizes = settle(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
+    half = F.floor(F.col("_n") / 2)
+    ranks = {"_lo": half - 1, "_mid": half, "_hi": F.when(F.col("_n") % 2 == 1, half + 1).otherwise(half)}
+
+    def pick(ranked: DataFrame) -> DataFrame:
+        joined = attach(ranked, sizes, keys, "inner")
+        return joined.groupBy(*keys, "_n").agg(*[_at(rank).alias(name) for name, rank in ranks.items()])
+
+    large = sizes.where(F.col("_n") > max_group)
+    if not large.limit(1).count():
+        counted = rows.groupBy(*keys, "_v").agg(F.count("*").alias("c"))
+        return pick(_running(counted, keys, "_v"))
+    tagged = attach(rows, large.select(*keys, F.lit(True).alias("_large")), keys)
+    small = tagged.where(F.col("_large").isNull()).groupBy(*keys, "_v").agg(F.count("*").alias("c"))
+    big = tagged.where(F.col("_large").isNotNull()).drop("_large")
+    around = _bracket_counts(big, keys, {"middle": 0.5}).drop("name", "rank", "position")
+    return pick(_running(small, keys, "_v")).unionByName(pick(around))
+
+
 def grouped_median(
     df: DataFrame,
     keys: list[str],
