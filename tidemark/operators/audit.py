@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.common import col, finite, tally
 from tidemark.functions.dates import minus_days, quarter_key, whole_days
 from tidemark.functions.distributions import chi_square_p, t_p
+from tidemark.operators.concordance import ROWS_PER_BIN, cut_points, with_bin
 from tidemark.operators.features import cell_sizes
 from tidemark.operators.quantiles import (
     MAX_GROUP, grouped_middle, grouped_quantiles, weighted_quantiles,
@@ -131,7 +132,9 @@ def welch(df: DataFrame, group: Column, value: str) -> DataFrame:
     )
 
 
-def kolmogorov_smirnov(df: DataFrame, group: Column, value: str, bins: int = 1_000) -> DataFrame:
+def kolmogorov_smirnov(
+    df: DataFrame, group: Column, value: str, rows_per_bin: int = ROWS_PER_BIN
+) -> DataFrame:
     """Largest gap between the distributions of a group and the rest, exactly.
 
     Values are counted first, then cut at sketched quantiles; running counts
@@ -140,15 +143,10 @@ def kolmogorov_smirnov(df: DataFrame, group: Column, value: str, bins: int = 1_0
     rows = df.select(finite(value).alias("v"), F.coalesce(group, F.lit(False)).alias("g"))
     rows = rows.where(F.col("v").isNotNull())
     counts = rows.groupBy("v").agg(tally(F.col("g")).alias("a"), tally(~F.col("g")).alias("b"))
-    shares = [i / bins for i in range(1, bins)]
-    found = rows.agg(F.percentile_approx("v", shares, 10 * bins)).first()[0] or []
-    edges = sorted(set(found))
-    # Position among the edges, by a sorted array kept in the plan as a literal.
-    points = F.array(*[F.lit(float(e)) for e in edges]) if edges else F.array(F.lit(0.0))
-    place = F.size(F.filter(points, lambda e: e < F.col("v"))) if edges else F.lit(0)
-    cut = counts.withColumn("bin", place)
+    edges = cut_points(rows, "v", rows_per_bin)
+    cut = with_bin(counts, "v", edges)
     totals = cut.groupBy("bin").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    # At most `bins` rows.
+    # One row per bin.
     table = totals.orderBy("bin").collect()
     offsets, sa, sb = [], 0, 0
     for r in table:

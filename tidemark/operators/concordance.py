@@ -58,6 +58,30 @@ def pair_counts(score, day, event, count) -> tuple[float, float, float]:
     return tuple(totals)
 
 
+def cut_points(rows: DataFrame, value: str, rows_per_bin: int) -> list[float]:
+    """Sketched quantiles that cut a column into bins of about this many rows."""
+    total = rows.count()
+    bins = int(min(MAX_BINS, max(1, total // rows_per_bin)))
+    if bins == 1:
+        return []
+    shares = [i / bins for i in range(1, bins)]
+    return sorted(set(rows.agg(F.percentile_approx(value, shares, 10 * bins)).first()[0]))
+
+
+def with_bin(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
+    """Add the bin of a value: the number of edges below it."""
+    if not edges:
+        return df.withColumn("bin", F.lit(0))
+    points = np.asarray(edges)
+
+    def place(batches):
+        for batch in batches:
+            at = np.searchsorted(points, batch[value].to_numpy(), side="left")
+            yield batch.assign(bin=at.astype("int32"))
+
+    return df.mapInPandas(place, df.withColumn("bin", F.lit(0)).schema)
+
+
 def concordance(df: DataFrame, score: str | Column, duration: str, event: str) -> dict[str, float]:
     """Counts of comparable pairs and their concordant share, ties counted half.
 
@@ -69,24 +93,13 @@ def concordance(df: DataFrame, score: str | Column, duration: str, event: str) -
         col(event).cast("int").alias("event"),
     ).where(F.col("score").isNotNull() & (F.col("day") > 0) & F.col("event").isin(0, 1))
     merged = rows.groupBy("score", "day", "event").agg(F.count("*").alias("count"))
-    total = rows.count()
-    bins = int(min(MAX_BINS, max(1, total // ROWS_PER_BIN)))
-    edges: list[float] = []
-    if bins > 1:
-        shares = [i / bins for i in range(1, bins)]
-        found = rows.agg(F.percentile_approx("score", shares, 10 * bins)).first()[0]
-        edges = sorted(set(found))
-
-    def cut(batches):
-        for batch in batches:
-            at = np.searchsorted(np.asarray(edges), batch["score"].to_numpy(), side="left")
-            yield batch.assign(bin=at.astype("int32"))
+    edges = cut_points(rows, "score", ROWS_PER_BIN)
+    binned = with_bin(merged, "score", edges)
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         found = pair_counts(pdf["score"], pdf["day"], pdf["event"], pdf["count"])
         return pd.DataFrame({"c": [found[0]], "d": [found[1]], "t": [found[2]]})
 
-    binned = merged.mapInPandas(cut, "score double, day double, event int, count bigint, bin int")
     # One row per bin comes back.
     within = binned.groupBy("bin").applyInPandas(inside, "c double, d double, t double")
     c, d, t = (float(v or 0) for v in within.agg(F.sum("c"), F.sum("d"), F.sum("t")).first())

@@ -13,7 +13,7 @@ from tidemark.functions.finance import safe_ratio
 from tidemark.functions.floors import floor_band
 from tidemark.functions.text import strip
 from tidemark.operators.quantiles import grouped_median, grouped_quantiles, right_closed_bucket
-from tidemark.session import attach, settle
+from tidemark.session import attach, land
 
 # The covariates whose nulls decide the usable sample.
 COVARIATES = (
@@ -281,7 +281,7 @@ def build_features(
     model = None
     if hedonic:
         # Scanned by every fit that follows.
-        frame = settle(frame)
+        frame = land(frame, "features")
         tokens = [n for v in vocabularies.values() for n in v.names]
         try:
             model = fit_premium(frame, tokens=tokens)

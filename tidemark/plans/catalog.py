@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import check_normalize
+from tidemark.plans import check_features, check_normalize
 
-PARTS = (check_normalize,)
+PARTS = (check_normalize, check_features)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,12 +7,14 @@ twice and separately: by this library, and by the SQL of the catalog.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.functions.text import null_tokens
 from tidemark.operators.clean import Cleaned, clean_listings
 from tidemark.operators.normalize import Normalized, normalize_listings
-from tidemark.session import settle, spread
+from tidemark.session import land, spread
 
 ORDER = ("partkey", "suppkey", "shipdate", "base_price")
 KEEP = ("orderkey", "linenumber", *ORDER, "file_quarter")
@@ -128,7 +130,15 @@ def tables(spark: SparkSession, folder: str, *names: str) -> dict[str, DataFrame
     return {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in names}
 
 
-_LANDED: dict[tuple[str, str], DataFrame] = {}
+_LANDED: dict[tuple, object] = {}
+
+
+def _once(spark: SparkSession, build: Callable[[], object], *key: str):
+    """Build a landed table once per session."""
+    full = (spark.sparkContext.applicationId, *key)
+    if full not in _LANDED:
+        _LANDED[full] = build()
+    return _LANDED[full]
 
 
 def raw_export(spark: SparkSession, folder: str) -> DataFrame:
@@ -136,14 +146,16 @@ def raw_export(spark: SparkSession, folder: str) -> DataFrame:
 
     An export is a file; this one is written down once per session and folder.
     """
-    key = (spark.sparkContext.applicationId, folder)
-    if key not in _LANDED:
+
+    def build() -> DataFrame:
         found = tables(spark, folder, "lineitem", "orders", "part")
         found["lineitem"] = spread(found["lineitem"], "l_orderkey")
         raw = spark.sql(RAW_EXPORT, **found)
-        raw = raw.select(*KEEP, *[null_tokens(c).alias(h) for c, h in HEADERS.items()])
-        _LANDED[key] = settle(raw)
-    return _LANDED[key]
+        raw = raw.select(*KEEP, *[null_tokens(c).alias(c) for c in HEADERS])
+        return land(raw, "export")
+
+    landed = _once(spark, build, "export", folder)
+    return landed.select(*KEEP, *[F.col(c).alias(h) for c, h in HEADERS.items()])
 
 
 def zip_lookup(spark: SparkSession, folder: str) -> DataFrame:
@@ -157,19 +169,29 @@ def zip_lookup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def normalized(spark: SparkSession, folder: str, cancelled: str = "censored") -> Normalized:
-    """Typed listings of the stand-in export."""
-    return normalize_listings(
-        raw_export(spark, folder), zip_lookup(spark, folder), cancelled,
-        quarter="file_quarter", keep=KEEP,
-    )
+    """Typed listings of the stand-in export, landed once."""
+
+    def build() -> Normalized:
+        result = normalize_listings(
+            raw_export(spark, folder), zip_lookup(spark, folder), cancelled,
+            quarter="file_quarter", keep=KEEP,
+        )
+        return Normalized(land(result.frame, "listings"), result.headers, result.snapshot)
+
+    return _once(spark, build, "listings", folder, cancelled)
 
 
 def cleaned(spark: SparkSession, folder: str, cancelled: str = "censored") -> Cleaned:
-    """Cleaned listings of the stand-in export."""
-    return clean_listings(
-        normalized(spark, folder, cancelled).frame, list(ORDER),
-        EXCLUDED_SALES, ALLOWED_PROPERTIES, MIN_PRICE,
-    )
+    """Cleaned listings of the stand-in export, landed once."""
+
+    def build() -> Cleaned:
+        result = clean_listings(
+            normalized(spark, folder, cancelled).frame, list(ORDER),
+            EXCLUDED_SALES, ALLOWED_PROPERTIES, MIN_PRICE,
+        )
+        return Cleaned(land(result.frame, "cleaned"), result.judged, result.waterfall)
+
+    return _once(spark, build, "cleaned", folder, cancelled)
 
 
 # --------------------------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -55,6 +56,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def land(df: DataFrame, name: str) -> DataFrame:
+    """Write a wide table once as parquet beside the checkpoints and read it back.
+
+    Text is parsed once, later steps prune columns and push filters down.
+    """
+    folder = checkpoint_folder(df.sparkSession)
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def attach(
     rows: DataFrame,
     table: DataFrame,
