@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import check_features, check_normalize
+from tidemark.plans import check_features, check_normalize, check_plans
 
-PARTS = (check_normalize, check_features)
+PARTS = (check_normalize, check_features, check_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

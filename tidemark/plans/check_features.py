@@ -93,7 +93,7 @@ def ft_decile_bucket(spark, folder):
     edges = sorted(set(grouped_quantiles(rows, [], "l_extendedprice", wanted).first()))
     bucket = right_closed_bucket("l_extendedprice", edges)
     return rows.groupBy(bucket.alias("decile")).agg(
-        F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 4).alias("mean_price")
+        F.count("*").alias("n"), F.round(F.avg("l_extendedprice"), 2).alias("mean_price")
     )
 
 
@@ -101,7 +101,7 @@ QUERIES["ft_decile_bucket"] = ft_decile_bucket
 SQL["ft_decile_bucket"] = f"""WITH {LINES},
 e AS (SELECT quantile_cont(l_extendedprice, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) AS q FROM lines)
 SELECT CAST(1 + len(list_filter(q, lambda x: x < l_extendedprice)) AS INTEGER) AS decile, count(*) AS n,
-  round(avg(l_extendedprice), 4) AS mean_price FROM lines, e GROUP BY 1"""
+  round(avg(l_extendedprice), 2) AS mean_price FROM lines, e GROUP BY 1"""
 
 
 def ft_tokens(spark, folder):
