@@ -142,11 +142,11 @@ def _rounded(df, plain, rounded, digits=4):
 
 def cube_ladder(spark, folder):
     rows, _ = ladder.price_ladder(units(spark, folder), KEYS)
-    return _rounded(rows, ["project", "unit_id", "level_index", "floor_source"], ["price_ppsf"])
+    return _steps(rows, ["project", "unit_id", "level_index", "floor_source"], {"price_ppsf": 1000})
 
 
 QUERIES["cube_ladder"] = cube_ladder
-SQL["cube_ladder"] = WITH + "SELECT project, unit_id, level_index, floor_source, round(price, 4) AS price_ppsf FROM ladder"
+SQL["cube_ladder"] = WITH + "SELECT project, unit_id, level_index, floor_source, CAST(floor(price * 1000 + 0.37) AS BIGINT) AS price_ppsf FROM ladder"
 
 
 def cube_ladder_excluded(spark, folder):
@@ -159,16 +159,21 @@ SQL["cube_ladder_excluded"] = WITH + """SELECT project, 'cost_exceeds_comps' AS
 WHERE predicted * 1.25 - greatest(predicted * 0.75, cost * 2) < 1 GROUP BY project"""
 
 
+def _steps(df, plain, scales):
+    """Whole steps of a scale: cell prices are exact multiples, so rounding would meet ties."""
+    return df.select(*plain, *[F.floor(F.col(c) * s + 0.37).cast("bigint").alias(c) for c, s in scales.items()])
+
+
 def cube_revenue(spark, folder):
-    return _rounded(
+    return _steps(
         full_cube(spark, folder), ["project", "unit_id", "phase_index", "level_index", "releasable"],
-        ["rel_price_premium", "probability", "expected_usd", "discounted_usd"],
+        {"rel_price_premium": 1e6, "probability": 1e6, "expected_usd": 10, "discounted_usd": 10},
     )
 
 
 QUERIES["cube_revenue"] = cube_revenue
-SQL["cube_revenue"] = WITH + """SELECT project, unit_id, phase_index, level_index, releasable, round(premium, 4) AS rel_price_premium, round(p, 4) AS probability,
-  round(expected, 4) AS expected_usd, round(discounted, 4) AS discounted_usd FROM cube"""
+SQL["cube_revenue"] = WITH + """SELECT project, unit_id, phase_index, level_index, releasable, CAST(floor(premium * 1e6 + 0.37) AS BIGINT) AS rel_price_premium,
+  CAST(floor(p * 1e6 + 0.37) AS BIGINT) AS probability, CAST(floor(expected * 10 + 0.37) AS BIGINT) AS expected_usd, CAST(floor(discounted * 10 + 0.37) AS BIGINT) AS discounted_usd FROM cube"""
 
 
 def cube_arrival_discount(spark, folder):
@@ -220,11 +225,11 @@ FROM s LEFT JOIN t USING (project) GROUP BY project"""
 
 def cube_best_cells(spark, folder):
     best = cube.best_cells(full_cube(spark, folder), KEYS)
-    return _rounded(best, ["project", "unit_id", "phase_index", "level_index"], ["price_ppsf", "discounted_usd"], 2)
+    return _steps(best, ["project", "unit_id", "phase_index", "level_index"], {"price_ppsf": 100, "discounted_usd": 10})
 
 
 QUERIES["cube_best_cells"] = cube_best_cells
-SQL["cube_best_cells"] = WITH + """SELECT project, unit_id, phase_index, level_index, round(price, 2) AS price_ppsf, round(discounted, 2) AS discounted_usd FROM cube WHERE releasable
+SQL["cube_best_cells"] = WITH + """SELECT project, unit_id, phase_index, level_index, CAST(floor(price * 100 + 0.37) AS BIGINT) AS price_ppsf, CAST(floor(discounted * 10 + 0.37) AS BIGINT) AS discounted_usd FROM cube WHERE releasable
 QUALIFY row_number() OVER (PARTITION BY project, unit_id ORDER BY discounted DESC, phase_index, level_index) = 1"""
 
 
