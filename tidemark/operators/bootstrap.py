@@ -94,10 +94,9 @@ def bootstrap_price(
     failures = 0
     for r in range(replicates):
         try:
-            weighted = rows.select(
-                F.log(col(price)).alias("_y"), F.col("w")[r].alias("_w"),
-                *[e.alias(n) for n, e in surface.expressions().items()],
-            ).where(F.col("_w") > 0)
+            weighted = surface.encoded(
+                rows.where(F.col("w")[r] > 0), F.log(col(price)).alias("_y"), F.col("w")[r].alias("_w")
+            )
             moments = gram(weighted, [*surface.names, "_y"], "_w")
             fit = least_squares(moments, "_y", _varying(moments, surface.names))
             fitted = linear_predictor(surface, dict(zip(fit.names, fit.values.tolist())))

@@ -13,6 +13,7 @@ from tidemark.operators.gram import MAX_COLUMNS, Gram, dependent_columns, gram
 # Pooled level, level for a missing value, least rows per level.
 RARE = "__rare__"
 MISSING = "__missing__"
+LEVEL = "_level_"
 MIN_LEVEL = 5
 MIN_LEVEL_HEDONIC = 20
 
@@ -79,7 +80,18 @@ class Design:
     def sources(self) -> list[str]:
         return list(dict.fromkeys(t.source for t in self.terms))
 
-    def expressions(self, present: list[str] | None = None) -> dict[str, Column]:
+    def encoded(self, df: DataFrame, *extra) -> DataFrame:
+        """The raw design columns of a frame after the ``extra`` ones.
+
+        The level of a row is found once per category, then compared.
+        """
+        levels = {LEVEL + s: c.value() for s, c in self.categories.items()}
+        columns = [e.alias(n) for n, e in self.expressions(staged=True).items()]
+        return df.withColumns(levels).select(*extra, *columns)
+
+    def expressions(
+        self, present: list[str] | None = None, staged: bool = False
+    ) -> dict[str, Column]:
         """The raw design columns of a frame; an absent 0/1 column is zero."""
         result: dict[str, Column] = {}
         for term in self.terms:
@@ -88,7 +100,7 @@ class Design:
                     raise SchemaError(f"scoring frame misses the fitted column {term.source!r}")
                 result[term.name] = F.lit(0.0)
             elif term.level is not None:
-                value = self.categories[term.source].value()
+                value = F.col(LEVEL + term.source) if staged else self.categories[term.source].value()
                 result[term.name] = (value == term.level).cast("double")
             elif term.is_missing_mark:
                 result[term.name] = F.col(term.source).cast("double").isNull().cast("double")
@@ -203,13 +215,12 @@ def learn_design(
             design.notes.append(f"{source}: pooled {found[source].pooled} rare levels")
     binary = {c for i, c in enumerate(numeric) if counts[f"other_{i}"] == 0}
     _settle_columns(design, rows, extra, binary)
-    encoded = rows.select(*extra, *[e.alias(n) for n, e in design.expressions().items()])
-    return design, encoded
+    return design, design.encoded(rows, *extra)
 
 
 def _settle_columns(design: Design, rows: DataFrame, extra: list[str], binary: set[str]) -> None:
     """Drop constant and dependent columns by one Gram pass; fill scales and means."""
-    encoded = rows.select(*[e.alias(n) for n, e in design.expressions().items()])
+    encoded = design.encoded(rows)
     moments = gram(encoded, design.names)
     flat = [n for n, d in zip(moments.columns, moments.deviations) if d == 0.0]
     moments = moments.pick([n for n in moments.columns if n not in flat])

@@ -120,9 +120,7 @@ def fit_premium(
     if n < MIN_LISTINGS:
         raise SchemaError(f"the list-price surface needs {MIN_LISTINGS} priced rows, found {n}")
     design = learn_filled_design(df, numeric, tokens, categorical)
-    rows = usable.select(
-        F.log(col(price)).alias("_y"), *[e.alias(k) for k, e in design.expressions().items()]
-    )
+    rows = design.encoded(usable, F.log(col(price)).alias("_y"))
     return PremiumModel(least_squares_fit("list_hedonic", rows, design, "_y"))
 
 

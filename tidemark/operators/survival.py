@@ -418,10 +418,8 @@ def day_residuals(df: DataFrame, cox: CoxFit, duration: str = DURATION, event: s
     design = cox.fit.design
     flag = col(event).cast("double")
     usable = df.where((col(duration) > 0) & flag.isin(0.0, 1.0))
-    columns = design.expressions()
-    encoded = usable.select(
-        col(duration).alias(duration), flag.alias(event), *[e.alias(n) for n, e in columns.items()]
-    ).na.drop(subset=list(columns))
+    encoded = design.encoded(usable, col(duration).alias(duration), flag.alias(event))
+    encoded = encoded.na.drop(subset=[f"`{n}`" for n in design.names])
     rows = prepare_rows(encoded, design, 0, duration, event)
     scale = np.array([design.scale[n] for n in design.names])
     sums = rows.day_sums(cox.fit.values * scale)

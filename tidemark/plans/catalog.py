@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import check_features, check_normalize, check_plans
+from tidemark.plans import check_features, check_models, check_normalize, check_plans
 
-PARTS = (check_normalize, check_features, check_plans)
+PARTS = (check_normalize, check_features, check_models, check_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

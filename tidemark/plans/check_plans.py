@@ -576,7 +576,7 @@ def scn_breaches(spark, folder):
     found = scenario.phase_breaches(by_phase, floors, KEYS)
     return _rounded(
         found, ["project", "phase_index", "is_alarming"],
-        ["floor_usd", "expected_usd", "p5_usd", "breach_probability", "buffered_floor_usd"], 1,
+        ["floor_usd", "expected_usd", "p5_usd", "breach_probability", "buffered_floor_usd"], -1,
     )
 
 
@@ -584,8 +584,8 @@ QUERIES["scn_breaches"] = scn_breaches
 SQL["scn_breaches"] = WITH_DRAWS + """, r AS (SELECT project, phase_index, draw_id, sum(CASE WHEN u < q THEN gross ELSE 0 END) AS rn FROM pairs GROUP BY ALL),
 s AS (SELECT p.project, p.phase_index, any_value(cash) * 5 AS f, coalesce(avg(rn), 0) AS e, coalesce(quantile_cont(rn, 0.05), 0) AS p5, coalesce(avg(CAST(rn < cash * 5 AS INT)), 1) AS br
   FROM phases p LEFT JOIN r USING (project, phase_index) GROUP BY 1, 2)
-SELECT project, phase_index, br > 0.05 AS is_alarming, round(f, 1) AS floor_usd, round(e, 1) AS expected_usd, round(p5, 1) AS p5_usd, round(br, 1) AS breach_probability,
-  round(CASE WHEN p5 > 0 AND p5 < f THEN f * f / p5 END, 1) AS buffered_floor_usd FROM s"""
+SELECT project, phase_index, br > 0.05 AS is_alarming, round(f, -1) AS floor_usd, round(e, -1) AS expected_usd, round(p5, -1) AS p5_usd, round(br, -1) AS breach_probability,
+  round(CASE WHEN p5 > 0 AND p5 < f THEN f * f / p5 END, -1) AS buffered_floor_usd FROM s"""
 
 
 def scn_uplift(spark, folder):
