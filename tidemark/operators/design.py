@@ -285,7 +285,7 @@ def linear_predictor(
     A category is one map lookup, not one comparison per level.
     """
     total = F.lit(float(coefficients.get("const", 0.0)))
-    plain = design.expressions(present)
+    plain = design.expressions(present, staged=True)
     by_source: dict[str, dict[str, float]] = {}
     for term in design.terms:
         if term.name not in coefficients:

@@ -138,7 +138,15 @@ def score_premium(df: DataFrame, model: PremiumModel | None, price: str = "list_
                 "rel_price_premium_spec": F.lit("cell_median"),
             }
         )
-    df = df.withColumns(model.columns(price))
+    usable = col(price) > 0
+    df = df.withColumn("_fitted", linear_predictor(model.fit.design, model.fit.lookup))
+    df = df.withColumns(
+        {
+            "hedonic_price_premium": F.when(usable, F.log(col(price)) - F.col("_fitted")),
+            "hedonic_reference_ppsf": F.when(usable, F.exp("_fitted")),
+            "hedonic_price_premium_source": F.when(usable, "hedonic_residual").otherwise("missing"),
+        }
+    ).drop("_fitted")
     ratio = F.expm1("hedonic_price_premium")
     known = ratio.isNotNull() & F.col("hedonic_reference_ppsf").isNotNull()
     return df.withColumns(
