@@ -8,7 +8,7 @@ from tidemark.operators import audit, concordance, sampling
 from tidemark.operators.quantiles import grouped_middle, grouped_quantiles
 
 
-def skewed(spark, n=20_000, seed=3):
+def skewed(spark, n=60_000, seed=3):
     rng = np.random.default_rng(seed)
     key = np.where(rng.random(n) < 0.8, "hot", rng.choice(["a", "b", "c"], n))
     value = np.where(rng.random(n) < 0.3, 5.0, rng.lognormal(size=n).round(4))
@@ -29,7 +29,7 @@ def test_quantiles_of_a_hot_group(spark):
 
 
 def test_middle_of_a_hot_group(spark):
-    frame, pdf = skewed(spark, 9_001)
+    frame, pdf = skewed(spark, 40_001)
     a = sorted(map(tuple, grouped_middle(frame, ["k"], "v").collect()))
     b = sorted(map(tuple, grouped_middle(frame, ["k"], "v", max_group=500).collect()))
     assert a == b

@@ -87,12 +87,14 @@ def _bracket_counts(rows: DataFrame, keys: list[str], probabilities: dict[str, f
         F.count("*").alias("_n"),
     )
     k = len(names)
+    # Below this size the bracket would span too few ranks; the whole group is ranked.
+    wide = F.col("_n") > 2 * SKETCH_ACCURACY
     brackets = F.array(
         *[
             F.struct(
                 F.lit(name).alias("name"),
-                (F.col("_min") if lows[i] == 0.0 else F.col("_s")[i]).alias("low"),
-                (F.col("_max") if highs[i] == 1.0 else F.col("_s")[k + i]).alias("high"),
+                (F.col("_min") if lows[i] == 0.0 else F.when(wide, F.col("_s")[i]).otherwise(F.col("_min"))).alias("low"),
+                (F.col("_max") if highs[i] == 1.0 else F.when(wide, F.col("_s")[k + i]).otherwise(F.col("_max"))).alias("high"),
                 # Zero-based ranks on both sides of the wanted position.
                 F.floor(F.lit(probabilities[name]) * (F.col("_n") - 1)).alias("rank"),
                 (F.lit(probabilities[name]) * (F.col("_n") - 1)).alias("position"),
