@@ -9,6 +9,7 @@ from tidemark.operators import audit, features, profile, sampling
 from tidemark.operators.clean import REASON
 from tidemark.operators.quantiles import grouped_quantiles, right_closed_bucket
 from tidemark.plans import stand_ins as S
+from tidemark.session import spread
 
 QUERIES = {}
 SQL = {}
@@ -22,7 +23,7 @@ def lines(spark, folder):
     """Order lines with their part: price per piece, brand as place, ship month."""
     found = S.tables(spark, folder, "lineitem", "part")
     part = found["part"].select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size", "p_name", "p_type")
-    joined = found["lineitem"].join(part, "l_partkey")
+    joined = spread(found["lineitem"], "l_orderkey").join(part, "l_partkey")
     return joined.withColumns(
         {
             "ppsf": F.col("l_extendedprice") / F.col("l_quantity"),
