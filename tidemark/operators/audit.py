@@ -6,7 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tidemark.functions.common import col, finite, tally
+from tidemark.functions.common import finite, tally
 from tidemark.functions.dates import minus_days, quarter_key, whole_days
 from tidemark.functions.distributions import chi_square_p, t_p
 from tidemark.operators.concordance import ROWS_PER_BIN, cut_points, with_bin
@@ -14,7 +14,7 @@ from tidemark.operators.features import cell_sizes
 from tidemark.operators.quantiles import (
     MAX_GROUP, grouped_middle, grouped_quantiles, weighted_quantiles,
 )
-from tidemark.session import attach
+from tidemark.session import attach, beside
 
 CELL_SIZES = (1, 2, 4, 8, 16, 32)
 # Interquartile range of the standard normal.
@@ -49,7 +49,7 @@ def median_noise(df: DataFrame, keys: list[str], value: str, premium: str, least
     usable = cells.where((F.col("n") >= least) & (F.col("q3") > F.col("q1")))
     left = usable.agg(F.avg(noise).alias("noise_variance"), F.count("*").alias("cells"))
     right = df.agg(F.var_samp(finite(premium)).alias("premium_variance"))
-    both = left.withColumn("_one", F.lit(1)).join(right.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    both = beside(left, right)
     return both.withColumn(
         "attenuation", 1 - F.try_divide(F.col("noise_variance"), F.col("premium_variance"))
     )
@@ -291,7 +291,7 @@ def column_ratio(df: DataFrame, top: str, bottom: str) -> DataFrame:
         F.avg(F.col("r").between(0.95, 1.05).cast("double")).alias("near_1"),
         F.avg(F.col("r").between(11, 13).cast("double")).alias("near_12"),
     )
-    return sums.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return beside(sums, quantiles)
 
 
 def floor_conflicts(df: DataFrame, floor: str = "unit_floor", stories: str = "total_stories") -> DataFrame:

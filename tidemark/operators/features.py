@@ -287,5 +287,6 @@ def build_features(
             model = fit_premium(frame, tokens=tokens)
         except (SchemaError, IdentificationError):
             model = None
-        frame = score_premium(frame, model)
+        # Every later fit scans the scored table, not the scoring expression.
+        frame = land(score_premium(frame, model), "scored")
     return FeatureTable(frame, vocabularies, model)

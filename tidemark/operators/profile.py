@@ -8,6 +8,7 @@ from tidemark.functions.common import all_of, col, tally
 from tidemark.functions.text import strip
 from tidemark.operators.features import COVARIATES, MIN_CELL, cell_sizes
 from tidemark.operators.quantiles import grouped_quantiles, weighted_quantiles
+from tidemark.session import beside
 from tidemark.sources.headers import REQUIRED
 
 # Warning thresholds.
@@ -101,8 +102,7 @@ def building_support(df: DataFrame, building: str = "building_name", least: int
     )
     sizes = named.groupBy("n").agg(F.count("*").alias("c"))
     median = weighted_quantiles(sizes, [], "n", "c", {"median_rows": 0.5})
-    # Two single rows.
-    return sums.withColumn("_one", F.lit(1)).join(median.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    return beside(sums, median)
 
 
 PREMIUM_QUANTILES = {"p5": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
@@ -130,7 +130,7 @@ def premium_stats(
     if keys:
         joined = sums.join(quantiles, keys)
     else:
-        joined = sums.withColumn("_one", F.lit(1)).join(quantiles.withColumn("_one", F.lit(1)), "_one").drop("_one")
+        joined = beside(sums, quantiles)
     return joined.withColumn("iqr", F.col("p75") - F.col("p25")).drop("p25", "p75")
 
 
@@ -157,7 +157,7 @@ def feature_flags(df: DataFrame, keys: list[str] = []) -> DataFrame:
 
 def feature_warnings(stats: DataFrame, flags: DataFrame, residual: bool) -> DataFrame:
     """Warnings the feature numbers call for; both inputs are one row."""
-    row = stats.withColumn("_one", F.lit(1)).join(flags.withColumn("_one", F.lit(1)), "_one")
+    row = beside(stats, flags)
     rules: list[tuple[Column, str]] = [
         (F.col("iqr") < IQR_NARROW, "pricing variation too narrow"),
         ((F.col("iqr") > IQR_WIDE) & F.lit(not residual), "pricing variation too wide"),

@@ -624,11 +624,10 @@ SELECT count(*) AS rows, count(*) FILTER (abs(y - x) > 1e-12) AS rows_differing,
 def set_dropped_reasons(spark, folder):
     """Reasons that took rows of some files but not of others."""
     judged = S.cleaned(spark, folder).judged.where(F.col(REASON).isNotNull())
-    seen = judged.select("file_quarter", REASON).distinct()
-    everything = judged.select(REASON).distinct().withColumn("_one", F.lit(1)).join(
-        judged.select("file_quarter").distinct().withColumn("_one", F.lit(1)), "_one"
-    ).drop("_one")
-    return everything.join(seen, ["file_quarter", REASON], "left_anti")
+    seen = judged.groupBy("file_quarter").agg(F.collect_set(REASON).alias("seen"))
+    # The reasons are a short fixed list.
+    known = F.array(*[F.lit(r[0]) for r in judged.select(REASON).distinct().collect()])
+    return seen.select("file_quarter", F.explode(F.array_except(known, "seen")).alias(REASON))
 
 
 QUERIES["set_dropped_reasons"] = set_dropped_reasons

@@ -85,6 +85,15 @@ def attach(
     return rows.join(table, keys, how)
 
 
+def beside(one: DataFrame, other: DataFrame) -> DataFrame:
+    """Add the values of a one-row table as literal columns."""
+    row = other.first()
+    values = row.asDict() if row is not None else {}
+    return one.withColumns(
+        {f.name: F.lit(values.get(f.name)).cast(f.dataType) for f in other.schema.fields}
+    )
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Spread a table that one file holds over the cores.
 
