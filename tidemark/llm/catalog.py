@@ -6,17 +6,51 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ngram_join
-from tidemark.llm.common import documents
+from tidemark.llm import exact_dedup, fingerprints, mixing, ngram_join, pieces, suffix_dedup, token_files, toxicity
+from tidemark.llm.common import documents, tokenizer_file
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.ngram_join(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
 
 
+def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_dedup(documents(spark, folder))
+
+
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, folder), with_kept=False)
+
+
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix(documents(spark, folder))
+
+
+def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    return pieces.encode(documents(spark, folder), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_files(documents(spark, folder), tokenizer_file("byte_bpe_50k.json")).drop("ids")
+
+
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, folder))
+
+
+QUERIES = (
+    op1_ngram_join, op2_exact_dedup, op3_sentencepiece, op4_suffix_dedup, op5_mixing, op8_toxicity, op9_token_files,
+    op10_fingerprints,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_join": op1_ngram_join}
+    return {q.__name__: q for q in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.SQL}
+    return {"op1_ngram_join": ngram_join.SQL, "op2_exact_dedup": exact_dedup.SQL}

@@ -24,6 +24,13 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    """Place of a public vocabulary file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """The session's own number of shuffle partitions; buckets of packed rows follow it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
