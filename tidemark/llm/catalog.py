@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import exact_dedup, fingerprints, mixing, ngram_join, pieces, suffix_dedup, token_files, toxicity
+from tidemark.llm import chat_format, exact_dedup, fingerprints, html_text, mixing, ngram_join, pieces, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import documents, tokenizer_file
 
 
@@ -30,6 +30,15 @@ def op3_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return pieces.encode(documents(spark, folder), tokenizer_file("piece_bpe_32k.model"))
 
 
+def op6_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    talk = spark.read.parquet(f"{folder}/conversations.parquet")
+    return chat_format.chat_format(chat_format.with_lookups(talk), chat_format.LOOKUPS)
+
+
+def op7_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.html_text(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
@@ -43,8 +52,8 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = (
-    op1_ngram_join, op2_exact_dedup, op3_sentencepiece, op4_suffix_dedup, op5_mixing, op8_toxicity, op9_token_files,
-    op10_fingerprints,
+    op1_ngram_join, op2_exact_dedup, op3_sentencepiece, op4_suffix_dedup, op5_mixing, op6_chat_format, op7_html_text,
+    op8_toxicity, op9_token_files, op10_fingerprints,
 )
 
 
