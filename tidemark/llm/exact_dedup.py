@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.llm.common import SPACE, text_or_empty
 from tidemark.session import land, settle
@@ -59,6 +59,10 @@ def frequent_digests(rows: DataFrame, most: int = COUNTERS) -> DataFrame:
     return low.filter(F.col("digest").isNotNull() & (F.col("low") > F.lit(total / (most + 1)))).select("digest")
 
 
+def digest_of(text_col: str) -> Column:
+    return F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " ").cast("binary"), 256))
+
+
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = COUNTERS) -> DataFrame:
     """Which row of each group of equal texts stays: the one with the smallest id.
 
@@ -70,13 +74,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     Rows that repeat the winner's id are all counted and all marked as kept.  An empty table
     gives an empty result.  Other columns are not read.
     """
-    rows = land(
-        df.select(
-            F.col(id_col).cast("long").alias("doc_id"),
-            F.unhex(F.sha2(F.regexp_replace(text_or_empty(text_col), SPACE, " ").cast("binary"), 256)).alias("digest"),
-        ),
-        "digests",
-    )
+    rows = land(df.select(F.col(id_col).cast("long").alias("doc_id"), digest_of(text_col).alias("digest")), "digests")
     group = [F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size")]
     heavy = frequent_digests(rows, most)
     winners = settle(rows.join(F.broadcast(heavy), "digest").groupBy("digest").agg(*group))
@@ -93,8 +91,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = COUNTERS) -> DataFrame:
     """The rows of ``df`` that stay, with all their columns; one row for each kept id."""
-    stay = exact_dedup(df, id_col, text_col, most).filter("kept").select(F.col("doc_id").alias("__stay")).distinct()
-    return df.join(stay, df[id_col].cast("long").eqNullSafe(stay["__stay"]), "left_semi").dropDuplicates([id_col])
+    stay = settle(
+        exact_dedup(df, id_col, text_col, most).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
+        .select(F.col("doc_id").alias("__stay"), F.unhex("text_sha256").alias("__digest"), "n")
+    )
+    same = df[id_col].cast("long").eqNullSafe(stay["__stay"]) & (digest_of(text_col) == stay["__digest"])
+    kept = df.join(stay, same, "left_semi")
+    # Rows that repeat id and text differ at most in columns that do not count; any of them will do.
+    return kept.dropDuplicates([id_col]) if stay.filter("n > 1").limit(1).count() else kept
 
 
 SQL = r"""
