@@ -8,7 +8,7 @@ from tidemark.functions.common import all_of, col, tally
 from tidemark.functions.text import strip
 from tidemark.operators.features import COVARIATES, MIN_CELL, cell_sizes
 from tidemark.operators.quantiles import grouped_quantiles, weighted_quantiles
-from tidemark.session import beside
+from tidemark.session import attach, beside
 from tidemark.sources.headers import REQUIRED
 
 # Warning thresholds.
@@ -128,7 +128,7 @@ def premium_stats(
     )
     quantiles = grouped_quantiles(df, keys, premium, PREMIUM_QUANTILES)
     if keys:
-        joined = sums.join(quantiles, keys)
+        joined = attach(sums, quantiles, keys, "inner")
     else:
         joined = beside(sums, quantiles)
     return joined.withColumn("iqr", F.col("p75") - F.col("p25")).drop("p25", "p75")

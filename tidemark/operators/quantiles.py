@@ -71,15 +71,15 @@ def _direct(rows: DataFrame, keys: list[str], probabilities: dict[str, float], c
     )
 
 
-def _bracket_counts(rows: DataFrame, keys: list[str], probabilities: dict[str, float]) -> DataFrame:
+def _bracket_counts(rows: DataFrame, keys: list[str], probabilities: dict[str, float], bracket: float = BRACKET) -> DataFrame:
     """Running counts around each wanted rank: ``(keys, name, rank, position, _v, c, upto)``.
 
     The first row of each name has a null value and stands for all rows below
     the bracket.
     """
     names = list(probabilities)
-    lows = [max(0.0, p - BRACKET) for p in probabilities.values()]
-    highs = [min(1.0, p + BRACKET) for p in probabilities.values()]
+    lows = [max(0.0, p - bracket) for p in probabilities.values()]
+    highs = [min(1.0, p + bracket) for p in probabilities.values()]
     sketch = rows.groupBy(*keys).agg(
         F.percentile_approx("_v", [*lows, *highs], SKETCH_ACCURACY).alias("_s"),
         F.min("_v").alias("_min"),
@@ -160,12 +160,22 @@ def _bracketed(
     probabilities: dict[str, float],
     count_as: str,
 ) -> DataFrame:
-    """Order statistics of large groups by sketch, count and rank."""
-    names = list(probabilities)
-    ranked = _bracket_counts(rows, keys, probabilities)
-    picked = ranked.groupBy(*keys, "name", "rank", "position").agg(
-        _at(F.col("rank")).alias("lower"), _at(F.col("rank") + 1).alias("upper")
-    )
+    """Order statistics of large groups by sketch, count and rank.
+
+    A bracket that missed its rank is widened until it holds it.
+    """
+    names, bracket = list(probabilities), BRACKET
+    while True:
+        ranked = _bracket_counts(rows, keys, probabilities, bracket)
+        picked = settle(
+            ranked.groupBy(*keys, "name", "rank", "position").agg(
+                _at(F.col("rank")).alias("lower"), _at(F.col("rank") + 1).alias("upper")
+            )
+        )
+        missed = F.col("lower").isNull() | (F.col("upper").isNull() & (F.col("position") > F.col("rank")))
+        if bracket >= 1.0 or picked.where(missed).isEmpty():
+            break
+        bracket = min(1.0, 10 * bracket)
     share = F.col("position") - F.col("rank")
     result = picked.withColumn(
         "q",
@@ -175,7 +185,7 @@ def _bracketed(
     )
     wide = result.groupBy(*keys).pivot("name", names).agg(F.first("q"))
     if keys:
-        return wide.join(sizes, keys)
+        return attach(wide, sizes, keys, "inner")
     total = sizes.first()[count_as]
     return wide.withColumn(count_as, F.lit(total))
 

@@ -35,7 +35,7 @@ def sampling_window(df: DataFrame, keys: list[str] = []) -> DataFrame:
     if keys:
         early = attach(df, spans.select(*keys, "terminal_min"), keys).where(F.col("list_date") < F.col("terminal_min"))
         counts = early.groupBy(*keys).agg(F.count("*").alias("started_before"))
-        spans = spans.join(counts, keys, "left")
+        spans = attach(spans, counts, keys)
     else:
         start = spans.first()["terminal_min"]
         n = df.where(F.col("list_date") < F.lit(start)).count() if start else 0

@@ -253,16 +253,19 @@ SELECT count(b) AS buildings_named, CAST(coalesce(sum(n) FILTER (b IS NULL), 0)
 
 
 def agg_premium_stats(spark, folder):
-    rows = premium_lines(spark, folder).withColumn("event", (F.col("l_returnflag") == "R").cast("int"))
+    # One of the two groups has no key.
+    rows = premium_lines(spark, folder).withColumns(
+        {"event": (F.col("l_returnflag") == "R").cast("int"), "l_linestatus": F.when(F.col("l_linestatus") != "O", F.col("l_linestatus"))}
+    )
     stats = profile.premium_stats(rows, "rel_price_premium", "event", ["l_linestatus"])
     return stats.select("l_linestatus", "n", *[F.round(c, 8).alias(c) for c in ("mean", "sd", "corr_event", "p5", "median", "p95", "iqr")])
 
 
 QUERIES["agg_premium_stats"] = agg_premium_stats
-SQL["agg_premium_stats"] = f"""WITH {PREMIUM} SELECT l_linestatus, count(*) AS n, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd,
+SQL["agg_premium_stats"] = f"""WITH {PREMIUM} SELECT nullif(l_linestatus, 'O') AS l_linestatus, count(*) AS n, round(avg(x), 8) AS mean, round(stddev_samp(x), 8) AS sd,
   round(corr(x, CAST(l_returnflag = 'R' AS INT)), 8) AS corr_event, round(quantile_cont(x, 0.05), 8) AS p5, round(median(x), 8) AS median,
   round(quantile_cont(x, 0.95), 8) AS p95, round(quantile_cont(x, 0.75) - quantile_cont(x, 0.25), 8) AS iqr
-FROM (SELECT *, rel_price_premium AS x FROM premium WHERE rel_price_premium IS NOT NULL) GROUP BY l_linestatus"""
+FROM (SELECT *, rel_price_premium AS x FROM premium WHERE rel_price_premium IS NOT NULL) GROUP BY 1"""
 
 _GAPS = ("log_floor", "living_area_sqft", "beds", "hoa_per_sqft", "is_new_construction", "submarket", "season")
 
@@ -299,7 +302,7 @@ SQL["agg_sampling_window"] = WITH_NORM + """, t AS (
   SELECT *, greatest(close_date, pending_date, off_market_date) AS te, min(CAST(greatest(close_date, pending_date, off_market_date) AS DATE)) OVER (PARTITION BY status) AS t0 FROM norm)
 SELECT status, min(CAST(list_date AS DATE)) AS list_min, max(CAST(list_date AS DATE)) AS list_max, min(CAST(te AS DATE)) AS terminal_min, max(CAST(te AS DATE)) AS terminal_max,
   count(*) FILTER (status = 'ACTIVE') AS active, round(avg(CAST(list_date IS NOT NULL AND te IS NOT NULL AS INT)), 4) AS complete_share,
-  CASE WHEN status IS NULL THEN 0 ELSE count(*) FILTER (list_date < t0) END AS started_before,
+  count(*) FILTER (list_date < t0) AS started_before,
   CAST(max(CAST(list_date AS DATE)) - min(CAST(list_date AS DATE)) AS INT) AS list_span_days,
   CAST(max(CAST(te AS DATE)) - min(CAST(te AS DATE)) AS INT) AS terminal_span_days,
   coalesce(max(CAST(list_date AS DATE)) - min(CAST(list_date AS DATE)) > 0 AND max(CAST(te AS DATE)) - min(CAST(te AS DATE))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -9,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
-# A table is broadcast only after its rows were counted against this bound.
+# A table is broadcast only after its rows and their bytes were counted against these bounds.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 16 << 20
 
 
 def build_session(cores: str = "*", app: str = "tidemark", **conf: str) -> SparkSession:
@@ -34,14 +37,21 @@ def build_session(cores: str = "*", app: str = "tidemark", **conf: str) -> Spark
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared checkpoint folder of the cluster; a fresh one only when unset."""
+    """The shared checkpoint folder of the cluster.
+
+    Where none is set, a local session gets a folder of its own, removed at its end; on a
+    cluster that is an error, since executors do not see each other's disks.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     folder = context.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
     if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="tidemark-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
@@ -76,13 +86,20 @@ def attach(
 ) -> DataFrame:
     """Join a per-group table back to rows, broadcasting it when it is small.
 
-    The table is settled and counted first.  Beyond ``max_rows`` the join is a
-    plain shuffle join, whose hot keys adaptive execution splits.
+    A null key is a group like any other.  The table is settled, and its rows and
+    bytes counted first.  Beyond either bound the join is a plain shuffle join,
+    whose hot keys adaptive execution splits.
     """
     table = settle(table)
-    if table.limit(max_rows + 1).count() <= max_rows:
-        table = F.broadcast(table)
-    return rows.join(table, keys, how)
+    bytes_ = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) + 16 for c in table.columns), F.lit(0))
+    n, size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(bytes_), F.lit(0))).first()
+    others = [c for c in table.columns if c not in keys]
+    renamed = table.select(*[F.col(f"`{k}`").alias(f"__key_{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`") for c in others])
+    if n <= max_rows and size <= BROADCAST_BYTES:
+        renamed = F.broadcast(renamed)
+    same = [rows[f"`{k}`"].eqNullSafe(renamed[f"__key_{i}"]) for i, k in enumerate(keys)]
+    kept = [c for c in rows.columns if c not in keys]
+    return rows.join(renamed, same, how).select(*[F.col(f"`{c}`") for c in [*keys, *kept, *others]])
 
 
 def beside(one: DataFrame, other: DataFrame) -> DataFrame:
