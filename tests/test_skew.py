@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tidemark.operators import audit, concordance, sampling
+from tidemark.operators import audit, clean, concordance, quantiles, sampling
 from tidemark.operators.quantiles import grouped_middle, grouped_quantiles
 
 
@@ -28,6 +28,29 @@ def test_quantiles_of_a_hot_group(spark):
     assert abs(whole["p50"] - pdf["v"].median()) < 1e-9
 
 
+def test_quantiles_of_a_hot_group_without_a_key(spark):
+    frame, pdf = skewed(spark)
+    rows = frame.withColumn("k", F.when(F.col("k") != "hot", F.col("k")))
+    got = {r["k"]: r for r in grouped_quantiles(rows, ["k"], "v", {"p50": 0.5, "p99": 0.99}, "n", max_group=2_000).collect()}
+    hot = pdf[pdf["k"] == "hot"]["v"]
+    assert got[None]["n"] == len(hot) and len(got) == 4
+    assert abs(got[None]["p50"] - hot.median()) < 1e-9 and abs(got[None]["p99"] - hot.quantile(0.99)) < 1e-9
+
+
+def test_one_row_of_each_id_stays(spark):
+    rows = [("a", 1, "x"), ("a", 1, "y"), ("a", 2, "z"), ("b", 5, "w"), ("b", 5, "w"), (None, 1, "n"), (None, 1, "n")]
+    frame = spark.createDataFrame(rows, "id string, at int, t string")
+    kept = clean.mark_duplicates(frame, "id", ["at"], F.lit(True)).where(~F.col("_duplicate")).collect()
+    assert sorted(r["id"] or "" for r in kept) == ["", "", "a", "b"]
+
+
+def test_a_missed_bracket_is_widened(spark, monkeypatch):
+    frame, pdf = skewed(spark, 50_000)
+    monkeypatch.setattr(quantiles, "BRACKET", 1e-9)
+    got = grouped_quantiles(frame, ["k"], "v", {"p50": 0.5}, "n", max_group=2_000)
+    assert abs({r["k"]: r["p50"] for r in got.collect()}["hot"] - pdf[pdf["k"] == "hot"]["v"].median()) < 1e-9
+
+
 def test_middle_of_a_hot_group(spark):
     frame, pdf = skewed(spark, 40_001)
     a = sorted(map(tuple, grouped_middle(frame, ["k"], "v").collect()))

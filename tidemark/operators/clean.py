@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.functions.common import col, first_match, tally
 from tidemark.functions.dates import quarter_key
@@ -69,14 +69,21 @@ def bad_duration(days="duration_days") -> Column:
     return F.coalesce((days <= 0) | (days > MAX_DURATION), F.lit(False))
 
 
+def _hashable(df: DataFrame) -> list[Column]:
+    """The columns in a form that can be hashed: anything that holds a map as text."""
+    return [F.to_json(F.struct(F.col(f"`{n}`"))) if "map<" in t else F.col(f"`{n}`") for n, t in df.dtypes]
+
+
 def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column) -> DataFrame:
     """Flag ``_duplicate``: rows of ``among`` that share an id with an earlier one.
 
     The earliest order value per id is a pre-aggregated minimum, so an id that
-    fills a third of the table costs one row per task, not one task.  Null ids
-    are never duplicates.
+    fills a third of the table costs one row per task, not one task.  Exactly one
+    row of an id stays: rows tied on ``order`` are told apart by a hash of all
+    their values, and of rows equal in every column any one stays.  Null ids are
+    never duplicates and take no part in the join.
     """
-    position = F.struct(*[F.col(c) for c in order])
+    position = F.struct(*[F.col(c) for c in order], F.xxhash64(*_hashable(df)))
     seen = df.where(among & F.col(ident).isNotNull())
     first = (
         seen.groupBy(ident)
@@ -84,10 +91,20 @@ def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column)
         .where(F.col("_copies") > 1)
         .drop("_copies")
     )
-    # Only ids with copies take part in the join.
-    joined = df.join(first, ident, "left")
-    later = F.col("_first").isNotNull() & (position > F.col("_first")) & among
-    return joined.withColumn("_duplicate", later).drop("_first")
+    # Only ids with copies have a row in ``first``.
+    named, none = df.where(F.col(ident).isNotNull()), df.where(F.col(ident).isNull())
+    joined = named.join(first, ident, "left").withColumn("_among", among)
+    alone = joined.where(F.col("_first").isNull() | ~F.col("_among")).withColumn("_duplicate", F.lit(False))
+    shared = joined.where(F.col("_first").isNotNull() & F.col("_among"))
+    # Only rows equal to the first one in every column meet; the others keep their spread.
+    later = position > F.col("_first")
+    place = Window.partitionBy(ident, F.when(later, F.pmod(F.xxhash64(position), F.lit(4096)) + 1).otherwise(0)).orderBy(F.lit(1))
+    judged = shared.withColumn("_duplicate", later | (F.row_number().over(place) > 1))
+    columns = [*df.columns, "_duplicate"]
+    return (
+        alone.select(columns).unionByName(judged.select(columns))
+        .unionByName(none.withColumn("_duplicate", F.lit(False)).select(columns))
+    )
 
 
 def plausible_ppsf(df: DataFrame, columns: tuple[str, ...] = ("list_ppsf", "close_ppsf")) -> DataFrame:

@@ -322,5 +322,5 @@ def cln_keep_first(spark, folder):
 
 QUERIES["cln_keep_first"] = cln_keep_first
 SQL["cln_keep_first"] = """SELECT id, l_partkey, l_suppkey, l_shipdate, l_extendedprice FROM (
-  SELECT concat(l_orderkey, '-', l_linenumber) AS id, *, rank() OVER (PARTITION BY l_orderkey, l_linenumber
+  SELECT concat(l_orderkey, '-', l_linenumber) AS id, *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber
     ORDER BY l_partkey, l_suppkey, l_shipdate, l_extendedprice) AS r FROM lineitem) WHERE r = 1"""

@@ -330,7 +330,7 @@ stage1 AS (
       WHEN original_list_price < {MIN_PRICE} THEN 'below_min_list_price' END AS reason1 FROM norm),
 stage2 AS (
   SELECT *, CASE WHEN reason1 IS NULL AND mls_number IS NOT NULL THEN
-      rank() OVER (PARTITION BY mls_number, reason1 IS NULL ORDER BY partkey, suppkey, shipdate, base_price) END AS nth FROM stage1),
+      row_number() OVER (PARTITION BY mls_number, reason1 IS NULL ORDER BY partkey, suppkey, shipdate, base_price) END AS nth FROM stage1),
 judged AS (
   SELECT *, CASE WHEN reason1 IS NOT NULL THEN reason1 WHEN nth > 1 THEN 'duplicate_mls_number'
       WHEN duration_days <= 0 OR duration_days > 1095 THEN 'bad_duration' END AS drop_reason FROM stage2),
