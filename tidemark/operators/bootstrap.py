@@ -25,8 +25,11 @@ from tidemark.session import settle
 SEED = 20260731
 
 
-def poisson_weight(u: Column, most: int = 8) -> Column:
-    """Poisson count with mean one out of a uniform, by inversion."""
+def poisson_weight(u: Column, most: int = 18) -> Column:
+    """Poisson count with mean one out of a uniform, by inversion.
+
+    Counts above ``most`` are rarer than the steps of a double between 0 and 1.
+    """
     total, chain = 0.0, None
     for k in range(most):
         total += math.exp(-1) / math.factorial(k)

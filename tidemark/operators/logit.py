@@ -21,6 +21,7 @@ from tidemark.session import settle
 TEST_SHARE = 0.25
 SEED = 20240101
 CALIBRATION_BINS = 10
+SOLVER_WORDS = ("SingularMatrix", "singular", "positive definite", "instance weights", "NaN", "Infinity", "converge")
 
 
 def horizon_label(horizon: int, duration="duration_days", event="event_sold") -> Column:
@@ -145,7 +146,10 @@ def _held_out_auc(rows: DataFrame, design: Design, id_columns: list[str]) -> flo
         return float("nan")
     try:
         model = _glm(train, design, "binomial", "_label")
-    except Exception:  # the solver reports separation as a job failure
+    except Exception as error:
+        # The solver reports separation in its own words; anything else is a failure of the job.
+        if not any(word in str(error) for word in SOLVER_WORDS):
+            raise
         return float("nan")
     scored = model.transform(_assembled(test, design))
     return BinaryClassificationEvaluator(

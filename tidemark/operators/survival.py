@@ -34,14 +34,12 @@ DURATION, EVENT, PRICE = "duration_days", "event_sold", "rel_price_premium"
 # More distinct durations than this are not whole days; bucket them first.
 MAX_DAYS = 20_000
 MAX_STEPS = 50
-# Partial sums of up to this many parts are merged on the driver.
-DIRECT_PARTS = 2_000
 TOLERANCE = 1e-9
 BUILDING = "building_name"
 POOLED_ALARM = 0.50
 THIN_LEVEL_ROWS = 40.0
-# Sums over tied events are exact up to this many ties, integrated beyond it.
-EXACT_TIES = 20_000
+# Sums over tied events are formed in pieces of this many ties.
+TIES_AT_ONCE = 1_000_000
 
 
 def tie_sums(risk: float, tied: float, events: int) -> np.ndarray:
@@ -50,22 +48,14 @@ def tie_sums(risk: float, tied: float, events: int) -> np.ndarray:
     Returns the sums of ``1/phi, s/phi, 1/phi^2, s/phi^2, s^2/phi^2, log phi``
     with ``s = l / events``.
     """
-    if events <= EXACT_TIES:
-        steps, weights = np.arange(events, dtype="float64"), None
-    else:
-        # Midpoint rule in closed panels for the smooth part, exact at the end,
-        # where phi may come close to zero.
-        tail = np.arange(events - 1000, events, dtype="float64")
-        nodes, node_weights = np.polynomial.legendre.leggauss(200)
-        low, high = -0.5, events - 1000.5
-        steps = np.concatenate([(high - low) / 2 * nodes + (high + low) / 2, tail])
-        weights = np.concatenate([(high - low) / 2 * node_weights, np.ones(len(tail))])
-    share = steps / events
-    phi = risk - share * tied
-    parts = np.stack(
-        [1 / phi, share / phi, 1 / phi**2, share / phi**2, share**2 / phi**2, np.log(phi)]
-    )
-    return parts.sum(axis=1) if weights is None else parts @ weights
+    total = np.zeros(6)
+    for start in range(0, int(events), TIES_AT_ONCE):
+        share = np.arange(start, min(start + TIES_AT_ONCE, int(events)), dtype="float64") / events
+        phi = risk - share * tied
+        total += np.stack(
+            [1 / phi, share / phi, 1 / phi**2, share / phi**2, share**2 / phi**2, np.log(phi)]
+        ).sum(axis=1)
+    return total
 
 
 class _Rows:
@@ -113,16 +103,12 @@ class _Rows:
                 yield pd.DataFrame({"day": list(total), "m": list(total.values())})
 
         schema = "day double, m array<double>"
-        # Rows lie by day, so the parts add few rows beyond one per day.
-        summed = self._select(replicate).mapInPandas(partial, schema)
-        if self.parts > DIRECT_PARTS:
-            summed = summed.repartition(FAN_IN, "day").mapInPandas(add, schema)
-        merged: dict[float, np.ndarray] = {}
-        for row in summed.limit(MAX_DAYS + 2 * DIRECT_PARTS).collect():
-            part = np.asarray(row["m"])
-            merged[row["day"]] = merged[row["day"]] + part if row["day"] in merged else part
-        if len(merged) > MAX_DAYS:
+        # Added up by day on the executors, so one row per day comes back.
+        summed = self._select(replicate).mapInPandas(partial, schema).repartition(FAN_IN, "day").mapInPandas(add, schema)
+        found = summed.limit(MAX_DAYS + 1).collect()
+        if len(found) > MAX_DAYS:
             raise SchemaError(f"more than {MAX_DAYS} distinct durations; bucket them first")
+        merged = {row["day"]: np.asarray(row["m"]) for row in found}
         days = sorted(merged)
         table = np.array([merged[d] for d in days])
         return {
@@ -449,4 +435,7 @@ def _event_sums(rows: _Rows) -> dict[float, np.ndarray]:
     """Sum of the covariates of the events of each day."""
     names = [f"x{i}" for i in range(rows.p)]
     table = rows.frame.where(F.col("e") == 1).groupBy("t").agg(*[F.sum(n).alias(n) for n in names])
-    return {r["t"]: np.array([r[n] for n in names]) for r in table.limit(MAX_DAYS).collect()}
+    found = table.limit(MAX_DAYS + 1).collect()
+    if len(found) > MAX_DAYS:
+        raise SchemaError(f"more than {MAX_DAYS} distinct durations; bucket them first")
+    return {r["t"]: np.array([r[n] for n in names]) for r in found}
