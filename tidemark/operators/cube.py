@@ -268,14 +268,14 @@ def planted_probability(beta: float, base: float = 0.7) -> Callable[[], Column]:
 def floor_grid(units: DataFrame, plan: DataFrame, keys: list[str]) -> DataFrame:
     """Position of each unit on its floor, its plan row, and the price range of its building.
 
-    A floor of one building is a bounded group; units without building or
-    floor have no position and form no group.
+    A floor of one building is a bounded group.  Units without building or floor
+    have no position; those without building share a price range.
     """
     known = F.col("building").isNotNull() & F.col("floor").isNotNull()
-    units = units.where(known)
     place = Window.partitionBy(*keys, "building", "floor").orderBy("unit_id")
-    placed = units.select(*keys, "unit_id", "building", "floor").withColumn(
-        "position", F.row_number().over(place)
+    seats = units.select(*keys, "unit_id", "building", "floor")
+    placed = seats.where(known).withColumn("position", F.row_number().over(place)).unionByName(
+        seats.where(~known).withColumn("position", F.lit(None).cast("int"))
     )
     joined = placed.join(
         plan.select(*keys, "unit_id", "phase_index", "price_ppsf"), [*keys, "unit_id"], "left"

@@ -410,15 +410,27 @@ WHERE lower(unit_id) LIKE '%eco%' OR lower(unit_type) LIKE '%eco%' OR lower(buil
 
 
 def plan_floor_grid(spark, folder):
-    rows = plan_rows(spark, folder).dropDuplicates(["project", "unit_id"])
-    found = cube.floor_grid(units(spark, folder), rows.select("project", "unit_id", F.lit(0).alias("phase_index"), F.lit(1.0).alias("price_ppsf")), KEYS)
-    return found.select("project", "unit_id", "building", "floor", "position", "min_price", "max_price")
+    first = F.min_by(F.struct("phase_index", "price_ppsf"), "phase_index").alias("p")
+    rows = plan_rows(spark, folder).groupBy("project", "unit_id").agg(first).select("project", "unit_id", "p.*")
+    # Every eleventh unit has no building, every thirteenth no floor.
+    seats = units(spark, folder).withColumns(
+        {
+            "building": F.when(F.col("unit_number") % 11 != 0, F.col("building")),
+            "floor": F.when(F.col("unit_number") % 13 != 0, F.col("floor")),
+        }
+    )
+    found = cube.floor_grid(seats, rows, KEYS)
+    return _rounded(found, ["project", "unit_id", "building", "floor", "position"], ["price_ppsf", "min_price", "max_price"])
 
 
 QUERIES["plan_floor_grid"] = plan_floor_grid
-SQL["plan_floor_grid"] = WITH_PLAN + """SELECT u.project, u.unit_id, building, floor, CAST(row_number() OVER (PARTITION BY u.project, building, floor ORDER BY u.unit_id) AS INT) AS position,
-  min(x) OVER (PARTITION BY u.project, building) AS min_price, max(x) OVER (PARTITION BY u.project, building) AS max_price
-FROM units u LEFT JOIN (SELECT DISTINCT project, unit_id, 1.0::DOUBLE AS x FROM plan) p ON u.project = p.project AND u.unit_id = p.unit_id"""
+SQL["plan_floor_grid"] = WITH_PLAN + """, seats AS (SELECT project, unit_id, CASE WHEN k % 11 <> 0 THEN building END AS building, CASE WHEN k % 13 <> 0 THEN floor END AS floor FROM units),
+first AS (SELECT * FROM rows_ QUALIFY row_number() OVER (PARTITION BY project, unit_id ORDER BY phase_index) = 1)
+SELECT s.project, s.unit_id, s.building, s.floor, CASE WHEN s.building IS NOT NULL AND s.floor IS NOT NULL THEN
+    CAST(row_number() OVER (PARTITION BY s.project, s.building, s.floor ORDER BY s.unit_id) AS INT) END AS position,
+  round(price, 4) AS price_ppsf, round(min(price) OVER (PARTITION BY s.project, s.building), 4) AS min_price,
+  round(max(price) OVER (PARTITION BY s.project, s.building), 4) AS max_price
+FROM seats s LEFT JOIN first f ON s.project = f.project AND s.unit_id = f.unit_id"""
 
 
 def inv_validation(spark, folder):
@@ -574,18 +586,16 @@ def scn_breaches(spark, folder):
     by_phase = land(revenue(spark, folder, ["phase_index"]), "revenue")
     floors = phases(spark, folder).withColumn("cash_flow_floor_usd", F.col("cash_flow_floor_usd") * 5)
     found = scenario.phase_breaches(by_phase, floors, KEYS)
-    return _rounded(
-        found, ["project", "phase_index", "is_alarming"],
-        ["floor_usd", "expected_usd", "p5_usd", "breach_probability", "buffered_floor_usd"], -1,
-    )
+    money = ["floor_usd", "expected_usd", "p5_usd", "buffered_floor_usd"]
+    return _rounded(found.withColumn("breach_probability", F.round("breach_probability", 6)), ["project", "phase_index", "is_alarming", "breach_probability"], money, 2)
 
 
 QUERIES["scn_breaches"] = scn_breaches
 SQL["scn_breaches"] = WITH_DRAWS + """, r AS (SELECT project, phase_index, draw_id, sum(CASE WHEN u < q THEN gross ELSE 0 END) AS rn FROM pairs GROUP BY ALL),
 s AS (SELECT p.project, p.phase_index, any_value(cash) * 5 AS f, coalesce(avg(rn), 0) AS e, coalesce(quantile_cont(rn, 0.05), 0) AS p5, coalesce(avg(CAST(rn < cash * 5 AS INT)), 1) AS br
   FROM phases p LEFT JOIN r USING (project, phase_index) GROUP BY 1, 2)
-SELECT project, phase_index, br > 0.05 AS is_alarming, round(f, -1) AS floor_usd, round(e, -1) AS expected_usd, round(p5, -1) AS p5_usd, round(br, -1) AS breach_probability,
-  round(CASE WHEN p5 > 0 AND p5 < f THEN f * f / p5 END, -1) AS buffered_floor_usd FROM s"""
+SELECT project, phase_index, br > 0.05 AS is_alarming, round(f, 2) AS floor_usd, round(e, 2) AS expected_usd, round(p5, 2) AS p5_usd, round(br, 6) AS breach_probability,
+  round(CASE WHEN p5 > 0 AND p5 < f THEN f * f / p5 END, 2) AS buffered_floor_usd FROM s"""
 
 
 def scn_uplift(spark, folder):
@@ -647,9 +657,8 @@ FROM rows_ r JOIN o USING (project, unit_id) WHERE r.phase_index < 3 OR r.k % 97
 
 
 def scn_cube(spark, folder):
-    """Whole cubes under the first draws of their project."""
-    few = draws(spark, folder).where(F.col("completion_delay_months") >= 12)
-    found = scenario.scenario_cube(full_cube(spark, folder), few, KEYS, BETA, BETA_INVENTORY)
+    """Whole cubes under all draws of their project."""
+    found = scenario.scenario_cube(full_cube(spark, folder), draws(spark, folder), KEYS, BETA, BETA_INVENTORY)
     return found.groupBy("project", "phase_index").agg(
         F.count("*").alias("cells"), F.count(F.when(F.col("releasable"), 1)).alias("open_cells"),
         F.round(F.sum("discounted_usd") / 1000, 1).alias("discounted_kusd"),
@@ -659,7 +668,7 @@ def scn_cube(spark, folder):
 QUERIES["scn_cube"] = scn_cube
 SQL["scn_cube"] = WITH_DRAWS + """SELECT c.project, phase_index, count(*) AS cells, count(*) FILTER (releasable AND delay <= slack) AS open_cells,
   round(sum(CASE WHEN releasable AND delay <= slack THEN (1 - pow(1 - p, exp(b * ((1 + premium) / (1 + drift) - 1) + 1.6 * premium - 0.01 * inv + ab))) * price * area * discount ELSE 0 END) / 1000, 1) AS discounted_kusd
-FROM cube c JOIN draws d ON c.project = d.project WHERE delay >= 12 GROUP BY 1, 2"""
+FROM cube c JOIN draws d ON c.project = d.project GROUP BY 1, 2"""
 
 
 def scn_correlations(spark, folder):
