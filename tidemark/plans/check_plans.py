@@ -658,11 +658,8 @@ FROM rows_ r JOIN o USING (project, unit_id) WHERE r.phase_index < 3 OR r.k % 97
 
 def scn_cube(spark, folder):
     """Whole cubes under all draws of their project."""
-    found = scenario.scenario_cube(full_cube(spark, folder), draws(spark, folder), KEYS, BETA, BETA_INVENTORY)
-    return found.groupBy("project", "phase_index").agg(
-        F.count("*").alias("cells"), F.count(F.when(F.col("releasable"), 1)).alias("open_cells"),
-        F.round(F.sum("discounted_usd") / 1000, 1).alias("discounted_kusd"),
-    )
+    found = scenario.scenario_cube(full_cube(spark, folder), draws(spark, folder), KEYS, BETA, BETA_INVENTORY, ["phase_index"])
+    return found.select("project", "phase_index", "cells", "open_cells", F.round(F.col("discounted_usd") / 1000, 1).alias("discounted_kusd"))
 
 
 QUERIES["scn_cube"] = scn_cube
