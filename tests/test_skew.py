@@ -79,7 +79,8 @@ def test_concordance_in_bins_equals_brute_force(spark, monkeypatch):
         c += (score[i] > score[later]).sum()
         d += (score[i] < score[later]).sum()
         t += (score[i] == score[later]).sum()
-    monkeypatch.setattr(concordance, "ROWS_PER_BIN", 50)
+    monkeypatch.setattr(concordance, "ROWS_PER_BIN", 20)
+    monkeypatch.setattr(concordance, "BLOCK", 4)  # so bins are merged on several levels
     got = concordance.concordance(frame, "s", "d", "e")
     assert (got["concordant"], got["discordant"], got["tied"]) == (c, d, t)
 

@@ -14,7 +14,7 @@ from tidemark.operators.features import cell_sizes
 from tidemark.operators.quantiles import (
     MAX_GROUP, grouped_middle, grouped_quantiles, weighted_quantiles,
 )
-from tidemark.session import attach, beside
+from tidemark.session import attach, beside, settle
 
 CELL_SIZES = (1, 2, 4, 8, 16, 32)
 # Interquartile range of the standard normal.
@@ -142,8 +142,8 @@ def kolmogorov_smirnov(
     """
     rows = df.select(finite(value).alias("v"), F.coalesce(group, F.lit(False)).alias("g"))
     rows = rows.where(F.col("v").isNotNull())
-    counts = rows.groupBy("v").agg(tally(F.col("g")).alias("a"), tally(~F.col("g")).alias("b"))
-    edges = cut_points(rows, "v", rows_per_bin)
+    counts = settle(rows.groupBy("v").agg(tally(F.col("g")).alias("a"), tally(~F.col("g")).alias("b")))
+    edges = cut_points(counts, "v", rows_per_bin)
     cut = with_bin(counts, "v", edges)
     totals = cut.groupBy("bin").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     # One row per bin.

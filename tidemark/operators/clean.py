@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.functions.common import col, first_match, tally
 from tidemark.functions.dates import quarter_key
 from tidemark.functions.text import contains_any, flag, squash
-from tidemark.session import attach
+from tidemark.session import attach, land
 
 # Phrases that mark a distressed sale, a rental or a condo.
 DISTRESS_WORDS = ("foreclosure", "shortsale", "auction", "reo", "bankowned")
@@ -180,6 +180,8 @@ def clean_listings(
             F.when(bad_duration(), "bad_duration"),
         ),
     ).drop("_duplicate")
+    # Written once: the kept rows and the waterfall are both read from it.
+    judged = land(judged, "judged")
     frame = plausible_ppsf(judged.where(F.col(REASON).isNull()).drop(REASON))
     frame = frame.withColumn("_list_quarter", quarter_key("list_date"))
     frame = flag_outliers(frame, "list_ppsf", ["submarket", "_list_quarter"], "list_ppsf_outlier")

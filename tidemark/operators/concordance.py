@@ -12,9 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import col
+from tidemark.session import settle
 
 ROWS_PER_BIN = 200_000
-MAX_BINS = 1_024
 BLOCK = 256
 
 
@@ -59,9 +59,9 @@ def pair_counts(score, day, event, count) -> tuple[float, float, float]:
 
 
 def cut_points(rows: DataFrame, value: str, rows_per_bin: int) -> list[float]:
-    """Sketched quantiles that cut a column into bins of about this many rows."""
+    """Sketched quantiles that cut a column into bins of about this many rows, as many as it takes."""
     total = rows.count()
-    bins = int(min(MAX_BINS, max(1, total // rows_per_bin)))
+    bins = int(max(1, total // rows_per_bin))
     if bins == 1:
         return []
     shares = [i / bins for i in range(1, bins)]
@@ -82,6 +82,14 @@ def with_bin(df: DataFrame, value: str, edges: list[float]) -> DataFrame:
     return df.mapInPandas(place, df.withColumn("bin", F.lit(0)).schema)
 
 
+def _between(cells: pd.DataFrame) -> pd.DataFrame:
+    """Concordant and discordant pairs of rows in different bins, from (bin, day, event, count)."""
+    rank = np.unique(cells["bin"], return_inverse=True)[1]
+    day = np.unique(cells["day"], return_inverse=True)[1]
+    found = _histogram_pairs(rank, day, cells["event"].to_numpy(), cells["count"].to_numpy(dtype="float64"))
+    return pd.DataFrame({"c": [found[0]], "d": [found[1]]})
+
+
 def concordance(df: DataFrame, score: str | Column, duration: str, event: str) -> dict[str, float]:
     """Counts of comparable pairs and their concordant share, ties counted half.
 
@@ -92,8 +100,8 @@ def concordance(df: DataFrame, score: str | Column, duration: str, event: str) -
         col(duration).cast("double").alias("day"),
         col(event).cast("int").alias("event"),
     ).where(F.col("score").isNotNull() & (F.col("day") > 0) & F.col("event").isin(0, 1))
-    merged = rows.groupBy("score", "day", "event").agg(F.count("*").alias("count"))
-    edges = cut_points(rows, "score", ROWS_PER_BIN)
+    merged = settle(rows.groupBy("score", "day", "event").agg(F.count("*").alias("count")))
+    edges = cut_points(merged, "score", ROWS_PER_BIN)
     binned = with_bin(merged, "score", edges)
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -104,11 +112,17 @@ def concordance(df: DataFrame, score: str | Column, duration: str, event: str) -
     within = binned.groupBy("bin").applyInPandas(inside, "c double, d double, t double")
     c, d, t = (float(v or 0) for v in within.agg(F.sum("c"), F.sum("d"), F.sum("t")).first())
     if edges:
-        cells = binned.groupBy("bin", "day", "event").agg(F.sum("count").alias("n")).toPandas()
-        rank = np.unique(cells["bin"], return_inverse=True)[1]
-        day = np.unique(cells["day"], return_inverse=True)[1]
-        more = _histogram_pairs(rank, day, cells["event"].to_numpy(), cells["n"].to_numpy(dtype="float64"))
-        c, d = c + more[0], d + more[1]
+        cells, bins = binned.groupBy("bin", "day", "event").agg(F.sum("count").alias("count")), len(edges) + 1
+        while bins > BLOCK:
+            # Pairs of neighbouring bins are counted block by block, then a block is one bin.
+            cells = settle(cells.withColumn("block", F.floor(F.col("bin") / BLOCK).cast("int")))
+            near = cells.groupBy("block").applyInPandas(_between, "c double, d double")
+            more = near.agg(F.sum("c"), F.sum("d")).first()
+            c, d = c + float(more[0] or 0), d + float(more[1] or 0)
+            cells = cells.groupBy(F.col("block").alias("bin"), "day", "event").agg(F.sum("count").alias("count"))
+            bins = -(-bins // BLOCK)
+        more = _between(cells.toPandas()).iloc[0]
+        c, d = c + more["c"], d + more["d"]
     pairs = c + d + t
     share = (c + 0.5 * t) / pairs if pairs else float("nan")
     return {"concordant": c, "discordant": d, "tied": t, "pairs": pairs, "concordance": share}
