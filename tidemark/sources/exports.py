@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.errors import SchemaError
 from tidemark.functions.text import null_tokens
+from tidemark.session import settle
 
 SUFFIXES = (".csv", ".txt")
 FILE = "_source_file"
@@ -92,8 +93,13 @@ def read_exports(
 
 
 def broken_rows(df: DataFrame) -> DataFrame:
-    """Rows the reader could not line up with the header, per file."""
-    return df.where(F.col(BROKEN).isNotNull()).groupBy(FILE).agg(F.count("*").alias("rows"))
+    """Rows the reader could not line up with the header, per file.
+
+    The reader tells them only beside a column of the file, so both are written down first.
+    """
+    beside = next(c for c in df.columns if c not in (FILE, ORDER, QUARTER, BROKEN))
+    judged = settle(df.select(FILE, BROKEN, f"`{beside}`"))
+    return judged.where(F.col(BROKEN).isNotNull()).groupBy(FILE).agg(F.count("*").alias("rows"))
 
 
 def rows_per_file(df: DataFrame, file_column: str = FILE) -> DataFrame:
