@@ -235,6 +235,14 @@ def reg_design(spark, folder):
 
 
 QUERIES["reg_design"] = reg_design
+SQL["reg_design"] = WITH_SPELLS + """, r AS (SELECT *, CASE WHEN l_linenumber <> 4 THEN size END AS gappy, CASE WHEN l_partkey = 5 THEN 'only' ELSE p_type END AS kind FROM spells),
+used AS (SELECT * FROM r WHERE gappy IS NOT NULL AND rel_price_premium IS NOT NULL AND late IS NOT NULL),
+x AS (SELECT u.*, CASE WHEN n >= 1000 THEN u.kind ELSE '__rare__' END AS level FROM used u JOIN (SELECT kind, count(*) AS n FROM used GROUP BY kind) c USING (kind)),
+levels AS (SELECT DISTINCT level AS shown FROM x ORDER BY shown OFFSET 1)
+SELECT 'gappy' AS name, FALSE AS "binary", round(stddev_pop(gappy), 7) AS scale, round(avg(gappy), 7) AS mean FROM used
+UNION ALL SELECT 'rel_price_premium', FALSE, round(stddev_pop(rel_price_premium), 7), round(avg(rel_price_premium), 7) FROM used
+UNION ALL SELECT 'late', TRUE, round(stddev_pop(late), 7), round(avg(late), 7) FROM used
+UNION ALL SELECT concat('kind=', shown), TRUE, round(stddev_pop(CAST(level = shown AS INT)), 7), round(avg(CAST(level = shown AS INT)), 7) FROM x, levels GROUP BY shown"""
 
 
 def reg_horizon_label(spark, folder):
