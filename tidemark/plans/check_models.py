@@ -346,12 +346,43 @@ QUERIES["reg_cox"] = reg_cox
 def reg_cox_baseline(spark, folder):
     """Baseline of a model without signal: close to events over rows at risk."""
     fit = survival.fit_cox(spells(spark, folder), ["rel_price_premium"], [], with_concordance=False)
-    return fit.baseline_table(spark).select("t", F.round("survival", 6).alias("survival"))
+    return fit.baseline_table(spark).select("t", F.round("survival", 4).alias("survival"))
 
 
 QUERIES["reg_cox_baseline"] = reg_cox_baseline
 
 
+def _newton_sql(steps: int) -> str:
+    """Newton steps of a one-covariate hazard model with Efron ties, one after another."""
+    text = "b0 AS (SELECT CAST(0 AS DOUBLE) AS b)"
+    for k in range(1, steps + 1):
+        text += f""",
+d{k} AS (SELECT t, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(e) AS m, sum(e * w) AS d0, sum(e * w * x) AS d1, sum(e * w * x * x) AS d2, sum(e * x) AS ex
+  FROM (SELECT duration_days AS t, rel_price_premium AS x, event_sold AS e, exp(b * rel_price_premium) AS w FROM spells, b{k - 1}) GROUP BY t),
+r{k} AS (SELECT *, sum(s0) OVER o AS r0, sum(s1) OVER o AS r1, sum(s2) OVER o AS r2 FROM d{k} WINDOW o AS (ORDER BY t DESC)),
+l{k} AS (SELECT *, unnest(range(CAST(m AS BIGINT))) / m AS f FROM r{k} WHERE m > 0),
+g{k} AS (SELECT sum((r1 - f * d1) / (r0 - f * d0)) AS g, sum((r2 - f * d2) / (r0 - f * d0) - pow((r1 - f * d1) / (r0 - f * d0), 2)) AS i FROM l{k}),
+b{k} AS (SELECT b + ((SELECT sum(ex) FROM d{k}) - g) / i AS b FROM g{k}, b{k - 1})"""
+    return text
+
+
+SQL["reg_cox_baseline"] = WITH_SPELLS + ", " + _newton_sql(6) + """,
+h AS (SELECT t, sum(m) AS m, sum(w) AS w FROM (SELECT duration_days AS t, event_sold AS m, exp(b * (rel_price_premium - (SELECT avg(rel_price_premium) FROM spells))) AS w FROM spells, b6) GROUP BY t),
+k AS (SELECT t, m / sum(w) OVER (ORDER BY t DESC) AS hazard FROM h)
+SELECT t, round(exp(-sum(hazard) OVER (ORDER BY t)), 4) AS survival FROM k"""
+
+
+def reg_cox_price(spark, folder):
+    """Coefficient, its error and the test value of a hazard model with one covariate."""
+    fit = survival.fit_cox(spells(spark, folder), ["rel_price_premium"], [], with_concordance=False)
+    return fit.fit.tables(spark)["coefficients"].select("name", F.round("value", 5).alias("value"), F.round("std_error", 5).alias("std_error"))
+
+
+QUERIES["reg_cox_price"] = reg_cox_price
+SQL["reg_cox_price"] = WITH_SPELLS + ", " + _newton_sql(6) + """
+SELECT 'rel_price_premium' AS name, round(b, 5) AS value, round(1 / sqrt(i), 5) AS std_error FROM b6, g6"""
+
+
 def reg_diagnostics(spark, folder):
     rows = spells(spark, folder)
     cox = survival.fit_cox(rows, ["rel_price_premium", "size"], []).fit
