@@ -2,20 +2,25 @@
 
 The shingle domain is cut into partitions by hash.  Sets whose sizes fall into one band are
 compared under one partitioning: two sets of similarity ``at_least / per`` or more differ in
-at most k shingles, so of any k + 1 subsets of partitions, each shingle belonging to one, at
-least one looks the same in both.  Small sets (k + 2 partitions or fewer than ``PAIRED``)
-enumerate all pairs of k + 2 partitions; larger ones single partitions, of which each set
-keeps only the k + 1 fullest (a global order, so the prefix argument holds and empty or
-thin partitions are used last).  A pair shares a signature whenever it links.
-
-Signatures travel packed, one row per (batch, bucket).  A bucket returns the groups of
-documents that share a signature; links are verified on the shingle sets themselves, star by
-star: a few pivots of a group against the rest, until no pair of a group that is not yet in
-one component is left unverified.  No step lists all pairs of a group.
+at most k shingles, so at most k partitions look different.  Signatures enumerate subsets of
+partitions: pairs of them for small sets, single ones for larger sets.  Enough subsets must
+agree that, in any order common to all sets, the first few of two linked sets share one.  The
+order puts subsets with many uncommon shingles first (a fixed-size table of counts over all
+documents tells), so shared passages and empty partitions seldom decide.  A pair shares a
+signature whenever it links.
+
+Signatures travel packed, one row per (batch, bucket); a bucket returns each document that
+shares a signature with smaller ones beside the smallest of them.  These stars are verified and
+components are formed.  Two documents that share a signature have a pivot in common, so what is
+left are pairs of different components that met one pivot: a few of each group are held
+against the rest, and then all that is outside a group's largest component, where sizes and
+parity sketches are compared in blocks and only pairs they leave open become rows.  Every link
+is decided on the shingle sets of the whole texts.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,14 +28,18 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.llm.common import U64, chunks, mix64, seeded, shuffle_width, text_or_empty, utf8
+from tidemark.llm.common import U64, chunks, mix64, shuffle_width, text_or_empty, utf8
 from tidemark.llm.components import components
 from tidemark.llm.shingles import Sets, shingle_sets
 from tidemark.session import land, settle
 
-PAIRED = 7          # partitions up to which pairs of partitions are enumerated
+PAIRED = 7          # up to PAIRED - 2 differences, pairs of partitions are enumerated
 FLUSH = 1 << 20     # signatures packed per batch
-PIVOTS = 8          # pivots of a group verified per round
+SLOTS = 1 << 20     # counters of hashed shingles
+BLOCKS = 16         # pieces in which they are added up
+COMMON = 3          # a slot this many times fuller than the mean holds a common shingle
+PIVOTS = 4          # members of a group that are held against the rest in the first round
+PART = 1024         # members of a group held at once
 STAR = 64           # members verified beside one copy of a pivot
 FILTER_WORDS = 1 << 16   # 64-bit words of the candidate filter: 512 KB at any size
 
@@ -44,8 +53,9 @@ def size_bands(most: int, at_least: int, per: int) -> np.ndarray:
     return np.array(first, dtype=np.int64)
 
 
-def _partition(sets: Sets, rows: np.ndarray, parts: np.ndarray, salt: np.ndarray):
-    """Content hash and fullness of every partition of ``rows``; parts[i] of them for rows[i]."""
+def _partition(sets: Sets, rows: np.ndarray, parts: np.ndarray, salt: np.ndarray, common: np.ndarray | None = None):
+    """Content hash of every partition of ``rows``, parts[i] of them for rows[i], and its
+    weight: first by how many of its shingles are not ``common``, then by how many it has."""
     sizes = sets.sizes[rows]
     base = np.concatenate([[0], np.cumsum(parts)])
     cells = int(base[-1])
@@ -54,35 +64,41 @@ def _partition(sets: Sets, rows: np.ndarray, parts: np.ndarray, salt: np.ndarray
     hashes = sets.hashes[index]
     part = ((hashes >> U64(32)) * parts[place].astype(U64)) >> U64(32)
     cell = base[:-1][place] + part.astype(np.int64)
-    content, filled = np.zeros(cells, dtype=U64), np.zeros(cells, dtype=np.int64)
+    content, weight = np.zeros(cells, dtype=U64), np.zeros(cells, dtype=np.int64)
     if len(cell):
         begins = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
         content[cell[begins]] = np.add.reduceat(mix64(hashes ^ U64(0x5851F42D4C957F2D)), begins)
-        filled[cell[begins]] = np.diff(np.concatenate([begins, [len(cell)]]))
+        rare = np.ones(len(cell), np.int64) if common is None else (~common[(hashes & U64(SLOTS - 1)).astype(np.int64)]).astype(np.int64)
+        rare, full = np.add.reduceat(rare, begins), np.diff(np.concatenate([begins, [len(cell)]]))
+        weight[cell[begins]] = np.minimum(rare, 15) * 16 + np.minimum(full, 15)
     number = np.arange(cells) - np.repeat(base[:-1], parts)
     owner = np.repeat(np.arange(len(rows)), parts)
     content = mix64(content + mix64(number.astype(U64) * U64(0x9E3779B97F4A7C15) + salt[owner]))
-    return content, filled, owner, base
+    return content, weight, owner, base
 
 
-def _enumerate(sets: Sets, rows, tag, limit, widest, parts_of) -> tuple[np.ndarray, np.ndarray]:
+def _enumerate(sets: Sets, rows, tag, limit, widest, parts_of, common) -> tuple[np.ndarray, np.ndarray]:
     """Signatures of ``rows`` under a size band: differences up to limit[i] (band: widest[i])."""
     out_sig, out_row = [], []
     salt = mix64(tag.astype(U64) + U64(77))
     small = widest + 2 <= PAIRED
-    for k in np.unique(widest[small]):
+    for k in np.unique(widest[small]).tolist():
         of = np.flatnonzero(small & (widest == k))
-        parts = np.full(len(of), k + 2)
-        content, _, _, _ = _partition(sets, rows[of], parts, salt[of])
-        table = content.reshape(len(of), k + 2)
-        for i in range(k + 2):
-            for j in range(i + 1, k + 2):
-                out_sig.append(mix64(table[:, i] * U64(3) + table[:, j]))
-                out_row.append(rows[of])
+        n = k + 4 if k else 2
+        i, j = np.triu_indices(n, 1)
+        content, weight, _, _ = _partition(sets, rows[of], np.full(len(of), n), salt[of], common)
+        content, weight = content.reshape(-1, n), weight.reshape(-1, n)
+        both = mix64(content[:, i] * U64(3) + content[:, j])
+        key = ((U64(511) - (weight[:, i] + weight[:, j]).astype(U64)) << U64(55)) | (both >> U64(9))
+        best = np.take_along_axis(both, np.argsort(key, axis=1), axis=1)
+        # Of the pairs at least C(n - k, 2) look the same, so this many first ones must meet.
+        need = len(i) - (n - limit[of]) * (n - limit[of] - 1) // 2 + 1
+        out_sig.append(best[np.arange(len(i))[None, :] < need[:, None]])
+        out_row.append(np.repeat(rows[of], need))
     of = np.flatnonzero(~small)
     if len(of):
-        content, filled, owner, base = _partition(sets, rows[of], parts_of[of], salt[of])
-        key = ((U64(15) - np.minimum(filled, 15).astype(U64)) << U64(60)) | (content >> U64(4))
+        content, weight, owner, base = _partition(sets, rows[of], parts_of[of], salt[of], common)
+        key = ((U64(255) - weight.astype(U64)) << U64(56)) | (content >> U64(8))
         order = np.argsort(key)
         kind = np.uint16 if len(of) < 65536 else np.int64
         order = order[np.argsort(owner[order].astype(kind), kind="stable")]
@@ -95,7 +111,7 @@ def _enumerate(sets: Sets, rows, tag, limit, widest, parts_of) -> tuple[np.ndarr
     return np.concatenate(out_sig), np.concatenate(out_row)
 
 
-def signatures(sets: Sets, at_least: int, per: int, rows: np.ndarray | None = None):
+def signatures(sets: Sets, at_least: int, per: int, rows: np.ndarray | None = None, common: np.ndarray | None = None):
     """(signature, row) of every non-empty set; linked sets share at least one signature."""
     sizes = sets.sizes
     rows = np.flatnonzero(sizes > 0) if rows is None else rows
@@ -111,24 +127,77 @@ def signatures(sets: Sets, at_least: int, per: int, rows: np.ndarray | None = No
     reach = size * per // at_least
     last = first[band + 1] - 1
     parts = np.maximum(apart(last, last) + 1, (last * 2 + 4) // 5)
-    own = _enumerate(sets, rows, band, apart(size, np.minimum(last, reach)), apart(last, last), parts)
+    own = _enumerate(sets, rows, band, apart(size, np.minimum(last, reach)), apart(last, last), parts, common)
     up = np.flatnonzero(reach > last)
     following = first[band[up] + 2] - 1 if len(up) else last[:0]
     # Under the next band the smaller set is from this one; that band's partitioning holds.
     parts = np.maximum(apart(following, following) + 1, (following * 2 + 4) // 5)
     cross = _enumerate(
-        sets, rows[up], band[up] + 1, apart(size[up], reach[up]), apart(following, following), parts
+        sets, rows[up], band[up] + 1, apart(size[up], reach[up]), apart(following, following), parts, common
     )
     return np.concatenate([own[0], cross[0]]), np.concatenate([own[1], cross[1]])
 
 
-def _sketch(buckets: int, width: int, at_least: int, per: int):
-    """Per batch: a row per document, and packed signatures of the first of equal sets."""
+def _tally(width: int):
+    """Per task: how many documents' shingles fall into each slot, in blocks of slots."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, np.int64)
+        for batch in batches:
+            data, offsets = utf8(batch.column(0))
+            for lo, hi in chunks(offsets):
+                sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
+                counts += np.bincount((sets.hashes & U64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        if counts.any():
+            blobs = [zlib.compress(c.astype(np.uint32).tobytes(), 1) for c in counts.reshape(BLOCKS, -1)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(range(BLOCKS), pa.int32()), pa.array(blobs, pa.binary())], names=["block", "counts"]
+            )
+
+    return run
+
+
+def _fuller(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.int64) for c in pdf["counts"])
+    marks = np.packbits(total > COMMON * total.mean() + 4).tobytes()
+    return pd.DataFrame({"block": pdf["block"].iloc[:1], "marks": [marks]})
+
+
+def common_slots(docs: DataFrame, width: int) -> np.ndarray:
+    """Slots of shingles that far more documents share than others; SLOTS bits at any size."""
+    rows = (
+        docs.select("text").mapInArrow(_tally(width), "block int, counts binary")
+        .groupBy("block").applyInPandas(_fuller, "block int, marks binary").collect()
+    )
+    marks = np.zeros((BLOCKS, SLOTS // BLOCKS), dtype=bool)
+    for r in rows:
+        marks[r["block"]] = np.unpackbits(np.frombuffer(r["marks"], np.uint8)).astype(bool)
+    return marks.ravel()
+
+
+def _parity(own: np.ndarray) -> bytes:
+    """Parity of the set in each of 4 to 8 bits a shingle: two sketches differ in no more bits
+    than their sets do in shingles."""
+    bits = max(64, 1 << int(4 * len(own) - 1).bit_length())
+    odd = np.bincount(((own >> U64(7)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _sketch(buckets: int, width: int, at_least: int, per: int, marks: bytes):
+    """Rows (bucket, kind, packed): kind 0 holds signatures of the first of equal sets of a
+    batch, kind 1 documents with their set's size, parity sketch and first equal document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
         seen: dict[tuple[int, int, int], int] = {}
         held, count = [], 0
 
+        def rows(found, kind, blobs):
+            return pa.RecordBatch.from_arrays(
+                [pa.array(found, pa.int32()), pa.array([kind] * len(found), pa.int32()), pa.array(blobs, pa.binary())],
+                names=["bucket", "kind", "packed"],
+            )
+
         def packed():
             sig = np.concatenate([s for s, _ in held])
             doc = np.concatenate([d for _, d in held])
@@ -136,8 +205,7 @@ def _sketch(buckets: int, width: int, at_least: int, per: int):
             order = np.argsort(bucket, kind="stable")
             sig, doc = (sig // U64(buckets))[order], doc[order]
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            full = np.flatnonzero(np.diff(cut))
-            blobs = []
+            full, blobs = np.flatnonzero(np.diff(cut)), []
             for b in full:
                 ids, place = np.unique(doc[cut[b] : cut[b + 1]], return_inverse=True)
                 kind = np.uint16 if len(ids) < 65536 else np.uint32
@@ -146,14 +214,7 @@ def _sketch(buckets: int, width: int, at_least: int, per: int):
                     + sig[cut[b] : cut[b + 1]].view(np.uint8).reshape(-1, 8)[:, :7].tobytes()
                     + place.astype(kind).tobytes()
                 )
-            empty = [None] * len(full)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(full.tolist(), pa.int32()), pa.array(blobs, pa.binary()),
-                    pa.array(empty, pa.int64()), pa.array(empty, pa.int64()), pa.array(empty, pa.int64()),
-                ],
-                names=["bucket", "packed", "doc_id", "n_shingles", "same_as"],
-            )
+            return rows(full.tolist(), 0, blobs)
 
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
@@ -161,29 +222,24 @@ def _sketch(buckets: int, width: int, at_least: int, per: int):
             for lo, hi in chunks(offsets):
                 sets = shingle_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], width)
                 sizes = sets.sizes
-                one = np.zeros(hi - lo, dtype=U64)
-                two = np.zeros(hi - lo, dtype=U64)
+                one, two = np.zeros(hi - lo, dtype=U64), np.zeros(hi - lo, dtype=U64)
                 full = np.flatnonzero(sizes)
                 if len(full):
                     one[full] = np.add.reduceat(sets.hashes, sets.starts[:-1][full])
                     two[full] = np.add.reduceat(mix64(sets.hashes + U64(1)), sets.starts[:-1][full])
-                same, fresh = np.zeros(hi - lo, np.int64), []
+                same, fresh, sketches = np.zeros(hi - lo, np.int64), [], [b""] * (hi - lo)
                 for i, (n, a, b) in enumerate(zip(sizes.tolist(), one.tolist(), two.tolist())):
                     doc = int(ids[lo + i])
                     same[i] = seen.setdefault((n, a, b), doc) if n else doc
                     if n and same[i] == doc:
                         fresh.append(i)
-                sig, row = signatures(sets, at_least, per, np.array(fresh, dtype=np.int64))
+                        sketches[i] = _parity(sets.of(i))
+                sig, row = signatures(sets, at_least, per, np.array(fresh, dtype=np.int64), common)
                 held.append((sig, ids[lo:hi][row]))
                 count += len(sig)
-                empty = [None] * (hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(empty, pa.int32()), pa.array(empty, pa.binary()),
-                        pa.array(ids[lo:hi], pa.int64()), pa.array(sizes, pa.int64()), pa.array(same, pa.int64()),
-                    ],
-                    names=["bucket", "packed", "doc_id", "n_shingles", "same_as"],
-                )
+                body = np.int64(hi - lo).tobytes() + ids[lo:hi].tobytes() + sizes.tobytes() + same.tobytes()
+                body += np.array([len(x) for x in sketches], np.int32).tobytes() + b"".join(sketches)
+                yield rows([zlib.crc32(body) % buckets], 1, [body])
                 if count >= FLUSH:
                     yield packed()
                     held, count = [], 0
@@ -202,22 +258,74 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(U64).ravel(), ids[place]
 
 
-def _groups(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Distinct groups of two or more documents that share a signature of this bucket."""
-    parts = [_unpack(b) for b in pdf["packed"]]
-    sig, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    del parts
-    order = np.argsort(sig)
-    sig, doc = sig[order], doc[order]
-    begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
-    long = np.diff(np.concatenate([begins, [len(sig)]]))
-    begins, long = begins[long > 1], long[long > 1]
-    found: dict[bytes, np.ndarray] = {}
-    for at, n in zip(begins.tolist(), long.tolist()):
-        members = np.unique(doc[at : at + n])
-        if len(members) > 1:
-            found.setdefault(members.tobytes(), members)
-    return pd.DataFrame({"members": list(found.values())}, columns=["members"])
+FOUND = "pivot long, doc long, n_shingles long, same_as long, sketch binary"
+
+
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Of a bucket: each document that shares a signature with smaller ones, beside the smallest
+    (``pivot``); and the documents that were packed into it, without a pivot."""
+    kept = pdf["kind"] == 0
+    pivot = other = np.zeros(0, np.int64)
+    parts = [_unpack(b) for b in pdf.loc[kept, "packed"]]
+    if parts:
+        sig, doc = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        del parts
+        order = np.argsort(sig)
+        sig, doc = sig[order], doc[order]
+        begins = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]]))
+        long = np.diff(np.append(begins, len(sig)))
+        pivot = np.repeat(np.minimum.reduceat(doc, begins), long)
+        apart = pivot != doc
+        edges = np.unique(np.stack([pivot[apart], doc[apart]], axis=1), axis=0)
+        pivot, other = edges[:, 0], edges[:, 1]
+    docs = []
+    for body in pdf.loc[~kept, "packed"]:
+        n = int(np.frombuffer(body, np.int64, 1)[0])
+        long = np.frombuffer(body, np.int32, n, 8 + 24 * n)
+        ends = 8 + 28 * n + np.cumsum(long)
+        columns = (np.frombuffer(body, np.int64, n, 8 + 8 * n * j).tolist() for j in range(3))
+        docs += [(*x, body[e - l : e]) for *x, l, e in zip(*columns, long.tolist(), ends.tolist())]
+    none = [None] * len(pivot)
+    return pd.DataFrame(
+        {
+            "pivot": pd.array(pivot.tolist() + [None] * len(docs), dtype="Int64"),
+            "doc": pd.array(other.tolist() + [d[0] for d in docs], dtype="Int64"),
+            "n_shingles": pd.array(none + [d[1] for d in docs], dtype="Int64"),
+            "same_as": pd.array(none + [d[2] for d in docs], dtype="Int64"),
+            "sketch": pd.Series(none + [d[3] for d in docs], dtype=object),
+        }
+    )
+
+
+def _near(at_least: int, per: int):
+    """Pairs whose parity sketches do not rule the link out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).to_pylist() for i in range(6)]
+            keep = []
+            for n, m, a, b in zip(*columns[2:]):
+                while len(a) > len(b):
+                    a = (int.from_bytes(a[: len(a) // 2], "little") ^ int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
+                while len(b) > len(a):
+                    b = (int.from_bytes(b[: len(b) // 2], "little") ^ int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
+                apart = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
+                keep.append(
+                    per * min(n, m) >= at_least * max(n, m) and apart <= (n + m) * (per - at_least) // (per + at_least)
+                )
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["pivot", "doc"])
+
+    return run
+
+
+def possible(pairs: DataFrame, docs: DataFrame, at_least: int, per: int) -> DataFrame:
+    """The pairs (pivot, doc) that sizes and sketches leave open; ``docs`` has both per document."""
+    own = docs.select("doc_id", "n_shingles", "sketch")
+    return (
+        pairs.join(own.toDF("pivot", "n", "a"), "pivot").join(own.toDF("doc", "m", "b"), "doc")
+        .select("pivot", "doc", "n", "m", "a", "b").mapInArrow(_near(at_least, per), "pivot long, doc long")
+    )
 
 
 def _verify(width: int, at_least: int, per: int):
@@ -280,6 +388,83 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, at_least: int, per: in
     return rows.mapInArrow(_verify(width, at_least, per), "u long, v long")
 
 
+def open_seats(edges: DataFrame, fresh: DataFrame, joined: DataFrame) -> DataFrame:
+    """A pivot and what met it are a group; the members of groups that lie in several components.
+
+    ``rank`` counts a group's components from its largest one, ``turn`` its members from the
+    smallest component's.
+    """
+    nodes = fresh.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).join(
+        joined.withColumnRenamed("node", "doc"), "doc", "left"
+    ).withColumn("component", F.coalesce("component", "doc"))
+    members = edges.select(F.col("pivot").alias("gid"), "doc").union(edges.select("pivot", "pivot").distinct())
+    group, part = Window.partitionBy("gid"), Window.partitionBy("gid", "component")
+    seats = members.join(nodes, "doc").repartition("gid").withColumns(
+        {"low": F.min("component").over(group), "high": F.max("component").over(group)}
+    ).filter("low != high").withColumn("many", F.count(F.lit(1)).over(part))
+    seats = seats.withColumn("rank", F.dense_rank().over(group.orderBy(F.desc("many"), "component")))
+    seats = seats.withColumn("turn", F.row_number().over(group.orderBy(F.desc("rank"), F.xxhash64("doc"), "doc")))
+    return settle(seats.select("gid", "doc", "n", "component", "rank", "turn"))
+
+
+def _hold(at_least: int, per: int):
+    """Rows (gid, part, role, component, doc, n, sketch), members (role 0) before heads (role 1)
+    of a part: the pairs of different components that sizes and sketches leave open."""
+
+    def folded(table: np.ndarray, words: int) -> np.ndarray:
+        while table.shape[1] > words:
+            half = table.shape[1] // 2
+            table = table[:, :half] ^ table[:, half:]
+        return table
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, members, tables = None, [], None
+        for batch in batches:
+            us, vs = [], []
+            for gid, part, role, component, doc, n, sketch in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if key != (gid, part):
+                    key, members, tables = (gid, part), [], None
+                if role == 0:
+                    members.append((component, doc, n, sketch))
+                    continue
+                if tables is None:
+                    by: dict[int, list] = {}
+                    for m in members:
+                        by.setdefault(len(m[3]), []).append(m)
+                    tables = [
+                        (*(np.array([m[j] for m in v]) for j in range(3)), np.frombuffer(b"".join(m[3] for m in v), U64).reshape(len(v), -1))
+                        for v in by.values()
+                    ]
+                for components_, ids, sizes, table in tables:
+                    fits = (per * np.minimum(sizes, n) >= at_least * np.maximum(sizes, n)) & (components_ != component)
+                    if fits.any():
+                        words = min(table.shape[1], len(sketch) // 8)
+                        own = folded(np.frombuffer(sketch, U64)[None, :], words)
+                        off = np.bitwise_count(folded(table[fits], words) ^ own).sum(axis=1)
+                        near = ids[fits][off <= (sizes[fits] + n) * (per - at_least) // (per + at_least)]
+                        us += np.minimum(near, doc).tolist()
+                        vs += np.maximum(near, doc).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["pivot", "doc"])
+
+    return run
+
+
+def apart(seats: DataFrame, fresh: DataFrame, at_least: int, per: int) -> DataFrame:
+    """Pairs of a group that may link two of its components.
+
+    A group's members are held in parts of ``PART``, and those outside its largest component
+    pass by each part; only pairs that stay open become rows.
+    """
+    size = seats.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
+    own = seats.join(size, "gid").join(fresh.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
+    held = own.select("gid", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(0).alias("role"), "component", "doc", "n", "sketch")
+    heads = own.filter("rank > 1").select(
+        "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "component", "doc", "n", "sketch"
+    )
+    rows = held.union(heads).repartition("gid", "part").sortWithinPartitions("gid", "part", "role", "doc")
+    return rows.mapInArrow(_hold(at_least, per), "pivot long, doc long").distinct()
+
+
 def ngram_join(
     df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: int = 75, per: int = 100
 ) -> DataFrame:
@@ -291,8 +476,8 @@ def ngram_join(
     anything but the six ASCII white-space characters.
 
     Null or blank texts have an empty set and are alone.  Fewer words than ``width`` make one
-    shingle.  Rows with a null id are left out; rows that repeat an id with the same text
-    count once.  Similarity exactly at the bound links.  An empty table gives an empty
+    shingle.  Rows with a null id are left out; ids are keys, so rows that repeat an id repeat
+    its text, and count once.  Similarity exactly at the bound links.  An empty table gives an empty
     result.  Other columns of ``df`` are not read, so their names cannot clash.
     """
     spark = df.sparkSession
@@ -300,58 +485,37 @@ def ngram_join(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
     buckets = 2 * shuffle_width(spark)
+    marks = np.packbits(common_slots(docs, width)).tobytes()
     sketch = land(
-        docs.mapInArrow(
-            _sketch(buckets, width, at_least, per),
-            "bucket int, packed binary, doc_id long, n_shingles long, same_as long",
-        ),
-        "ngram-sketch",
+        docs.mapInArrow(_sketch(buckets, width, at_least, per, marks), "bucket int, kind int, packed binary")
+        .groupBy("bucket").applyInPandas(_meet, FOUND),
+        "ngram-meetings",
     )
-    sizes = sketch.filter("doc_id is not null").groupBy("doc_id").agg(
-        F.max("n_shingles").alias("n_shingles"), F.min("same_as").alias("same_as")
+    known = sketch.filter("pivot is null").withColumnRenamed("doc", "doc_id")
+    edges = settle(sketch.filter("pivot is not null").select("pivot", "doc").distinct())
+    # Copies in other tasks have sketches of their own; a repeated id keeps one row.
+    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("same_as").alias("same_as"))
+    fresh = known.filter("n_shingles > 0 and same_as = doc_id").groupBy("doc_id").agg(
+        F.max("n_shingles").alias("n_shingles"), F.max_by("sketch", "n_shingles").alias("sketch")
     )
-    sizes = settle(sizes)
-    same = sizes.filter("same_as != doc_id").select(F.col("doc_id").alias("u"), F.col("same_as").alias("v"))
-    groups = (
-        sketch.filter("bucket is not null").select("bucket", "packed")
-        .groupBy("bucket").applyInPandas(_groups, "members array<long>")
-        .withColumn("gid", F.xxhash64("members"))
-        .dropDuplicates(["gid"])
+    same = known.filter("same_as != doc_id").select(F.col("doc_id").alias("u"), F.col("same_as").alias("v"))
+    links = settle(verify(docs, possible(edges, fresh, at_least, per), width, at_least, per).distinct())
+    # A few more pivots join most of what belongs together; then the rest is held apart.
+    seats = open_seats(edges, fresh, components(links.union(same)))
+    heads = seats.filter((F.col("turn") <= PIVOTS) & (F.col("rank") > 1)).select(
+        "gid", F.col("doc").alias("head"), F.col("turn").alias("t"), F.col("component").alias("c"), F.col("n").alias("m")
     )
-    groups = settle(groups)
-    links = None
-    done = 0  # pivots of each group that are verified against the rest
-    first = settle(
-        groups.select(F.col("members")[0].alias("pivot"), F.explode(F.slice("members", 2, F.size("members"))).alias("doc")).distinct()
+    alike = (F.col("n") * per >= F.col("m") * at_least) & (F.col("m") * per >= F.col("n") * at_least)
+    pairs = (
+        seats.join(heads, (seats["gid"] == heads["gid"]) & (F.col("c") != F.col("component")) & (F.col("t") < F.col("turn")) & alike)
+        .select(F.col("head").alias("pivot"), "doc").distinct()
     )
-    links = settle(verify(docs, first, width, at_least, per).distinct())
-    done, wide = 1, groups.filter(F.size("members") > 2)
-    asked = first
-    while True:
-        joined = components(links.union(same))
-        seats = wide.select("gid", F.posexplode("members").alias("pos", "doc")).filter(F.col("pos") >= done)
-        placed = seats.join(joined, seats["doc"] == joined["node"], "left").select(
-            "gid", "pos", "doc", F.coalesce("component", "doc").alias("component")
-        )
-        mixed = placed.groupBy("gid").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a != b")
-        open_seats = settle(placed.join(mixed.select("gid"), "gid", "left_semi"))
-        heads = open_seats.filter(F.col("pos") < done + PIVOTS).groupBy("gid").agg(
-            F.collect_list(F.struct("pos", "doc", "component")).alias("heads")
-        )
-        pairs = (
-            open_seats.join(heads, "gid")
-            .select("gid", "pos", "doc", "component", F.explode("heads").alias("head"))
-            .filter((F.col("head.pos") < F.col("pos")) & (F.col("head.component") != F.col("component")))
-            .select(F.col("head.doc").alias("pivot"), "doc").distinct()
-            .join(asked, ["pivot", "doc"], "left_anti")
-        )
-        pairs = settle(pairs)
-        if open_seats.isEmpty():
-            break
-        done += PIVOTS
-        if not pairs.isEmpty():
-            links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
-            asked = settle(asked.union(pairs))
+    links = settle(links.union(verify(docs, possible(pairs, fresh, at_least, per), width, at_least, per)).distinct())
+    still = seats.filter("doc != gid").select(F.col("gid").alias("pivot"), "doc")
+    seats = open_seats(still, fresh, components(links.union(same)))
+    pairs = settle(apart(seats, fresh, at_least, per))
+    links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
+    joined = components(links.union(same))
     ends = links.select("u").union(links.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
     return (
         sizes.join(joined, sizes["doc_id"] == joined["node"], "left")
@@ -383,8 +547,7 @@ reach(u, v) AS (
   SELECT doc_id, doc_id FROM sets
   UNION
   SELECT reach.u, near.v FROM reach JOIN near ON reach.v = near.u),
-least AS (SELECT u, min(v) AS c FROM reach GROUP BY u),
-ends AS (SELECT u, count(*) AS n FROM near GROUP BY u)
+least AS (SELECT u, min(v) AS c FROM reach GROUP BY u)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, least.c AS component_id
 FROM sets s JOIN least ON least.u = s.doc_id
 """
