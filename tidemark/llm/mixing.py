@@ -176,11 +176,13 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
     rows = rows.withColumn("__taken", F.filter("__cut", lambda p: p["uses"] >= F.col("__copy")))
     words = F.regexp_extract_all(F.col(text_col), F.lit(WORD), F.lit(0))
-    some = F.array_join(
-        F.flatten(F.transform(F.col("__taken"), lambda p: F.slice(F.col("__words"), (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " "
-    )
+    # The words stand in an array of one, so they are found once and not for every piece.
+    some = F.transform(
+        F.array(words),
+        lambda w: F.array_join(F.flatten(F.transform("__taken", lambda p: F.slice(w, (p["from_word"] + 1).cast("int"), p["words"].cast("int")))), " "),
+    )[0]
     whole = F.size("__taken") == F.size("__cut")
-    rows = rows.withColumn("__words", F.when(~whole, words)).withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
+    rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
     if chars_col in df.columns:
         rows = rows.withColumn(chars_col, F.char_length(text_col).cast(df.schema[chars_col].dataType))
     return rows.select(*df.columns)
