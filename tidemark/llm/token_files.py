@@ -17,6 +17,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from tidemark.llm.common import IS_SPACE, U64, chunks, mix64, powers, seeded, shuffle_width, text_or_empty, utf8
@@ -32,14 +33,16 @@ REMEMBERED = 1 << 20  # distinct stretches of text whose ids a worker remembers
 BASE = 0xA24BAED4963EE407
 INVERSE = pow(BASE, -1, 1 << 64)
 WORDS = seeded(256, 21)
+LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+MARK = np.array([b in b",.;:!?#%&*$" for b in range(256)])
 
 
 class Encoder:
     """Ids by the tokenizer library, which is asked once per distinct stretch of text.
 
     The tokenizer splits a text before it merges bytes, and never joins what stands before a
-    lone space or line break with what follows; so a text may be cut there without changing
-    an id.  Ids of distinct stretches are remembered, up to a bound.
+    lone space or line break, or between a letter and a mark, with what follows; so a text may
+    be cut there without changing an id.  Ids of distinct stretches are remembered, up to a bound.
     """
 
     def __init__(self, path: str):
@@ -66,7 +69,12 @@ class Encoder:
         sums = np.zeros(len(data) + 1, dtype=U64)
         np.cumsum(WORDS[data] * powers(BASE, len(data)), out=sums[1:])
         name = mix64((sums[ends] - sums[starts]) * powers(INVERSE, len(data))[starts] + (ends - starts).astype(U64))
-        distinct, first, which = np.unique(name, return_index=True, return_inverse=True)
+        order = np.argsort(name)
+        ranked = name[order]
+        fresh = np.ones(len(ranked), dtype=bool)
+        fresh[1:] = ranked[1:] != ranked[:-1]
+        distinct, first, which = ranked[fresh], order[fresh], np.empty(len(name), dtype=np.int64)
+        which[order] = np.cumsum(fresh) - 1
         if len(self.name) > REMEMBERED:
             self._clear()
         place = np.searchsorted(self.name, distinct)
@@ -80,9 +88,9 @@ class Encoder:
             long = np.fromiter(map(len, ids), np.int64, len(ids))
             at = len(self.pool) + np.cumsum(long) - long
             self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), self.pool.dtype, int(long.sum()))])
-            order = np.argsort(np.concatenate([self.name, distinct[new]]), kind="stable")
-            self.name = np.concatenate([self.name, distinct[new]])[order]
-            self.at, self.long = np.concatenate([self.at, at])[order], np.concatenate([self.long, long])[order]
+            spot = place[new]  # both are sorted, so the new ones have their places already
+            self.at, self.long = np.insert(self.at, spot, at), np.insert(self.long, spot, long)
+            self.name = np.insert(self.name, spot, distinct[new])
             place = np.searchsorted(self.name, distinct)
         at, long = self.at[place][which], self.long[place][which]
         stop = np.cumsum(long)
@@ -91,7 +99,8 @@ class Encoder:
 
 
 def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Starts of the stretches: texts, and where a lone space or line break stands."""
+    """Starts of the stretches: texts, where a lone space or line break stands, and where one of
+    a few marks follows a letter (none of them is part of a contraction or a special token)."""
     n = len(data)
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
@@ -110,6 +119,7 @@ def cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     lone[:-1] &= ~first[1:]  # a text that ends in white space is left whole
     first |= lone
     first[1:] |= lone[:-1] & (data[:-1] == 10)
+    first[1:] |= LETTER[data[:-1]] & MARK[data[1:]]
     return np.flatnonzero(first)
 
 
@@ -200,60 +210,26 @@ def unpack_bits(bits: bytes, checkpoints: np.ndarray, n: int, table: tuple[np.nd
     return out.ravel()[:n]
 
 
-def _counts(path: str, size: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, total = encoder(path), np.zeros(size, np.int64)
-        for batch in batches:
-            data, offsets = utf8(batch.column(0))
-            for lo, hi in chunks(offsets, BYTES):
-                ids, _ = tool.encode(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-                total += np.bincount(ids, minlength=size)
-                total[END] += hi - lo
-        if total.any():
-            parts = np.array_split(total, PIECES)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(range(PIECES), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())],
-                names=["piece", "counts"],
-            )
-
-    return run
-
-
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "counts": [total.tobytes()]})
-
+def _tokenize(path: str, size: int):
+    """Rows (part, block, …): the ids of whole documents in order, packed; at a task's end its counts."""
 
-def id_counts(docs: DataFrame, path: str, size: int) -> np.ndarray:
-    """How often each id occurs in all documents; a vector as long as the vocabulary."""
-    rows = (
-        docs.select("text").mapInArrow(_counts(path, size), "piece int, counts binary")
-        .groupBy("piece").applyInPandas(_added, "piece int, counts binary").collect()
-    )
-    parts = np.array_split(np.zeros(size, np.int64), PIECES)
-    for r in rows:
-        parts[r["piece"]] = np.frombuffer(r["counts"], np.int64)
-    return np.concatenate(parts)
-
-
-def _write(path: str, lengths: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool = encoder(path)
-        long = np.frombuffer(lengths, np.uint8)
-        codes = canonical(long)
+        tool, total = encoder(path), np.zeros(size, np.int64)
+        pack, none = zstandard.ZstdCompressor(level=3), pa.array([None], pa.binary())
         held, count, number, part = [], 0, 0, 0
 
         def block():
             ids = np.concatenate([h[1] for h in held])
             sizes = np.concatenate([h[2] for h in held])
-            bits, marks = pack_bits(ids, codes, long)
+            total[:] += np.bincount(ids, minlength=size)
             return pa.RecordBatch.from_arrays(
                 [
                     pa.array([part], pa.int32()), pa.array([number], pa.int32()), pa.array([len(ids)], pa.int64()),
                     pa.array([np.concatenate([h[0] for h in held]).tobytes()], pa.binary()), pa.array([sizes.tobytes()], pa.binary()),
-                    pa.array([np.diff(marks, prepend=0).astype(np.uint32).tobytes()], pa.binary()), pa.array([bits], pa.binary()),
+                    pa.array([pack.compress(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())], pa.binary()),
+                    pa.array([None], pa.int32()), none,
                 ],
-                names=["part", "block", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"],
+                names=["part", "block", "n_tokens", "doc_ids", "doc_tokens", "ids", "piece", "counts"],
             )
 
         for batch in batches:
@@ -278,10 +254,59 @@ def _write(path: str, lengths: bytes):
                         held, count, number = [], 0, number + 1
         if held:
             yield block()
+        if total.any():
+            empty, ints = pa.array([None] * PIECES, pa.binary()), pa.array([None] * PIECES, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    ints, ints, pa.array([None] * PIECES, pa.int64()), empty, empty, empty, pa.array(range(PIECES), pa.int32()),
+                    pa.array([zlib.compress(p.tobytes(), 1) for p in np.array_split(total, PIECES)], pa.binary()),
+                ],
+                names=["part", "block", "n_tokens", "doc_ids", "doc_tokens", "ids", "piece", "counts"],
+            )
+
+    return run
+
+
+def _added(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(zlib.decompress(c), np.int64) for c in pdf["counts"])
+    return pd.DataFrame({"piece": pdf["piece"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def id_counts(tokens: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs in all documents; a vector as long as the vocabulary."""
+    rows = (
+        tokens.filter("piece is not null").select("piece", "counts")
+        .groupBy("piece").applyInPandas(_added, "piece int, counts binary").collect()
+    )
+    parts = np.array_split(np.zeros(size, np.int64), PIECES)
+    for r in rows:
+        parts[r["piece"]] = np.frombuffer(r["counts"], np.int64)
+    return np.concatenate(parts)
+
+
+def _code(lengths: bytes):
+    """Packed ids of a block to its code bits and checkpoints."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        long = np.frombuffer(lengths, np.uint8)
+        codes, unpack = canonical(long), zstandard.ZstdDecompressor()
+        for batch in batches:
+            bits, marks = [], []
+            for packed in batch.column(5).to_pylist():
+                raw = np.frombuffer(unpack.decompress(packed), np.uint8)
+                ids = np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").ravel().astype(np.int32)
+                some, at = pack_bits(ids, codes, long)
+                bits.append(some)
+                marks.append(np.diff(at, prepend=0).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(5)), pa.array(marks, pa.binary()), pa.array(bits, pa.binary())],
+                names=["part", "block", "n_tokens", "doc_ids", "doc_tokens", "checkpoints", "bits"],
+            )
 
     return run
 
 
+TOKENS = "part int, block int, n_tokens long, doc_ids binary, doc_tokens binary, ids binary, piece int, counts binary"
 BLOCKS = "part int, block int, n_tokens long, doc_ids binary, doc_tokens binary, checkpoints binary, bits binary"
 
 
@@ -289,15 +314,18 @@ def write_ids(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     """Encode all texts and write their ids; the blocks as written, and the code lengths.
 
     Documents are dealt by id range and sorted, so part, block and place in the block are
-    ascending in id.  A document is never divided; blocks are closed at BLOCK_TOKENS tokens.
+    ascending in id.  They are encoded once; the packed ids wait in the checkpoint folder for
+    the global counts.  A document is never divided; blocks are closed at BLOCK_TOKENS tokens.
     """
     docs = df.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
-    lengths = code_lengths(id_counts(docs, tokenizer, encoder(tokenizer).size)).tobytes()
     ordered = docs.repartitionByRange(2 * shuffle_width(df.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    blocks = ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_write(tokenizer, lengths), BLOCKS)
-    return land(blocks, "token-ids"), lengths
+    size = encoder(tokenizer).size
+    tokens = land(ordered.withColumn("part", F.spark_partition_id()).mapInArrow(_tokenize(tokenizer, size), TOKENS), "tokens")
+    lengths = code_lengths(id_counts(tokens, size)).tobytes()
+    blocks = tokens.filter("piece is null").select("part", "block", "n_tokens", "doc_ids", "doc_tokens", "ids")
+    return land(blocks.mapInArrow(_code(lengths), BLOCKS), "token-ids"), lengths
 
 
 def _read(lengths: bytes):
