@@ -78,9 +78,9 @@ def test_hazard_residuals_do_not_alarm(fitted):
     assert rows["rel_price_premium"] > 0.001
 
 
-def test_tie_sums_integrate_like_they_add(monkeypatch):
+def test_tie_sums_in_pieces_equal_those_at_once(monkeypatch):
     exact = survival.tie_sums(45_000.0, 36_000.0, 15_000)
-    monkeypatch.setattr(survival, "EXACT_TIES", 10)
+    monkeypatch.setattr(survival, "TIES_AT_ONCE", 1_000)
     assert np.allclose(survival.tie_sums(45_000.0, 36_000.0, 15_000), exact, rtol=1e-9)
 
 
