@@ -410,7 +410,7 @@ WHERE lower(unit_id) LIKE '%eco%' OR lower(unit_type) LIKE '%eco%' OR lower(buil
 
 
 def plan_floor_grid(spark, folder):
-    first = F.min_by(F.struct("phase_index", "price_ppsf"), "phase_index").alias("p")
+    first = F.min(F.struct("phase_index", "price_ppsf")).alias("p")
     rows = plan_rows(spark, folder).groupBy("project", "unit_id").agg(first).select("project", "unit_id", "p.*")
     # Every eleventh unit has no building, every thirteenth no floor.
     seats = units(spark, folder).withColumns(
@@ -420,16 +420,16 @@ def plan_floor_grid(spark, folder):
         }
     )
     found = cube.floor_grid(seats, rows, KEYS)
-    return _rounded(found, ["project", "unit_id", "building", "floor", "position"], ["price_ppsf", "min_price", "max_price"])
+    return _rounded(found, ["project", "unit_id", "building", "floor", "position"], ["price_ppsf", "min_price", "max_price"], 2)
 
 
 QUERIES["plan_floor_grid"] = plan_floor_grid
 SQL["plan_floor_grid"] = WITH_PLAN + """, seats AS (SELECT project, unit_id, CASE WHEN k % 11 <> 0 THEN building END AS building, CASE WHEN k % 13 <> 0 THEN floor END AS floor FROM units),
-first AS (SELECT * FROM rows_ QUALIFY row_number() OVER (PARTITION BY project, unit_id ORDER BY phase_index) = 1)
+first AS (SELECT * FROM rows_ QUALIFY row_number() OVER (PARTITION BY project, unit_id ORDER BY phase_index, price) = 1)
 SELECT s.project, s.unit_id, s.building, s.floor, CASE WHEN s.building IS NOT NULL AND s.floor IS NOT NULL THEN
     CAST(row_number() OVER (PARTITION BY s.project, s.building, s.floor ORDER BY s.unit_id) AS INT) END AS position,
-  round(price, 4) AS price_ppsf, round(min(price) OVER (PARTITION BY s.project, s.building), 4) AS min_price,
-  round(max(price) OVER (PARTITION BY s.project, s.building), 4) AS max_price
+  round(price, 2) AS price_ppsf, round(min(price) OVER (PARTITION BY s.project, s.building), 2) AS min_price,
+  round(max(price) OVER (PARTITION BY s.project, s.building), 2) AS max_price
 FROM seats s LEFT JOIN first f ON s.project = f.project AND s.unit_id = f.unit_id"""
 
 
@@ -664,7 +664,7 @@ def scn_cube(spark, folder):
 
 QUERIES["scn_cube"] = scn_cube
 SQL["scn_cube"] = WITH_DRAWS + """SELECT c.project, phase_index, count(*) AS cells, count(*) FILTER (releasable AND delay <= slack) AS open_cells,
-  round(sum(CASE WHEN releasable AND delay <= slack THEN (1 - pow(1 - p, exp(b * ((1 + premium) / (1 + drift) - 1) + 1.6 * premium - 0.01 * inv + ab))) * price * area * discount ELSE 0 END) / 1000, 1) AS discounted_kusd
+  round(sum(CASE WHEN delay > 0 AND NOT (releasable AND delay <= slack) THEN 0 ELSE (1 - pow(1 - p, exp(b * ((1 + premium) / (1 + drift) - 1) + 1.6 * premium - 0.01 * inv + ab))) * price * area * discount END) / 1000, 1) AS discounted_kusd
 FROM cube c JOIN draws d ON c.project = d.project GROUP BY 1, 2"""
 
 
