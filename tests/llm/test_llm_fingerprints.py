@@ -1,4 +1,5 @@
 import hashlib
+import random
 from collections import Counter
 
 import odd
@@ -59,3 +60,21 @@ def test_edges(spark):
 def test_no_python_on_the_path(spark):
     plan = fingerprints.fingerprints(odd.frame(spark, odd.rows(1, 20)))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
+
+
+def test_few_words_and_texts_without_blanks_keep_their_first_half(spark):
+    rng = random.Random(5)
+    texts = [
+        "word " * 3_000, "\n".join(["la"] * 2_000), "\t".join(f"w{i}" for i in range(900)), "a b " * 60,
+        "".join(chr(0x4E00 + rng.randrange(2_000)) for _ in range(3_000)), "x" * 5_000, "ab" * 150,
+        " ".join("".join(rng.choice("acgt") for _ in range(17)) for _ in range(200)),
+    ]
+    rows = [(2 * i, t, "s") for i, t in enumerate(texts)] + [
+        (2 * i + 1, " ".join(f"other{i}_{j}" for j in range(3_000)), "s") for i in range(len(texts))
+    ]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(odd.frame(spark, rows)).collect()}
+    assert all(0 < got[2 * i]["near_edited"] < 1 for i in range(len(texts)))
+    # In a text without blanks an insertion at its start leaves most paragraphs as they were.
+    frame = spark.createDataFrame([(texts[4], "新しい" + texts[4])], "a string, b string")
+    pair = fingerprints.digests(fingerprints.digests(frame, "a", "x"), "b", "y").first()
+    assert 2 * len(set(pair["x"]) & set(pair["y"])) > len(set(pair["x"]) | set(pair["y"]))

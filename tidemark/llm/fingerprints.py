@@ -1,9 +1,13 @@
 """Document fingerprints that subtract: invertible Bloom lookup sketches of paragraph digests.
 
-A text is cut into paragraphs by its own words: a word ends a paragraph when its hash is a
-multiple of a step that follows the text's length, so texts of any length have about as many
-paragraphs, and an insertion moves no other cut.  Paragraphs of the step and of twice the step
-are both kept, so texts whose lengths differ by up to twice share a level.
+A text is cut into paragraphs by its own words: a word ends a paragraph when the hash of it and
+the two before it is a multiple of a step that follows the text's length, so texts of any length
+have about as many paragraphs, and an insertion moves only the cuts beside it.  Where no word
+does so for twice the step, a cut is made there, so a text of few different words has paragraphs
+too; these cuts are in step again behind the next one that the words make.  Words have at most
+8 code points: longer ones count as several, runs without white space far beyond that as single
+code points.  Paragraphs of the step and of twice the step are both kept, so texts whose lengths
+differ by up to twice share a level.
 
 Each digest goes into one cell of each of three tables; a cell holds a count and the exclusive
 or of its digests, which carry a checksum.  Two sketches subtract cell by cell: what the texts
@@ -19,6 +23,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from tidemark.llm.common import shuffle_width
 from tidemark.session import land, settle
 
+# Words of up to 24 code points in pieces of 8; of longer ones all but the last 24 one by one.
+UNITS = r"[^\x20\x09-\x0D]{1,8}(?=[^\x20\x09-\x0D]{0,16}+(?![^\x20\x09-\x0D]))[\x20\x09-\x0D]?|[^\x20\x09-\x0D]|[\x20\x09-\x0D]"
+BLANKS = "\t\n\x0b\x0c\r"
+LONGEST = 2        # steps without a cut before one is made
 PARAGRAPHS = 48    # code points of the text per word of a paragraph: about 8 to 16 paragraphs
 CELLS = 20         # cells of one of the three tables, at first
 STEPS = 30         # peeling steps, a table each
@@ -34,19 +42,27 @@ def step_of(chars: Column) -> Column:
 
 def digests(df: DataFrame, text: str, name: str) -> DataFrame:
     """Add the distinct paragraph digests of column ``text``: 40 hashed bits under 24 of checksum."""
-    df = df.withColumns(
-        {"__h": F.transform(F.split(F.col(text), " "), lambda w: F.xxhash64(w)), "__s": step_of(F.char_length(text))}
-    )
+    units = F.regexp_extract_all(F.translate(F.col(text), BLANKS, " " * len(BLANKS)), F.lit(UNITS), F.lit(0))
+    units = F.when(F.char_length(text) == 0, F.array(F.lit(""))).otherwise(units)
+    df = df.withColumns({"__h": F.transform(units, lambda w: F.xxhash64(w)), "__s": step_of(F.char_length(text))})
+    # Low bits, which decide, come from all three words.
+    met = "element_at(__h, i) ^ shiftrightunsigned(coalesce(get(__h, i - 2), 0L), 21) ^ shiftrightunsigned(coalesce(get(__h, i - 3), 0L), 42)"
     df = df.withColumn(
-        "__ends",
-        F.expr("filter(sequence(1, size(__h)), i -> pmod(element_at(__h, i), __s) = 0 or i = size(__h))"),
+        "__marks", F.expr(f"filter(transform(sequence(1, size(__h)), i -> struct(i as i, {met} as m)), c -> pmod(c.m, __s) = 0 or c.i = size(__h))")
+    )
+    df = df.withColumn("__ends", F.expr("transform(__marks, c -> c.i)"))
+    df = df.withColumn("__wide", F.expr("transform(filter(__marks, c -> pmod(c.m, 2 * __s) = 0 or c.i = size(__h)), c -> c.i)"))
+    made = (
+        "flatten(zip_with({e}, concat(array(0), slice({e}, 1, size({e}) - 1)), (e, p) -> if(e - p <= {most}, array(e), "
+        "concat(sequence(p + {most}, e - 1, {most}), array(e)))))"
     )
-    df = df.withColumn("__wide", F.expr("filter(__ends, i -> pmod(element_at(__h, i), 2 * __s) = 0 or i = size(__h))"))
+    df = df.withColumn("__ends", F.expr(made.format(e="__ends", most=f"cast({LONGEST} * __s as int)")))
+    df = df.withColumn("__wide", F.expr(made.format(e="__wide", most=f"cast({LONGEST} * 2 * __s as int)")))
     cut = "zip_with({e}, concat(array(0), slice({e}, 1, size({e}) - 1)), (e, p) -> xxhash64(slice(__h, p + 1, e - p), {s}) & 1099511627775L)"
     df = df.withColumn("__low", F.expr(f"array_distinct(concat({cut.format(e='__ends', s='__s')}, {cut.format(e='__wide', s='2L * __s')}))"))
     checked = F.expr("transform(__low, d -> d | shiftleft(xxhash64(d), 40))")
     return df.withColumn(name, F.when(F.char_length(text) == 0, F.array().cast("array<long>")).otherwise(checked)).drop(
-        "__h", "__s", "__ends", "__wide", "__low"
+        "__h", "__s", "__marks", "__ends", "__wide", "__low"
     )
 
 
