@@ -78,3 +78,12 @@ def test_few_words_and_texts_without_blanks_keep_their_first_half(spark):
     frame = spark.createDataFrame([(texts[4], "新しい" + texts[4])], "a string, b string")
     pair = fingerprints.digests(fingerprints.digests(frame, "a", "x"), "b", "y").first()
     assert 2 * len(set(pair["x"]) & set(pair["y"])) > len(set(pair["x"]) | set(pair["y"]))
+
+
+def test_buckets_are_even_whatever_the_ids(spark):
+    for ids in ([2**62 + i for i in range(1_000)] + [-(2**62)], [i * i * i for i in range(1_000)]):
+        docs = spark.createDataFrame([(i, f"text {i}") for i in ids], "doc_id long, text string")
+        rows = fingerprints._with_next(docs).collect()
+        after = dict(zip(sorted(ids), sorted(ids)[1:] + [min(ids)]))
+        assert {r["doc_id"]: r["next_text"] for r in rows} == {i: f"text {after[i]}" for i in ids}
+        assert max(Counter(r["bucket"] for r in rows).values()) < 300

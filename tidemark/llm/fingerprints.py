@@ -30,7 +30,7 @@ LONGEST = 2        # steps without a cut before one is made
 PARAGRAPHS = 48    # code points of the text per word of a paragraph: about 8 to 16 paragraphs
 CELLS = 20         # cells of one of the three tables, at first
 STEPS = 30         # peeling steps, a table each
-GRID = 1 << 14     # equal pieces of the id range that are counted for even buckets
+SAMPLED = 32       # ids a bucket that are looked at for even buckets
 
 STATE = "struct<x:array<struct<c:int,k:bigint>>,y:array<struct<c:int,k:bigint>>,z:array<struct<c:int,k:bigint>>,left:int,right:int>"
 
@@ -149,21 +149,20 @@ def compared(pairs: DataFrame, cells: int = CELLS) -> DataFrame:
 def _with_next(docs: DataFrame) -> DataFrame:
     """Every document with the text of the next one in id order; the first follows the last.
 
-    Ids are counted on a grid of fixed length, from which buckets of like size are formed; a
-    bucket's rows are ordered in one task, with the first row of the next bucket behind them.
+    Bounds of buckets of like size are taken from distinct ids that their hash picks, about
+    ``SAMPLED`` a bucket; a bucket's rows are ordered in one task, with the first row of the next
+    bucket behind them.
     """
     width = 2 * shuffle_width(docs.sparkSession)
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
+    n = docs.count()
     if not n:
         return docs.withColumn("next_text", F.lit(None).cast("string"))
-    wide = (high - low) // GRID + 1
-    cell = F.expr(f"cast(floor((cast(doc_id as decimal(38,0)) - cast({low} as decimal(38,0))) / {wide}) as int)")
-    counted = docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    before = F.sum("n").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("n")
-    grid = settle(counted.withColumn("bucket", F.floor(before * width / n).cast("int")))
-    # The grid has at most GRID + 1 rows at any size.
-    rows = docs.withColumn("cell", cell).join(F.broadcast(grid.select("cell", "bucket")), "cell").drop("cell").withColumn("last", F.lit(0))
-    heads = grid.groupBy("bucket").agg(F.min("first").alias("doc_id"))
+    every = max(1, n // (SAMPLED * width))
+    picked = sorted(r[0] for r in docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).select("doc_id").distinct().collect())
+    bounds = sorted({picked[len(picked) * i // width] for i in range(1, width)}) if picked else []
+    within = F.array(*map(F.lit, bounds)).cast("array<long>")
+    rows = docs.withColumn("bucket", F.size(F.filter(within, lambda b: b <= F.col("doc_id")))).withColumn("last", F.lit(0))
+    heads = rows.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
     order = Window.orderBy("bucket")
     heads = heads.withColumn("to", F.coalesce(F.lag("bucket").over(order), F.max("bucket").over(Window.partitionBy())))
     first = docs.join(F.broadcast(heads.select("doc_id", "to")), "doc_id").groupBy("doc_id", "to").agg(F.min("text").alias("text"))
