@@ -167,3 +167,25 @@ def test_a_very_wide_part_is_dealt_further(spark):
     rows = chat_format.chat_format(talk, TOOLS).collect()
     assert len(rows) > 1 and sum(r["n_messages"] for r in rows) == n
     assert Counter(m["content"] for r in rows for m in json.loads(r["messages"])) == Counter(str(i) for i in range(n))
+
+
+def test_chunks_of_a_very_wide_part_follow_each_other(spark):
+    n = 2 * chat_format.PART_ROWS + 100
+    talk = [(c, t, "user", f"{t} {i:05}") for c in (1, None) for t in (0, 70) for i in range(n)]
+    talk += [(2, None, "user", "again")] * (3 * chat_format.PART_ROWS) + [(2, 0, "assistant", call(f"c{i:04}")) for i in range(n)]
+    talk += [(2, 0, "tool", f'{{"tool_call_id": "c{i:04}", "content": "3"}}') for i in range(n)] + [(3, 0, "user", "few")]
+    random.Random(3).shuffle(talk)
+    frame = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    rows = sorted(chat_format.chat_format(frame, TOOLS).collect(), key=lambda r: (r["part"], r["deal"]))
+    assert max(r["n_messages"] for r in rows) <= chat_format.PART_ROWS
+    talks = {}
+    for r in rows:
+        own = json.loads(r["messages"])
+        assert len(own) == r["n_messages"]
+        talks.setdefault(r["conv_id"], []).extend(own)
+    for c in (1, None):
+        assert [m["content"] for m in talks[c]] == [f"{t} {i:05}" for t in (0, 70) for i in range(n)]
+    assert sum(m.get("content") == "again" for m in talks[2]) == 3 * chat_format.PART_ROWS and len(talks[2]) == 3 * chat_format.PART_ROWS + 2 * n
+    place = {m["tool_call"]["id"]: i for i, m in enumerate(talks[2]) if "tool_call" in m}
+    assert len(place) == n and all(place[m["tool_call_id"]] < i for i, m in enumerate(talks[2]) if "tool_call_id" in m)
+    assert sum(r["n_linked"] for r in rows) == n and [m["content"] for m in talks[3]] == ["few"]

@@ -15,13 +15,13 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.session import settle
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 PART_TURNS = 64     # turns of a conversation that one row holds
-PART_ROWS = 512     # events of such a part before it is dealt out further
+PART_ROWS = 512     # events of such a part before it is cut into chunks
 
 TYPES = {
     "string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None),
@@ -199,12 +199,41 @@ def messages(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     return rows.mapInArrow(_write(json.dumps(schemas)), f"place {place}, message string, problems string").select("place.*", "message", "problems")
 
 
+ORDER = ("at", "depth", "late", "turn", "seat", "message", "problems")
+
+
+def chunked(rows: DataFrame) -> DataFrame:
+    """Rows of wide parts in their order, cut into chunks (``deal``) of ``PART_ROWS`` events.
+
+    Equal rows are counted once, as ``times``; what is left is laid by range, and a row's place is
+    the events of the ranges before its own and of the rows before it in its range.
+    """
+    own = ["conv_id", "part"]
+    once = rows.groupBy(*own, *ORDER, "kind", "linked").agg(F.count(F.lit(1)).alias("times"))
+    laid = settle(once.repartitionByRange(*own, *ORDER).withColumn("range", F.spark_partition_id()))
+    ranges = laid.groupBy(*own, "range").agg(F.sum("times").alias("many"))
+    ahead = Window.partitionBy(*own).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(
+        F.col("conv_id").alias("__c"), F.col("part").alias("__p"), F.col("range").alias("__r"), F.coalesce(F.sum("many").over(ahead), F.lit(0)).alias("before")
+    )
+    inside = Window.partitionBy(*own, "range").orderBy(*ORDER, "kind", "linked").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = laid.withColumn("end", F.sum("times").over(inside)).join(
+        ranges, F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("part") == F.col("__p")) & (F.col("range") == F.col("__r"))
+    ).withColumn("end", F.col("end") + F.col("before")).withColumn("start", F.col("end") - F.col("times"))
+    # Copies of a row may reach over several chunks.
+    first, last = F.floor(F.col("start") / PART_ROWS), F.floor((F.col("end") - 1) / PART_ROWS)
+    cut = placed.withColumn("deal", F.explode(F.sequence(first, last)))
+    held = F.least("end", (F.col("deal") + 1) * PART_ROWS) - F.greatest("start", F.col("deal") * PART_ROWS)
+    return cut.withColumn("times", held).select(*own, "deal", *ORDER, "kind", "linked", "times")
+
+
 def chat_format(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame:
-    """Conversations as canonical JSON: ``conv_id``, ``part``, ``n_messages``, ``n_calls``, ``n_linked``,
+    """Conversations as canonical JSON: ``conv_id``, ``part``, ``deal``, ``n_messages``, ``n_calls``, ``n_linked``,
     ``n_invalid``, ``problems`` (of calls and results, in order), ``messages`` (a JSON array).
 
     A part holds ``PART_TURNS`` turns, so a conversation of any length never meets in one task; a
-    part in which a turn number repeats very often is dealt further by hash.  Null roles and
+    part of more than ``PART_ROWS`` events is cut further into chunks, numbered by ``deal``, so that
+    parts and chunks in their order give the conversation.  Null roles and
     texts count as empty, null turns as 0; messages without text and calls are left out; a null
     conv_id is a conversation of its own kind.  Repeated rows stay.  An unreadable call is kept with empty
     arguments and reported.  An empty table gives an empty result.  Other columns are not read.
@@ -212,15 +241,19 @@ def chat_format(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame
     rows = messages(conversations, schemas).filter("kind != 'message' or message not like '{\"content\":\"\",%'")
     rows = rows.withColumn("part", F.floor(F.col("at") / PART_TURNS))
     size = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("many"))
-    wide = size.filter(F.col("many") > PART_ROWS)
+    wide = settle(size.filter(F.col("many") > PART_ROWS))
     split = rows.join(wide.withColumnsRenamed({"conv_id": "__c", "part": "__p"}), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("part") == F.col("__p")), "left")
-    deal = F.when(F.col("many").isNull(), 0).otherwise(F.pmod(F.xxhash64("message", "at"), F.ceil(F.col("many") / PART_ROWS)))
-    order = F.struct("at", "depth", "late", "turn", "seat", "message", "problems")
-    held = split.withColumn("deal", deal).groupBy("conv_id", "part", "deal").agg(
-        F.sort_array(F.collect_list(order)).alias("held"), F.count(F.lit(1)).alias("n_messages"),
-        F.count_if(F.col("kind") == "call").alias("n_calls"), F.count_if((F.col("kind") == "call") & F.col("linked")).alias("n_linked"),
-        F.count_if(F.col("problems") != "").alias("n_invalid"),
-    )
+    whole = split.filter("many is null").withColumns({"deal": F.lit(0).cast("long"), "times": F.lit(1).cast("long")})
+    dealt = whole.select("conv_id", "part", "deal", *ORDER, "kind", "linked", "times")
+    if not wide.isEmpty():
+        dealt = dealt.union(chunked(split.filter("many is not null")))
+    is_call = F.col("kind") == "call"
+    held = dealt.groupBy("conv_id", "part", "deal").agg(
+        F.sort_array(F.collect_list(F.struct(*ORDER, "times"))).alias("held"), F.sum("times").alias("n_messages"),
+        F.sum(F.when(is_call, F.col("times")).otherwise(0)).alias("n_calls"),
+        F.sum(F.when(is_call & F.col("linked"), F.col("times")).otherwise(0)).alias("n_linked"),
+        F.sum(F.when(F.col("problems") != "", F.col("times")).otherwise(0)).alias("n_invalid"),
+    ).withColumn("held", F.flatten(F.transform("held", lambda h: F.array_repeat(h, h["times"].cast("int")))))
     return held.select(
         "conv_id", "part", "deal", "n_messages", "n_calls", "n_linked", "n_invalid",
         F.array_join(F.filter(F.transform("held", lambda h: h["problems"]), lambda p: p != ""), " | ").alias("problems"),
