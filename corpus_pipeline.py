@@ -26,7 +26,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of linked documents the one with the smallest id."""
-    gone = ngram_join.ngram_join(docs).filter("doc_id != component_id").select("doc_id")
+    gone = ngram_join.ngram_join(docs, with_links=False).filter("doc_id != component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -59,6 +59,26 @@ def test_family_beyond_the_first_stars(spark):
     assert {tuple(r) for r in got} == plain(rows)
 
 
+def test_every_link_is_counted(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(200)]
+    rows = odd.rows(2, 60)
+    for i in range(40):
+        words = list(base)
+        for _ in range(rng.randrange(8)):
+            words[rng.randrange(200)] = f"n{i}"
+        rows += [(1000 + 3 * i, " ".join(words), "s")] + [(1001 + 3 * i, " ".join(words), "s")] * (i % 3)
+    rng.shuffle(rows)
+    sets = {d: shingles(t) for d, t, _ in rows if d is not None}
+    want = dict.fromkeys(sets, 0)
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            want[a] += a != b and both > 0 and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both)
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.ngram_join(odd.frame(spark, rows)).collect()}
+    assert got == want
+
+
 def test_empty_table(spark):
     assert ngram_join.ngram_join(odd.empty(spark)).count() == 0
 

@@ -11,7 +11,7 @@ from tidemark.llm.common import documents, tokenizer_file
 
 
 def op1_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
-    return ngram_join.ngram_join(documents(spark, folder)).select("doc_id", "n_shingles", "component_id")
+    return ngram_join.ngram_join(documents(spark, folder), with_links=False)
 
 
 def op2_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:

@@ -465,14 +465,39 @@ def apart(seats: DataFrame, fresh: DataFrame, at_least: int, per: int) -> DataFr
     return rows.mapInArrow(_hold(at_least, per), "pivot long, doc long").distinct()
 
 
+def all_links(docs: DataFrame, edges: DataFrame, fresh: DataFrame, width: int, at_least: int, per: int) -> DataFrame:
+    """Every link (u, v) of two sets in ``fresh``.
+
+    Linked sets share a signature, so both are in the group of its pivot: all members of a group
+    are held against each other, in whatever component they are.
+    """
+    members = edges.select(F.col("pivot").alias("gid"), "doc").union(edges.select("pivot", "pivot").distinct())
+    own = members.join(fresh.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")), "doc")
+    seats = settle(own.select("gid", "doc", "n", F.col("doc").alias("component"), F.lit(2).alias("rank")))
+    return verify(docs, settle(apart(seats, fresh, at_least, per)), width, at_least, per).distinct()
+
+
+def link_counts(sizes: DataFrame, links: DataFrame) -> DataFrame:
+    """Links of every document of ``sizes``: with the copies of its own set, and of the sets linked to it."""
+    copies = settle(sizes.groupBy("same_as").agg(F.count(F.lit(1)).alias("copies")))
+    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    beside = both.join(copies, both["v"] == copies["same_as"]).groupBy("u").agg(F.sum("copies").alias("beside"))
+    of_set = copies.join(beside, copies["same_as"] == beside["u"], "left").select(
+        "same_as", (F.col("copies") - 1 + F.coalesce("beside", F.lit(0))).alias("n_links")
+    )
+    return sizes.join(of_set, "same_as").select(F.col("doc_id").alias("u"), "n_links")
+
+
 def ngram_join(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: int = 75, per: int = 100
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, at_least: int = 75, per: int = 100,
+    with_links: bool = True,
 ) -> DataFrame:
     """Link documents of Jaccard similarity >= at_least / per on ``width``-word shingles.
 
     Returns one row per distinct id: ``doc_id``, ``n_shingles``, ``component_id`` (smallest
-    id reachable by links, itself included), ``n_links`` (verified links found at the row;
-    copies are not expanded into all pairs).  A to Z are lower-cased; words are runs of
+    id reachable by links, itself included), ``n_links`` (all documents it links with, copies
+    included).  Components need only some of the links; without ``with_links`` the others are
+    not looked for and the column is left out.  A to Z are lower-cased; words are runs of
     anything but the six ASCII white-space characters.
 
     Null or blank texts have an empty set and are alone.  Fewer words than ``width`` make one
@@ -516,14 +541,14 @@ def ngram_join(
     pairs = settle(apart(seats, fresh, at_least, per))
     links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
     joined = components(links.union(same))
-    ends = links.select("u").union(links.select("v")).groupBy("u").agg(F.count(F.lit(1)).alias("n_links"))
-    return (
-        sizes.join(joined, sizes["doc_id"] == joined["node"], "left")
-        .join(ends, sizes["doc_id"] == ends["u"], "left")
-        .select(
-            "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        )
+    found = sizes.join(joined, sizes["doc_id"] == joined["node"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    )
+    if not with_links:
+        return found
+    counts = link_counts(sizes, settle(all_links(docs, edges, fresh, width, at_least, per)))
+    return found.join(counts, found["doc_id"] == counts["u"], "left").select(
+        "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
 
 
