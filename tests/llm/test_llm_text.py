@@ -43,6 +43,17 @@ def test_given_pages_give_their_article(spark):
         assert r["text"] == " ".join(b for b in blocks if b)
 
 
+def test_pages_of_divs_keep_short_and_lesser_paragraphs():
+    long, other, menu = "many words " * 60, "further words " * 15, "<ul><li><a href=x>home</a><li><a href=y>about</a></ul>"
+    plain = lambda *parts: " ".join(" ".join(parts).split())
+    page = f"<body>{menu}<div><h1>Head</h1><p>Short.<p>{long}<p>{long}<p>The end.</div>{menu}"
+    assert html_text.main_text(page) == plain("Head Short.", long, long, "The end.")
+    assert html_text.main_text(f"<body>{menu}<div><p>{long * 2}<p>{other}</div>") == plain(long * 2, other)
+    assert html_text.main_text(f"<body>{menu}<p>{other}<p>{long * 2}<p>End.{menu}") == plain(other, long * 2, "End.")
+    assert html_text.main_text(f"<body>{menu}<div><div>{other}</div><div>{long * 2}</div></div>") == plain(other, long * 2)
+    assert html_text.main_text(f"<article><p>{long * 3}</article><article><p>{other}</article>") == plain(long * 3, other)
+
+
 def test_folding():
     assert toxicity.fold("Іd1оt, ID!OT! st​up1d\n5cum") == " idiot idiot stupid scum "
     assert toxicity.fold("") == "  "

@@ -5,13 +5,15 @@ block boundaries is a line, with its characters outside links over its tags as i
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by
 element or by what their class, id or role says, give no lines.  The densities, in page order,
 are smoothed by a Gaussian; two clusters of them are told apart by a threshold, and the dense
-lines mark the content region: the article they lie in, or else the element around them.
+lines mark the content region: the container around them.  Pages with articles or a main element
+are read by these instead.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -30,6 +32,9 @@ LEFT_OUT = frozenset(
 )
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
+# Elements that hold a page's blocks; a region is one of them.
+CONTAINERS = frozenset("html body main article section div center table tbody tr td blockquote".split())
+
 HINT = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|"
     r"notice|notices|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|paywall|signup|login|"
@@ -62,7 +67,8 @@ class _Lines(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[tuple[str, int, bool]] = []   # tag, number, left out
-        self.lines: list[tuple[str, float, tuple[int, ...]]] = []
+        self.lines: list[tuple[str, float, tuple[int, ...], bool]] = []
+        self.containers: set[int] = set()
         self.articles: list[int] = []
         self.mains: list[int] = []
         self.count = self.out = self.links = 0
@@ -73,7 +79,7 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             plain = max(0, len(text) - self.linked)
-            self.lines.append((text, plain / (1 + self.tags), tuple(n for _, n, _ in self.open)))
+            self.lines.append((text, plain / (1 + self.tags), tuple(n for _, n, _ in self.open), plain == 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
     def _pop(self, at: int):
@@ -119,6 +125,8 @@ class _Lines(HTMLParser):
         self.open.append((tag, self.count, left))
         self.out += left
         self.links += tag == "a"
+        if tag in CONTAINERS:
+            self.containers.add(self.count)
         if not self.out:
             if tag == "article":
                 self.articles.append(self.count)
@@ -187,27 +195,27 @@ def main_text(html: str | None) -> str:
     lines = page.lines
     if not lines:
         return ""
-    dense = smooth(np.array([math.log1p(d) for _, d, _ in lines]))
-    chosen = dense >= threshold(dense)
     for regions in (page.articles, page.mains):
-        outer = [r for r in regions if any(r in around for _, _, around in lines)]
+        outer = [r for r in regions if any(r in around for _, _, around, _ in lines)]
         if outer:
-            size = {r: sum(len(t) for t, _, around in lines if r in around) for r in outer}
-            hit = {r for r in outer if any(c and r in around for c, (_, _, around) in zip(chosen, lines))} or set(outer)
-            most = max(size[r] for r in hit)
-            kept = {r for r in hit if 5 * size[r] >= most}
-            return " ".join(t for t, _, around in lines if kept.intersection(around))
-    # No article: the innermost element with nearly all dense text, from its first to its last dense line.
+            # Of several, those of nothing but links are teasers.
+            hit = {r for r in outer if any(r in around and not menu for _, _, around, menu in lines)} or set(outer)
+            return " ".join(t for t, _, around, _ in lines if hit.intersection(around))
+    dense = smooth(np.array([math.log1p(d) for _, d, _, _ in lines]))
+    chosen = dense >= threshold(dense)
+    # No article: the innermost container of several lines with nearly all dense text, and all its
+    # lines; only those of nothing but links before its first and behind its last dense line are a menu.
     weight: dict[int, int] = {}
-    for c, (text, _, around) in zip(chosen, lines):
+    for c, (text, _, around, _) in zip(chosen, lines):
         if c:
-            for element in around:
+            for element in page.containers.intersection(around):
                 weight[element] = weight.get(element, 0) + len(text)
-    total = sum(len(t) for c, (t, _, _) in zip(chosen, lines) if c)
-    inner = max((e for e, w in weight.items() if w >= 0.8 * total), default=None)
-    held = [i for i, (_, _, around) in enumerate(lines) if inner is None or inner in around]
+    total = sum(len(t) for c, (t, _, _, _) in zip(chosen, lines) if c)
+    several = Counter(e for _, _, around, _ in lines for e in around)
+    inner = max((e for e, w in weight.items() if w >= 0.8 * total and several[e] > 1), default=None)
+    held = [i for i, (_, _, around, _) in enumerate(lines) if inner is None or inner in around]
     marked = [i for i in held if chosen[i]]
-    return " ".join(lines[i][0] for i in held if marked[0] <= i <= marked[-1])
+    return " ".join(lines[i][0] for i in held if marked[0] <= i <= marked[-1] or not lines[i][3])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
