@@ -40,6 +40,12 @@ def test_keep_first_leaves_one_row_of_each_text(spark):
     assert {t: d for d, t in found} == first
 
 
+def test_keep_first_tells_texts_of_one_id_apart(spark):
+    rows = [(None, "no id a", "s"), (None, "no id b", "s"), (None, "no id b", "s"), (7, "first", "s"), (7, "second", "s"), (8, "twice", "s"), (8, "twice", "s"), (9, "first", "s")]
+    got = exact_dedup.keep_first(odd.frame(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, "no id a"), (None, "no id b"), (7, "first"), (7, "second"), (8, "twice")])
+
+
 def test_frequent_values_are_found():
     values = ["a"] * 400 + [str(i) for i in range(500)] + ["b"] * 200
     counters = {}

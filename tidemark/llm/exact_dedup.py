@@ -90,15 +90,16 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = COUNTERS) -> DataFrame:
-    """The rows of ``df`` that stay, with all their columns; one row for each kept id."""
+    """The rows of ``df`` that stay, with all their columns; one row for each kept id and text."""
     stay = settle(
         exact_dedup(df, id_col, text_col, most).filter("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("doc_id").alias("__stay"), F.unhex("text_sha256").alias("__digest"), "n")
     )
-    same = df[id_col].cast("long").eqNullSafe(stay["__stay"]) & (digest_of(text_col) == stay["__digest"])
-    kept = df.join(stay, same, "left_semi")
+    own = df.withColumns({"__id": F.col(id_col).cast("long"), "__text": digest_of(text_col)})
+    kept = own.join(stay, own["__id"].eqNullSafe(stay["__stay"]) & (own["__text"] == stay["__digest"]), "left_semi")
     # Rows that repeat id and text differ at most in columns that do not count; any of them will do.
-    return kept.dropDuplicates([id_col]) if stay.filter("n > 1").limit(1).count() else kept
+    once = kept.dropDuplicates(["__id", "__text"]) if stay.filter("n > 1").limit(1).count() else kept
+    return once.drop("__id", "__text")
 
 
 SQL = r"""
