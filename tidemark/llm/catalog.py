@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import chat_format, exact_dedup, filter_audit, fingerprints, html_text, mixing, ngram_join, pieces, suffix_dedup, token_files, toxicity
+from tidemark.llm import chat_format, decontaminate, exact_dedup, filter_audit, fingerprints, html_text, merkle, mixing, ngram_join, pieces, suffix_dedup, token_files, toxicity
 from tidemark.llm.common import documents, tokenizer_file
 
 
@@ -55,9 +55,17 @@ def op11_filter_audit(spark: SparkSession, folder: str) -> DataFrame:
     return filter_audit.filter_audit(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op12_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.decontaminate(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op13_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.manifest(documents(spark, folder))
+
+
 QUERIES = (
     op1_ngram_join, op2_exact_dedup, op3_sentencepiece, op4_suffix_dedup, op5_mixing, op6_chat_format, op7_html_text,
-    op8_toxicity, op9_token_files, op10_fingerprints, op11_filter_audit,
+    op8_toxicity, op9_token_files, op10_fingerprints, op11_filter_audit, op12_decontamination, op13_merkle_manifest,
 )
 
 
@@ -66,4 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ngram_join": ngram_join.SQL, "op2_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL}
+    return {
+        "op1_ngram_join": ngram_join.SQL, "op2_exact_dedup": exact_dedup.SQL, "op11_filter_audit": filter_audit.SQL, "op12_decontamination": decontaminate.SQL,
+        "op13_merkle_manifest": merkle.SQL,
+    }
