@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.errors import SchemaError
 from tidemark.functions.distributions import chi_square_p, t_p, t_quantile
-from tidemark.operators import bootstrap, cube, diagnostics, hedonic, logit, survival
+from tidemark.operators import bootstrap, cube, diagnostics, hazard, hedonic, logit, survival
 from tidemark.operators.gram import Gram, dependent_columns, gram, least_squares
 
 
@@ -79,9 +79,12 @@ def test_hazard_residuals_do_not_alarm(fitted):
 
 
 def test_tie_sums_in_pieces_equal_those_at_once(monkeypatch):
-    exact = survival.tie_sums(45_000.0, 36_000.0, 15_000)
-    monkeypatch.setattr(survival, "TIES_AT_ONCE", 1_000)
-    assert np.allclose(survival.tie_sums(45_000.0, 36_000.0, 15_000), exact, rtol=1e-9)
+    cells = [45_000.0, 20.0, 900.0], [36_000.0, 3.0, 700.0], [15_000, 0, 350]
+    exact = hazard.tie_sums(*cells)
+    share = np.arange(15_000) / 15_000
+    assert np.isclose(exact[0, 0], (1 / (45_000 - share * 36_000)).sum()) and not exact[1].any()
+    monkeypatch.setattr(hazard, "TIES_AT_ONCE", 1_000)
+    assert np.allclose(hazard.tie_sums(*cells), exact, rtol=1e-9)
 
 
 def test_exponential_agrees_with_cox(fitted):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import audit, clean, concordance, quantiles, sampling
@@ -68,30 +69,34 @@ def test_leave_one_out_median(spark):
         assert found is None and not others or abs(found - np.median(others)) < 1e-12
 
 
-def test_concordance_in_bins_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("base, strata", [(4, None), (256, None), (4, "g")])
+def test_concordance_by_digits_equals_brute_force(spark, monkeypatch, base, strata):
     rng = np.random.default_rng(5)
     n = 600
     score, day, event = rng.normal(size=n).round(1), rng.integers(1, 40, n), rng.integers(0, 2, n)
-    frame = spark.createDataFrame(pd.DataFrame({"s": score, "d": day.astype(float), "e": event}))
+    level = rng.integers(0, 5, n) if strata else np.zeros(n, int)
+    frame = spark.createDataFrame(pd.DataFrame({"s": score, "d": day.astype(float), "e": event, "g": level}))
     c = d = t = 0
     for i in np.flatnonzero(event):
-        later = (day > day[i]) | ((day == day[i]) & (event == 0))
+        later = ((day > day[i]) | ((day == day[i]) & (event == 0))) & (level == level[i])
         c += (score[i] > score[later]).sum()
         d += (score[i] < score[later]).sum()
         t += (score[i] == score[later]).sum()
-    monkeypatch.setattr(concordance, "ROWS_PER_BIN", 20)
-    monkeypatch.setattr(concordance, "BLOCK", 4)  # so bins are merged on several levels
-    got = concordance.concordance(frame, "s", "d", "e")
+    monkeypatch.setattr(concordance, "BASE", base)  # so scores have several digits
+    monkeypatch.setattr(concordance, "LEAST_ROWS", 100)
+    monkeypatch.setattr(concordance, "CELLS_AT_ONCE", 7)
+    got = concordance.concordance(frame, "s", "d", "e", strata)
     assert (got["concordant"], got["discordant"], got["tied"]) == (c, d, t)
 
 
-def test_ks_in_bins(spark):
+def test_ks_over_tasks(spark, monkeypatch):
+    monkeypatch.setattr(concordance, "LEAST_ROWS", 100)
     frame, pdf = skewed(spark, 3_000)
     hot = pdf["k"] == "hot"
     points = np.sort(pdf["v"].unique())
     a = np.searchsorted(np.sort(pdf["v"][hot]), points, side="right") / hot.sum()
     b = np.searchsorted(np.sort(pdf["v"][~hot]), points, side="right") / (~hot).sum()
-    row = audit.kolmogorov_smirnov(frame, F.col("k") == "hot", "v", rows_per_bin=100).first()
+    row = audit.kolmogorov_smirnov(frame, F.col("k") == "hot", "v").first()
     assert abs(row["d"] - np.abs(a - b).max()) < 1e-12
 
 

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import finite, tally
 from tidemark.functions.dates import minus_days, quarter_key, whole_days
 from tidemark.functions.distributions import chi_square_p, t_p
-from tidemark.operators.concordance import ROWS_PER_BIN, cut_points, with_bin
+from tidemark.operators.concordance import parts_for
 from tidemark.operators.features import cell_sizes
 from tidemark.operators.quantiles import (
     MAX_GROUP, grouped_middle, grouped_quantiles, weighted_quantiles,
@@ -132,33 +135,39 @@ def welch(df: DataFrame, group: Column, value: str) -> DataFrame:
     )
 
 
-def kolmogorov_smirnov(
-    df: DataFrame, group: Column, value: str, rows_per_bin: int = ROWS_PER_BIN
-) -> DataFrame:
+def _gaps(total_in: int, total_out: int):
+    """Per task of values in order: its counts, and the largest and least gap from its start on."""
+
+    def run(batches):
+        upto = np.zeros(2)
+        high, low = -math.inf, math.inf
+        for batch in batches:
+            if len(batch):
+                running = upto + np.cumsum(batch[["a", "b"]].to_numpy(dtype="float64"), axis=0)
+                gap = running[:, 0] / max(total_in, 1) - running[:, 1] / max(total_out, 1)
+                high, low, upto = max(high, gap.max()), min(low, gap.min()), running[-1]
+        if low < math.inf:
+            yield pd.DataFrame({"part": [TaskContext.get().partitionId()], "a": [upto[0]], "b": [upto[1]], "high": [high], "low": [low]})
+
+    return run
+
+
+def kolmogorov_smirnov(df: DataFrame, group: Column, value: str) -> DataFrame:
     """Largest gap between the distributions of a group and the rest, exactly.
 
-    Values are counted first, then cut at sketched quantiles; running counts
-    are taken inside a cut and start from the totals of the cuts before it.
+    Values are counted first and sorted by range; a task's running counts start from the totals
+    of the tasks before it, which are two numbers a task.
     """
     rows = df.select(finite(value).alias("v"), F.coalesce(group, F.lit(False)).alias("g"))
     rows = rows.where(F.col("v").isNotNull())
     counts = settle(rows.groupBy("v").agg(tally(F.col("g")).alias("a"), tally(~F.col("g")).alias("b")))
-    edges = cut_points(counts, "v", rows_per_bin)
-    cut = with_bin(counts, "v", edges)
-    totals = cut.groupBy("bin").agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    # One row per bin.
-    table = totals.orderBy("bin").collect()
-    offsets, sa, sb = [], 0, 0
-    for r in table:
-        offsets.append((r["bin"], sa, sb))
-        sa, sb = sa + r["ta"], sb + r["tb"]
-    starts = df.sparkSession.createDataFrame(offsets, "bin int, oa bigint, ob bigint")
-    inside = Window.partitionBy("bin").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    running = cut.join(F.broadcast(starts), "bin").select(
-        (F.col("oa") + F.sum("a").over(inside)).alias("ca"), (F.col("ob") + F.sum("b").over(inside)).alias("cb")
-    )
-    gap = running.agg(F.max(F.abs(F.col("ca") / F.lit(float(sa or 1)) - F.col("cb") / F.lit(float(sb or 1)))).alias("d"))
-    d = gap.first()["d"]
+    many, sa, sb = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("a"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    sorted_ = counts.repartitionByRange(parts_for(counts, many), "v").sortWithinPartitions("v")
+    found = sorted_.mapInPandas(_gaps(sa, sb), "part int, a double, b double, high double, low double").collect()
+    d, upto = None, 0.0
+    for r in sorted(found, key=lambda r: r["part"]):
+        d = max(d or 0.0, abs(upto + r["high"]), abs(upto + r["low"]))
+        upto += r["a"] / max(sa, 1) - r["b"] / max(sb, 1)
     root = math.sqrt(sa * sb / (sa + sb)) if sa and sb else 0.0
     return df.sparkSession.createDataFrame(
         [(sa, sb, d, _kolmogorov_tail(root * (d or 0.0)))], "n_in bigint, n_out bigint, d double, p_value double"

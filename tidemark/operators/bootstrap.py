@@ -3,7 +3,9 @@
 Resampling rows with replacement gives each row a count that is nearly Poisson
 with mean one, so a replicate is a column of hashed counts: no resample is ever
 written, rows are laid out once, and a lost task recomputes the same counts.
-Each replicate refits the list-price surface and the hazard model.
+All replicates are refitted side by side: one scan adds up every replicate's weighted cross-products
+for the list-price surface, one lays the rows out with every replicate's own premium, and the
+hazard passes step all replicates together, leaving out those that have converged.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.errors import IdentificationError, SchemaError
 from tidemark.functions.common import col, uniform
-from tidemark.operators.design import linear_predictor
-from tidemark.operators.gram import Gram, gram, least_squares
+from tidemark.operators.gram import FAN_IN, Gram, least_squares
+from tidemark.operators.hazard import LEAD, Passes, lay_out, maximise
 from tidemark.operators.hedonic import PremiumModel
-from tidemark.operators.survival import DURATION, EVENT, PRICE, CoxFit, newton, prepare_rows
+from tidemark.operators.survival import DURATION, EVENT, PRICE, CoxFit, recipe_of
 from tidemark.session import settle
 
 SEED = 20260731
@@ -76,6 +79,39 @@ class Bootstrap:
         return spark.createDataFrame([(k, float(v)) for k, v in numbers.items()], "stat string, value double")
 
 
+def weighted_grams(rows: DataFrame, columns: list[str], weights: str, replicates: int) -> list[Gram]:
+    """``Z'WZ`` of every replicate, ``Z = (1, columns)``, in one scan; null columns must be gone."""
+    p = len(columns) + 1
+    upper = np.triu_indices(p)
+    chosen = rows.select(weights, *[F.col(f"`{c}`").cast("double").alias(f"z{i}") for i, c in enumerate(columns)])
+
+    def partial(batches):
+        total = np.zeros((replicates, len(upper[0])))
+        for batch in batches:
+            if len(batch):
+                z = np.column_stack([np.ones(len(batch)), batch.iloc[:, 1:].to_numpy(dtype="float64")])
+                for r, w in enumerate(np.stack(batch[weights].to_numpy()).T):
+                    total[r] += ((z.T * w) @ z)[upper]
+        yield pd.DataFrame({"r": np.arange(replicates), "part": hash_part(), "m": list(total)})
+
+    def hash_part() -> int:
+        from pyspark import TaskContext
+
+        return TaskContext.get().partitionId() % FAN_IN
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.iloc[:1].assign(m=[np.sum(np.stack(pdf["m"].to_numpy()), axis=0)])
+
+    shape = "r int, part int, m array<double>"
+    found = np.zeros((replicates, p, p))
+    for row in chosen.mapInPandas(partial, shape).groupBy("r", "part").applyInPandas(add, shape).collect():
+        found[row["r"]][upper] += row["m"]
+    lower = np.tril_indices(p, -1)
+    for m in found:
+        m[lower] = m.T[lower]
+    return [Gram(list(columns), m) for m in found]
+
+
 def bootstrap_price(
     df: DataFrame,
     cox: CoxFit,
@@ -87,39 +123,50 @@ def bootstrap_price(
     event: str = EVENT,
     seed: int = SEED,
 ) -> Bootstrap:
-    """Refit both stages per replicate on weighted rows and collect the coefficient."""
+    """Refit both stages of all replicates on weighted rows and collect the coefficient."""
     surface, hazard = premium.fit.design, cox.fit.design
     raw = hazard.expressions()
     raw.pop(PRICE, None)
-    rows = df.where((col(price) > 0) & (col(duration) > 0) & col(event).cast("double").isin(0.0, 1.0))
-    rows = settle(rows.withColumn("w", replicate_weights(keys, replicates, seed)))
-    draws: list[float] = []
-    failures = 0
-    for r in range(replicates):
+    flag = col(event).cast("double")
+    rows = df.where((col(price) > 0) & (col(duration) > 0) & flag.isin(0.0, 1.0))
+    x = {n: f"x{i}" for i, n in enumerate(hazard.names)}
+    z = {n: f"s{i}" for i, n in enumerate(surface.names)}
+    levels = {f"_level_{s}": c.value() for s, c in surface.categories.items()}
+    priced = surface.expressions(staged=True)
+    rows = settle(
+        rows.withColumns(levels).select(
+            F.lit(0).alias("fit"), F.lit(0.0).alias("stratum"), col(duration).cast("double").alias("t"), flag.alias("e"),
+            *[(raw[n] if n in raw else F.lit(0.0)).cast("double").alias(x[n]) for n in hazard.names],
+            replicate_weights(keys, replicates, seed).alias("w"), *[priced[n].cast("double").alias(z[n]) for n in surface.names],
+            F.log(col(price)).alias("_y"),
+        )
+    )
+    grams = weighted_grams(rows, [*z.values(), "_y"], "w", replicates)
+    weights, failed = np.zeros((len(z) + 1, replicates)), set()
+    for r, moments in enumerate(grams):
         try:
-            weighted = surface.encoded(
-                rows.where(F.col("w")[r] > 0), F.log(col(price)).alias("_y"), F.col("w")[r].alias("_w")
-            )
-            moments = gram(weighted, [*surface.names, "_y"], "_w")
-            fit = least_squares(moments, "_y", _varying(moments, surface.names))
-            fitted = linear_predictor(surface, dict(zip(fit.names, fit.values.tolist())))
-            encoded = rows.select(
-                duration, event, F.array(F.col("w")[r]).alias("w"),
-                F.expm1(F.log(col(price)) - fitted).alias(PRICE), *[e.alias(n) for n, e in raw.items()],
-            ).where(F.col("w")[0] > 0).na.drop()
-            point, _, notes = newton(
-                prepare_rows(encoded, hazard, 1, duration, event), replicate=0
-            )
-            if notes:
-                raise IdentificationError(notes[0])
-            at = hazard.names.index(PRICE)
-            draws.append(float(point.beta[at] / hazard.scale[PRICE]))
-        except (IdentificationError, SchemaError, np.linalg.LinAlgError):
-            failures += 1
+            fit = least_squares(moments, "_y", _varying(moments, list(z.values())))
+        except (IdentificationError, np.linalg.LinAlgError):
+            failed.add(r)
+            continue
+        found = dict(zip(fit.names, fit.values))
+        weights[:, r] = [found["const"], *[found.get(c, 0.0) for c in z.values()]]
+    p, at = len(x), hazard.names.index(PRICE)
+
+    def with_premium(values: np.ndarray) -> np.ndarray:
+        """Every replicate's own premium in place of the columns of the surface."""
+        keep, columns = values[:, : LEAD + p + replicates], values[:, LEAD + p + replicates :]
+        return np.hstack([keep, np.expm1(columns[:, -1:] - weights[0] - columns[:, :-1] @ weights[1:])])
+
+    complete = rows.na.drop(subset=list(x.values()))
+    layout = lay_out(complete, list(x.values()), complete.count(), replicates, at, with_premium)
+    recipe = recipe_of(hazard)
+    optima = maximise(Passes(layout, {r: recipe for r in range(replicates) if r not in failed}))
+    draws = [float(o.point.beta[at] / hazard.scale[PRICE]) for _, o in sorted(optima.items()) if not o.error and not o.notes]
     if len(draws) < 2:
         raise SchemaError("too few replicates could be fitted")
     found = cox.fit.coefficient(PRICE)
-    return Bootstrap(draws, failures, found["value"], found["std_error"])
+    return Bootstrap(draws, replicates - len(draws), found["value"], found["std_error"])
 
 
 def _varying(moments: Gram, names: list[str]) -> list[str]:

@@ -214,14 +214,17 @@ def learn_design(
         elif found[source].pooled:
             design.notes.append(f"{source}: pooled {found[source].pooled} rare levels")
     binary = {c for i, c in enumerate(numeric) if counts[f"other_{i}"] == 0}
-    _settle_columns(design, rows, extra, binary)
+    _settle_columns(design, rows, binary)
     return design, design.encoded(rows, *extra)
 
 
-def _settle_columns(design: Design, rows: DataFrame, extra: list[str], binary: set[str]) -> None:
+def _settle_columns(design: Design, rows: DataFrame, binary: set[str]) -> None:
     """Drop constant and dependent columns by one Gram pass; fill scales and means."""
-    encoded = design.encoded(rows)
-    moments = gram(encoded, design.names)
+    settle_columns(design, gram(design.encoded(rows), design.names), binary)
+
+
+def settle_columns(design: Design, moments: Gram, binary: set[str]) -> None:
+    """Drop constant and dependent columns of a design; fill scales and means."""
     flat = [n for n, d in zip(moments.columns, moments.deviations) if d == 0.0]
     moments = moments.pick([n for n in moments.columns if n not in flat])
     dependent = dependent_columns(moments)

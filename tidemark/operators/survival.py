@@ -1,273 +1,92 @@
-"""Proportional hazards over a listing table, by sums over whole days.
+"""Proportional hazards over a listing table, whole or in strata.
 
-Durations are whole days after cleaning, so a risk set is a suffix of at most
-about a thousand days.  One Newton step is two passes.  The first sums, per
-day, the hazard weight and its product with the covariates; suffix sums and the
-tie correction are then a few thousand numbers on the driver.  The second pass
-sums one weighted cross-product matrix: the second derivative needs, for every
-row, only the total hazard its day has been exposed to, so no matrix per day is
-ever formed.
+Rows lie sorted by (stratum, day) in partitions of bounded size, and a Newton step is a few
+passes that return some numbers a partition (``operators/hazard.py``), so neither the number of
+distinct days nor that of strata is bounded.  With strata every level has a baseline of its own
+and the covariates are compared within it; no column per level is made.
 
 Ties follow Efron's approximation, the baseline hazard Breslow's estimator.
 """
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.errors import IdentificationError, SchemaError
+from tidemark.errors import SchemaError
 from tidemark.functions.common import col
 from tidemark.functions.finance import relative_premium
 from tidemark.operators.design import Design, learn_design, linear_predictor
 from tidemark.operators.fits import Fit
-from tidemark.operators.gram import FAN_IN, fold_arrays
+from tidemark.operators.hazard import Passes, Recipe, lay_out, maximise
 from tidemark.operators.quantiles import grouped_quantiles
-from tidemark.session import settle
+from tidemark.session import attach, settle
 
 DURATION, EVENT, PRICE = "duration_days", "event_sold", "rel_price_premium"
 
-# More distinct durations than this are not whole days; bucket them first.
-MAX_DAYS = 20_000
-MAX_STEPS = 50
-TOLERANCE = 1e-9
 BUILDING = "building_name"
 POOLED_ALARM = 0.50
 THIN_LEVEL_ROWS = 40.0
-# Sums over tied events are formed in pieces of this many ties.
-TIES_AT_ONCE = 1_000_000
-
-
-def tie_sums(risk: float, tied: float, events: int) -> np.ndarray:
-    """Efron sums over ``l = 0..events-1`` with ``phi = risk - l / events * tied``.
-
-    Returns the sums of ``1/phi, s/phi, 1/phi^2, s/phi^2, s^2/phi^2, log phi``
-    with ``s = l / events``.
-    """
-    total = np.zeros(6)
-    for start in range(0, int(events), TIES_AT_ONCE):
-        share = np.arange(start, min(start + TIES_AT_ONCE, int(events)), dtype="float64") / events
-        phi = risk - share * tied
-        total += np.stack(
-            [1 / phi, share / phi, 1 / phi**2, share / phi**2, share**2 / phi**2, np.log(phi)]
-        ).sum(axis=1)
-    return total
-
-
-class _Rows:
-    """The prepared rows of a fit: day, event, weight columns, scaled covariates."""
-
-    def __init__(self, frame: DataFrame, columns: int, weights: int = 0) -> None:
-        self.frame, self.p, self.weights = frame, columns, weights
-        self.parts = frame.rdd.getNumPartitions()
-
-    def day_sums(self, beta: np.ndarray, replicate: int | None = None) -> dict[str, np.ndarray]:
-        """Per day: rows, events, hazard sums with covariates, the same over events."""
-        p, weighted = self.p, self.weights
-
-        def partial(batches):
-            total: dict[float, np.ndarray] = {}
-            for batch in batches:
-                values = batch.to_numpy(dtype="float64")
-                if not len(values):
-                    continue
-                day, event, x = values[:, 0], values[:, 1], values[:, 2 : 2 + p]
-                count = values[:, 2 + p] if weighted else np.ones(len(values))
-                hazard = count * np.exp(x @ beta)
-                block = np.column_stack(
-                    [
-                        count, count * event, hazard, hazard[:, None] * x,
-                        event * hazard, (event * hazard)[:, None] * x,
-                        (count * event)[:, None] * x, count * event * (x @ beta),
-                    ]
-                )
-                days, at = np.unique(day, return_inverse=True)
-                order = np.argsort(at, kind="stable")
-                starts = np.searchsorted(at[order], np.arange(len(days)))
-                sums = np.add.reduceat(block[order], starts, axis=0)
-                for d, row in zip(days.tolist(), sums):
-                    total[d] = row if d not in total else total[d] + row
-            if total:
-                yield pd.DataFrame({"day": list(total), "m": list(total.values())})
-
-        def add(batches):
-            total: dict[float, np.ndarray] = {}
-            for batch in batches:
-                for d, row in zip(batch["day"], batch["m"]):
-                    total[d] = row if d not in total else total[d] + row
-            if total:
-                yield pd.DataFrame({"day": list(total), "m": list(total.values())})
-
-        schema = "day double, m array<double>"
-        # Added up by day on the executors, so one row per day comes back.
-        summed = self._select(replicate).mapInPandas(partial, schema).repartition(FAN_IN, "day").mapInPandas(add, schema)
-        found = summed.limit(MAX_DAYS + 1).collect()
-        if len(found) > MAX_DAYS:
-            raise SchemaError(f"more than {MAX_DAYS} distinct durations; bucket them first")
-        merged = {row["day"]: np.asarray(row["m"]) for row in found}
-        days = sorted(merged)
-        table = np.array([merged[d] for d in days])
-        return {
-            "day": np.array(days),
-            "rows": table[:, 0], "events": table[:, 1],
-            "s0": table[:, 2], "s1": table[:, 3 : 3 + p],
-            "d0": table[:, 3 + p], "d1": table[:, 4 + p : 4 + 2 * p],
-            "x_events": table[:, 4 + 2 * p : 4 + 3 * p].sum(axis=0),
-            "eta_events": table[:, 4 + 3 * p].sum(),
-        }
-
-    def exposure_gram(
-        self, beta: np.ndarray, days: np.ndarray, exposure: np.ndarray, tied: np.ndarray,
-        replicate: int | None = None,
-    ) -> np.ndarray:
-        """Sum over rows of ``hazard * (exposure(day) - event * tied(day)) * x x'``."""
-        p, weighted = self.p, self.weights
-        upper = np.triu_indices(p)
-
-        def partial(batches):
-            total = np.zeros((p, p))
-            for batch in batches:
-                values = batch.to_numpy(dtype="float64")
-                if not len(values):
-                    continue
-                at = np.searchsorted(days, values[:, 0])
-                event, x = values[:, 1], values[:, 2 : 2 + p]
-                count = values[:, 2 + p] if weighted else 1.0
-                w = count * np.exp(x @ beta) * (exposure[at] - event * tied[at])
-                total += (x.T * w) @ x
-            yield pd.DataFrame({"m": [total[upper]]})
-
-        flat = fold_arrays(
-            self._select(replicate).mapInPandas(partial, "m array<double>"), parts=self.parts
-        )
-        result = np.zeros((p, p))
-        result[upper] = flat
-        result.T[upper] = flat
-        return result
-
-    def _select(self, replicate: int | None) -> DataFrame:
-        names = ["t", "e", *[f"x{i}" for i in range(self.p)]]
-        if not self.weights:
-            return self.frame.select(*names)
-        weight = F.col("w")[replicate].cast("double").alias("w")
-        return self.frame.select(*names, weight).where(F.col("w") > 0)
-
-
-def _suffix(values: np.ndarray) -> np.ndarray:
-    return np.cumsum(values[::-1], axis=0)[::-1]
-
-
-@dataclass
-class _Point:
-    """Log likelihood, its first derivative and what the second one needs."""
-
-    beta: np.ndarray
-    value: float
-    gradient: np.ndarray
-    outer: np.ndarray
-    days: np.ndarray
-    exposure: np.ndarray
-    tied: np.ndarray
-    sums: dict[str, np.ndarray]
-
-
-def _evaluate(rows: _Rows, beta: np.ndarray, replicate: int | None = None) -> _Point:
-    sums = rows.day_sums(beta, replicate)
-    s0, s1 = _suffix(sums["s0"]), _suffix(sums["s1"])
-    events = np.rint(sums["events"]).astype(int)
-    parts = np.zeros((len(events), 6))
-    for k in np.flatnonzero(events):
-        parts[k] = tie_sums(s0[k], sums["d0"][k], int(events[k]))
-    inv, sinv, inv2, sinv2, ssinv2, logs = parts.T
-    d1 = sums["d1"]
-    value = float(sums["eta_events"] - logs.sum())
-    gradient = sums["x_events"] - inv @ s1 + sinv @ d1
-    cross = (s1.T * sinv2) @ d1
-    outer = (s1.T * inv2) @ s1 - cross - cross.T + (d1.T * ssinv2) @ d1
-    return _Point(beta, value, gradient, outer, sums["day"], np.cumsum(inv), sinv, sums)
-
-
-def newton(
-    rows: _Rows, ridge: float = 0.0, replicate: int | None = None
-) -> tuple[_Point, np.ndarray, list[str]]:
-    """Maximize the partial likelihood; return the optimum, the information, notes."""
-    notes: list[str] = []
-    point = _evaluate(rows, np.zeros(rows.p), replicate)
-    n = float(point.sums["rows"].sum())
-
-    def objective(at: _Point) -> float:
-        return at.value - 0.5 * n * ridge * float(at.beta @ at.beta)
-
-    information = None
-    for step in range(MAX_STEPS):
-        information = (
-            rows.exposure_gram(point.beta, point.days, point.exposure, point.tied, replicate)
-            - point.outer + n * ridge * np.eye(rows.p)
-        )
-        gradient = point.gradient - n * ridge * point.beta
-        try:
-            move = np.linalg.solve(information, gradient)
-        except np.linalg.LinAlgError as exc:
-            raise IdentificationError("singular information matrix") from exc
-        gain = float(gradient @ move) / 2
-        if not math.isfinite(gain):
-            raise IdentificationError("the partial likelihood did not converge")
-        if gain < TOLERANCE:
-            return point, information, notes
-        size = 1.0
-        while True:
-            trial = _evaluate(rows, point.beta + size * move, replicate)
-            if objective(trial) >= objective(point) - 1e-12 * abs(objective(point)):
-                break
-            size /= 2
-            if size < 1e-6:
-                notes.append("CONVERGENCE: step halving reached its limit")
-                return point, information, notes
-        if np.max(np.abs(trial.beta)) > 50:
-            notes.append("CONVERGENCE: a scaled coefficient exceeds 50; separation is likely")
-            return trial, information, notes
-        point = trial
-    notes.append("CONVERGENCE: the step limit was reached")
-    return point, information, notes
+HELD_CELLS = 50_000   # cells of a baseline up to which the driver keeps a copy for look-ups
+POINTS_AT_ONCE = 40
 
 
 @dataclass
 class CoxFit:
-    """A fitted hazard model and its baseline."""
+    """A fitted hazard model and its baseline.
+
+    ``cells`` has a row per (stratum, day): ``t``, ``events``, ``risk``, ``hazard``,
+    ``cumulative``, and the level under ``strata``'s name where the fit has strata.
+    """
 
     fit: Fit
-    days: np.ndarray
-    hazard: np.ndarray
+    cells: DataFrame
     max_duration: float
     support: dict[str, float] | None
     means: np.ndarray
-
-    @property
-    def cumulative(self) -> np.ndarray:
-        return np.cumsum(self.hazard)
+    strata: str | None = None
+    held: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _known(self, days) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Per asked day: the cells around it, as (day, cumulative) before and behind."""
+        if self.strata is not None:
+            raise SchemaError("a fit with strata has a baseline per level; use cumulative_per_stratum")
+        days = np.atleast_1d(np.asarray(days, dtype="float64"))
+        if self.held is not None:
+            grid, total = (np.concatenate([[0.0], v]) for v in self.held)
+            at = np.searchsorted(grid, days, side="right") - 1
+            low, high = np.maximum(at, 0), np.minimum(at + 1, len(grid) - 1)
+            return grid[low], total[low], grid[high], total[high]
+        out = []
+        for lo in range(0, len(days), POINTS_AT_ONCE):
+            some = days[lo : lo + POINTS_AT_ONCE]
+            row = self.cells.agg(*[c.alias(f"c{i}") for i, c in enumerate(c for d in some for c in _around(F.lit(float(d))))]).first()
+            out += [(row[4 * i], row[4 * i + 1], row[4 * i + 2], row[4 * i + 3]) for i in range(len(some))]
+        return tuple(np.array([r[j] for r in out], dtype="float64") for j in range(4))
 
     def cumulative_at(self, days) -> np.ndarray:
         """Baseline cumulative hazard, linear between days, flat at both ends."""
-        grid = np.concatenate([[0.0], self.days])
-        return np.interp(days, grid, np.concatenate([[0.0], self.cumulative]))
+        low, before, high, behind = self._known(days)
+        return _between(days, low, before, high, behind)
 
     def survival_at(self, days) -> np.ndarray:
         """Baseline survival, linear between days, flat at both ends."""
-        grid = np.concatenate([[0.0], self.days])
-        return np.interp(days, grid, np.exp(-np.concatenate([[0.0], self.cumulative])))
-
-    def baseline_table(self, spark) -> DataFrame:
-        """``(t, hazard, cumulative, survival)`` per day."""
-        h = self.cumulative
-        rows = [
-            (float(t), float(a), float(b), float(math.exp(-b)))
-            for t, a, b in zip(self.days, self.hazard, h)
-        ]
-        return spark.createDataFrame(rows, "t double, hazard double, cumulative double, survival double")
+        low, before, high, behind = self._known(days)
+        return _between(days, low, np.exp(-before), high, np.exp(-behind))
+
+    def cumulative_per_stratum(self, day: float) -> DataFrame:
+        """``(level, total)``: the baseline cumulative hazard of every stratum at a day."""
+        low, before, high, behind = _around(F.lit(float(day)))
+        share = F.when(F.col("high") > F.col("low"), F.least((F.lit(float(day)) - F.col("low")) / (F.col("high") - F.col("low")), F.lit(1.0))).otherwise(0.0)
+        rows = self.cells.groupBy(self.strata).agg(low.alias("low"), before.alias("before"), high.alias("high"), behind.alias("behind"))
+        return rows.select(self.strata, (F.col("before") + share * (F.col("behind") - F.col("before"))).alias("total"))
+
+    def baseline_table(self, spark=None) -> DataFrame:
+        """``(t, hazard, cumulative, survival)`` per day, and per level with strata."""
+        lead = [self.strata] if self.strata else []
+        return self.cells.select(*lead, "t", "hazard", "cumulative", F.exp(-F.col("cumulative")).alias("survival"))
 
     def score(self, present: list[str] | None = None) -> Column:
         """``beta' (x - mean)`` of a row of raw covariates."""
@@ -278,9 +97,19 @@ class CoxFit:
         """Probability of a sale within the horizon; null on missing covariates."""
         if horizon <= 0:
             raise SchemaError("the horizon must be positive")
-        total = float(self.cumulative_at(horizon))
+        total = float(self.cumulative_at(horizon)[0])
         return 1 - F.exp(-total * F.exp(self.score(present)))
 
+    def with_probability(self, df: DataFrame, horizon: float, name: str = "probability", present: list[str] | None = None) -> DataFrame:
+        """Add the probability of a sale within the horizon; null for a level the fit has not seen."""
+        if horizon <= 0:
+            raise SchemaError("the horizon must be positive")
+        if self.strata is None:
+            return df.withColumn(name, self.probability(horizon, present))
+        known = self.cumulative_per_stratum(horizon).withColumnRenamed("total", "__total")
+        rows = attach(df, known, [self.strata])
+        return rows.withColumn(name, 1 - F.exp(-F.col("__total") * F.exp(self.score(present)))).select(*df.columns, name)
+
     def curve(self, days: list[float], present: list[str] | None = None) -> Column:
         """Array of ``(day, survival)`` for a row."""
         points = [
@@ -293,6 +122,23 @@ class CoxFit:
         return F.array(*points)
 
 
+def _around(day: Column) -> list[Column]:
+    """Aggregates over cells: the last one up to a day, and the first one behind it or the last."""
+    upto, behind = F.col("t") <= day, F.col("t") > day
+    return [
+        F.coalesce(F.max(F.when(upto, F.col("t"))), F.lit(0.0)),
+        F.coalesce(F.max_by("cumulative", F.when(upto, F.col("t"))), F.lit(0.0)),
+        F.coalesce(F.min(F.when(behind, F.col("t"))), F.max("t")),
+        F.coalesce(F.min_by("cumulative", F.when(behind, F.col("t"))), F.max_by("cumulative", "t")),
+    ]
+
+
+def _between(days, low, before, high, behind) -> np.ndarray:
+    days = np.atleast_1d(np.asarray(days, dtype="float64"))
+    gap = np.where(high > low, high - low, 1.0)
+    return before + np.clip((days - low) / gap, 0.0, 1.0) * (behind - before)
+
+
 def premium_support(df: DataFrame, column: str = PRICE) -> dict[str, float] | None:
     """Range of the premium the fit has seen: min, max, 1st and 99th percentile, rows."""
     wanted = {"low": 0.0, "p1": 0.01, "p99": 0.99, "high": 1.0}
@@ -300,24 +146,28 @@ def premium_support(df: DataFrame, column: str = PRICE) -> dict[str, float] | No
     return None if row is None else row.asDict()
 
 
-def prepare_rows(
-    encoded: DataFrame, design: Design, weights: int = 0, duration: str = DURATION, event: str = EVENT
-) -> _Rows:
-    """Scale and centre the covariates and lay the rows out by day.
+def recipe_of(design: Design) -> Recipe:
+    """All columns of a design, centred and scaled as it learned them."""
+    return Recipe(
+        np.arange(len(design.names)), np.array([design.means[n] for n in design.names]), np.array([design.scale[n] for n in design.names])
+    )
 
-    Range partitioning puts neighbouring days together, so a task sums a few
-    days instead of all of them; a day that is very common is split by salt.
-    """
-    scaled = [
-        ((F.col(f"`{n}`") - design.means[n]) / design.scale[n]).alias(f"x{i}")
-        for i, n in enumerate(design.names)
-    ]
-    extra = [F.col("w")] if weights else []
-    chosen = encoded.select(
-        col(duration).cast("double").alias("t"), col(event).cast("double").alias("e"), *scaled, *extra
+
+def prepare_rows(
+    encoded: DataFrame, design: Design, duration: str = DURATION, event: str = EVENT, strata: str | None = None
+) -> tuple[Passes, DataFrame | None]:
+    """Lay encoded rows out for the passes; with strata also the numbers of their levels."""
+    names = {n: f"x{i}" for i, n in enumerate(design.names)}
+    levels = None
+    if strata is not None:
+        levels = settle(encoded.select(strata).distinct().withColumn("stratum", F.monotonically_increasing_id().cast("double")))
+        encoded = attach(encoded, levels, [strata], "inner")
+    rows = encoded.select(
+        F.lit(0).alias("fit"), F.lit(0.0).alias("stratum") if strata is None else F.col("stratum"),
+        col(duration).cast("double").alias("t"), col(event).cast("double").alias("e"),
+        *[F.col(f"`{n}`").cast("double").alias(x) for n, x in names.items()],
     )
-    salt = F.xxhash64(*[F.col(f"x{i}") for i in range(len(design.names))])
-    return _Rows(settle(chosen.repartitionByRange("t", salt)), len(design.names), weights)
+    return Passes(lay_out(rows, list(names.values()), design.rows_used), {0: recipe_of(design)}), levels
 
 
 def fit_cox(
@@ -330,49 +180,61 @@ def fit_cox(
     ridge: float = 0.0,
     min_level: int = 5,
     with_concordance: bool = True,
+    strata: str | None = None,
 ) -> CoxFit:
-    """Fit time to sale; every estimate is returned in raw covariate units."""
-    if building_effects:
+    """Fit time to sale; every estimate is returned in raw covariate units.
+
+    ``building_effects`` gives each building a column, of which a design can hold a thousand.
+    ``strata`` names a column whose levels, however many, have baselines of their own; rows
+    without a level are left out, and levels without events add nothing.
+    """
+    if building_effects or strata == BUILDING:
         covariates = [c for c in covariates if c != "submarket"]
     flag = col(event).cast("double")
     usable = df.where((col(duration) > 0) & flag.isin(0.0, 1.0))
+    notes: list[str] = []
+    if strata is not None:
+        missing = usable.where(F.col(strata).isNull()).count()
+        usable = usable.where(F.col(strata).isNotNull())
+        notes += [f"{strata}: {missing} rows without a level left out"] if missing else []
     design, encoded = learn_design(
         usable, covariates, categorical, [BUILDING] if building_effects else [],
-        min_level, extra=[duration, event],
+        min_level, extra=[duration, event, *([strata] if strata else [])],
     )
-    rows = prepare_rows(encoded, design, 0, duration, event)
-    point, information, notes = _optimum(rows, ridge)
+    passes, levels = prepare_rows(encoded, design, duration, event, strata)
+    found = maximise(passes, ridge)[0]
+    if found.error and "two events" in found.error:
+        raise SchemaError(found.error)
+    point = found.checked().point
     scale = np.array([design.scale[n] for n in design.names])
-    covariance = np.linalg.inv(information) / np.outer(scale, scale)
-    events = int(round(point.sums["events"].sum()))
-    hazard = np.where(
-        point.sums["events"] > 0, point.sums["events"] / _suffix(point.sums["s0"]), 0.0
-    )
+    covariance = np.linalg.inv(found.information) / np.outer(scale, scale)
+    cells = passes.cells({0: point})
+    if levels is not None:
+        cells = attach(cells, levels, ["stratum"], "inner")
+    cells = settle(cells.drop("fit", "stratum"))
+    events, many, last = cells.agg(F.sum("events"), F.count(F.lit(1)), F.max("t")).first()
+    held = None
+    if strata is None and many <= HELD_CELLS:
+        table = cells.select("t", "cumulative").orderBy("t").toPandas()
+        held = table["t"].to_numpy(), table["cumulative"].to_numpy()
     result = Fit(
-        "cox", design.names, point.beta / scale, covariance, design,
-        int(round(point.sums["rows"].sum())), events,
+        "cox", design.names, point.beta / scale, covariance, design, int(round(point.rows)), int(round(events)),
         stats={
             "log_likelihood": point.value,
             "aic_partial": -2 * point.value + 2 * len(design.names),
         },
-        notes=[*design.notes, *notes, *_building_notes(design, building_effects, min_level)],
+        notes=[*notes, *design.notes, *found.notes, *_building_notes(design, building_effects, min_level)],
     )
+    if strata is not None:
+        result.stats["strata"] = float(levels.count())
     if with_concordance:
         from tidemark.operators.concordance import concordance
 
         score = linear_predictor(design, result.lookup)
-        counts = concordance(usable, score, duration, event)
-        result.stats["concordance"] = counts["concordance"]
+        result.stats["concordance"] = concordance(usable, score, duration, event, strata)["concordance"]
     support = premium_support(encoded) if PRICE in design.names else None
     means = np.array([design.means[n] for n in design.names])
-    return CoxFit(result, point.days, hazard, float(point.days[-1]), support, means)
-
-
-def _optimum(rows: _Rows, ridge: float):
-    start = rows.frame.agg(F.sum("e")).first()[0] or 0
-    if start < 2:
-        raise SchemaError(f"the hazard fit needs two events, found {int(start)}")
-    return newton(rows, ridge)
+    return CoxFit(result, cells, float(last), support, means, strata, held)
 
 
 def _building_notes(design: Design, used: bool, min_level: int) -> list[str]:
@@ -397,45 +259,26 @@ def day_residuals(df: DataFrame, cox: CoxFit, duration: str = DURATION, event: s
     """``(name, statistic, p_value)`` of the correlation of scaled residuals with ranked time.
 
     Per event day, the residual sum is the covariates of its events minus their
-    risk-set mean; everything beyond the per-day sums is a few thousand numbers.
+    risk-set mean; only sums over all days come back.
     """
     from tidemark.functions.distributions import chi_square_p
 
+    if cox.strata is not None:
+        raise SchemaError("residuals against time are for a fit without strata")
     design = cox.fit.design
     flag = col(event).cast("double")
     usable = df.where((col(duration) > 0) & flag.isin(0.0, 1.0))
     encoded = design.encoded(usable, col(duration).alias(duration), flag.alias(event))
     encoded = encoded.na.drop(subset=[f"`{n}`" for n in design.names])
-    rows = prepare_rows(encoded, design, 0, duration, event)
+    passes, _ = prepare_rows(encoded, design, duration, event)
     scale = np.array([design.scale[n] for n in design.names])
-    sums = rows.day_sums(cox.fit.values * scale)
-    x = _event_sums(rows)
-    s0, s1 = _suffix(sums["s0"]), _suffix(sums["s1"])
-    deaths = sums["events"]
-    at = deaths > 0
-    mean = s1[at] / s0[at][:, None]
-    residual = np.array([x[d] for d in sums["day"][at]]) - deaths[at][:, None] * mean
-    # Average rank of the tied event times.
-    upto = np.cumsum(deaths[at])
-    rank = upto - (deaths[at] - 1) / 2
-    total = deaths[at].sum()
-    centre = rank - (deaths[at] @ rank) / total
+    found = passes.residual_sums(passes.evaluate({0: cox.fit.values * scale}))[0]
+    total, middle = found["events"], found["rank"] / found["events"]
     variance = cox.fit.covariance * np.outer(scale, scale)
-    scaled = total * residual @ variance
-    top = (centre @ scaled) ** 2
-    bottom = total * np.diag(variance) * (deaths[at] @ centre**2)
-    statistic = top / bottom
+    scaled = total * (found["ranked"] - middle * found["left"]) @ variance
+    spread = found["rank2"] - middle * found["rank"]
+    statistic = scaled**2 / (total * np.diag(variance) * spread)
     return df.sparkSession.createDataFrame(
         [(n, float(s), chi_square_p(float(s), 1)) for n, s in zip(design.names, statistic)],
         "name string, statistic double, p_value double",
     )
-
-
-def _event_sums(rows: _Rows) -> dict[float, np.ndarray]:
-    """Sum of the covariates of the events of each day."""
-    names = [f"x{i}" for i in range(rows.p)]
-    table = rows.frame.where(F.col("e") == 1).groupBy("t").agg(*[F.sum(n).alias(n) for n in names])
-    found = table.limit(MAX_DAYS + 1).collect()
-    if len(found) > MAX_DAYS:
-        raise SchemaError(f"more than {MAX_DAYS} distinct durations; bucket them first")
-    return {r["t"]: np.array([r[n] for n in names]) for r in found}
