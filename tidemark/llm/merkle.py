@@ -22,6 +22,7 @@ RUN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPERED = 5  # crc32 of the id modulo this is 0
 TOP = -1      # number of the tree over the subroots
+TASK_ROWS = 20_000
 NODE = ["tree", "level", "place"]
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -48,8 +49,13 @@ def leaves(df: DataFrame, names: dict[str, str]) -> DataFrame:
     )
 
 
-def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Add ``name``: the row's place, 0, 1, …, in the order of ``keys``, nulls first.
+def tasks_for(rows: int) -> int:
+    """Tasks for a table whose rows are known to be this many at most."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
+def numbered(df: DataFrame, keys: list[str], name: str, many: int) -> DataFrame:
+    """Add ``name``: the place, 0, 1, …, of each of ``many`` rows in the order of ``keys``, nulls first.
 
     Rows are dealt by ranges of the keys and sorted within; a range's rows count on from the sum
     of the ranges before it, a table of as many rows as there are ranges.  The written copy
@@ -58,7 +64,7 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     """
     order = [F.col(k).asc_nulls_first() for k in keys]
     df = df.withColumn("__at", F.monotonically_increasing_id())
-    sorted_ = df.repartitionByRange(shuffle_width(df.sparkSession), *order, F.col("__at")).sortWithinPartitions(*order, "__at")
+    sorted_ = df.repartitionByRange(max(min(shuffle_width(df.sparkSession), tasks_for(many * 10)), tasks_for(many // 100)), *order, F.col("__at")).sortWithinPartitions(*order, "__at")
     rows = land(sorted_.drop("__at").withColumn("__seat", F.monotonically_increasing_id()), name)
     part, inside = F.shiftright("__seat", 33), F.col("__seat").bitwiseAND((1 << 33) - 1)
     counts = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n")).collect()  # a row per range
@@ -72,11 +78,13 @@ def numbered(df: DataFrame, keys: list[str], name: str) -> DataFrame:
     ).drop("__part", "__inside", "__start", "__seat")
 
 
-def inner_nodes(base: DataFrame, most: int) -> list[DataFrame]:
+def inner_nodes(base: DataFrame, most: int, leaves: int, many: int) -> list[DataFrame]:
     """The levels above ``base`` (tree, place, digest, left), ``left`` nodes in the row's tree and level.
 
     A node has the digests of its run one behind the other, and a tree ends where one node is
-    left, so a tree of one leaf has no inner node.  ``most`` is the size of the largest tree.
+    left, so a tree of one leaf has no inner node.  ``most`` is the size of the largest tree;
+    from the number of ``leaves`` and of trees (``many``) follows how many nodes a level has at
+    most, and so its tasks.
     """
     levels, current = [], base
     while most > 1:
@@ -84,8 +92,9 @@ def inner_nodes(base: DataFrame, most: int) -> list[DataFrame]:
             F.array_sort(F.collect_list(F.struct(F.pmod("place", F.lit(RUN)).alias("seat"), F.hex("digest").alias("hex")))).alias("members"),
             F.ceil(F.max("left") / RUN).cast("long").alias("left"),
         ).withColumn("run", F.unhex(F.array_join("members.hex", "")))
+        leaves = leaves // RUN + many
         levels.append(
-            settle(runs.select("tree", F.lit(len(levels) + 1).alias("level"), "place", "left", "run", F.unhex(sha(F.lower(F.hex("run")))).alias("digest")))
+            settle(runs.coalesce(tasks_for(leaves)).select("tree", F.lit(len(levels) + 1).alias("level"), "place", "left", "run", F.unhex(sha(F.lower(F.hex("run")))).alias("digest")))
         )
         current, most = levels[-1], -(-most // RUN)
     return levels
@@ -115,7 +124,7 @@ def parent_of(single: Column, sources: int) -> dict[str, Column]:
     }
 
 
-def proofs(nodes: DataFrame, depth: int, sources: int) -> DataFrame:
+def proofs(nodes: DataFrame, depth: int, sources: int, tasks: int) -> DataFrame:
     """Rows (tree, level, place, run, sides): the sibling segments from every inner node to the root.
 
     ``nodes`` are inner nodes with ``sub``, the place of their tree's subroot in the top tree.
@@ -134,7 +143,7 @@ def proofs(nodes: DataFrame, depth: int, sources: int) -> DataFrame:
         )
         open_ = attach(state.filter("up_place is not null"), far, up, "inner")
         moved = open_.select(*NODE, "run", F.concat("sides", "__sides").alias("sides"), *[F.col(f"__{u}").alias(u) for u in up])
-        state = settle(moved.union(state.filter("up_place is null").select(moved.columns)))
+        state = settle(moved.union(state.filter("up_place is null").select(moved.columns)).coalesce(tasks))
         reach *= 2
     return state.select(*NODE, "run", "sides")
 
@@ -161,17 +170,19 @@ def manifest(
     changed by tampering.  An empty table gives an empty result.  Other columns are not read.
     """
     names = dict(zip(FIELDS, (id_col, source_col, lang_col, chars_col, text_col)))
-    rows = numbered(land(leaves(df, names), "leaves"), ["source", "doc_id", "leaf"], "rank")
+    hashed = land(leaves(df, names), "leaves")
+    n = hashed.count()
+    rows = numbered(hashed, ["source", "doc_id", "leaf"], "rank", n)
     sources = settle(rows.groupBy("source").agg(F.min("rank").alias("tree"), F.count(F.lit(1)).alias("left")))
     many, most = sources.agg(F.count(F.lit(1)), F.coalesce(F.max("left"), F.lit(0))).first()
     base = attach(rows, sources, ["source"]).withColumn("place", F.col("rank") - F.col("tree"))
     shape = ["tree", "place", "left", "digest"]
-    inner = inner_nodes(base.select("tree", "place", "left", F.col("leaf").alias("digest")), most)
+    inner = inner_nodes(base.select("tree", "place", "left", F.col("leaf").alias("digest")), most, n, many)
     singles = base.filter("left = 1").select(*shape[:3], F.col("leaf").alias("digest"))
-    subroots = _union([level.filter("left = 1").select(shape) for level in inner], singles)
-    subroots = settle(numbered(subroots.select("tree", "digest"), ["tree"], "sub").select("tree", "sub", F.col("digest").alias("subroot")))
+    subroots = _union([level.filter("left = 1").select(shape) for level in inner], singles).select("tree", "digest")
+    subroots = settle(numbered(subroots, ["tree"], "sub", many).select("tree", "sub", F.col("digest").alias("subroot")).coalesce(tasks_for(many)))
     top = inner_nodes(
-        subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("sub").alias("place"), F.lit(many).cast("long").alias("left"), F.col("subroot").alias("digest")), many
+        subroots.select(F.lit(TOP).cast("long").alias("tree"), F.col("sub").alias("place"), F.lit(many).cast("long").alias("left"), F.col("subroot").alias("digest")), many, many, 1
     )
     last = (top[-1] if top else subroots.withColumnRenamed("subroot", "digest")).select("digest").first()
     root = last["digest"].hex() if last is not None else None
@@ -179,7 +190,8 @@ def manifest(
     if inner or top:
         empty = (inner + top)[0].filter("false").select(whole)
         nodes = attach(_union([level.select(whole) for level in inner + top], empty), subroots.select("tree", "sub"), ["tree"])
-        paths = proofs(nodes, len(inner) + len(top), many)
+        tasks = tasks_for(n // (RUN - 1) + 20 * many)
+        paths = proofs(nodes.coalesce(tasks), len(inner) + len(top), many, tasks)
     else:
         paths = rows.sparkSession.createDataFrame([], "tree long, level int, place long, run binary, sides array<struct<before:binary,after:binary>>")
     held = attach(base.withColumn("level", F.lit(0)), subroots, ["tree"]).withColumns(parent_of(F.col("left") == 1, many))
