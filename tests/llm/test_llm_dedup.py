@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -96,3 +97,25 @@ def test_empty_tables(spark):
     assert exact_dedup.exact_dedup(odd.empty(spark)).count() == 0
     assert exact_dedup.keep_first(odd.empty(spark)).count() == 0
     assert suffix_dedup.suffix_dedup(odd.empty(spark)).count() == 0
+
+
+def test_a_passage_at_every_border_of_a_long_text(spark):
+    """A repetitive passage has many equal anchors; which one counts must not depend on its place."""
+    rng = random.Random(5)
+    passage = "ab ab ab ab ab " * 4
+    text = "".join(rng.choice("cdefghijklmnop ") for _ in range(3 << 20))
+    places = [p + shift for p in (1 << 16, 1 << 18, 1 << 19, 1 << 20, 3 << 19, 1 << 21, 5 << 19) for shift in (-59, -31, -1)][::2]
+    for p in places:
+        text = text[:p] + passage + text[p + len(passage) :]
+    rows = [(1, f"first {passage}", "s"), (2, text, "s"), (3, "x" * 80 + passage, "s")]
+    got = {r["doc_id"]: r for r in suffix_dedup.suffix_dedup(odd.frame(spark, rows)).collect()}
+    earlier = {rows[0][1][i : i + 50] for i in range(len(rows[0][1]) - 49)}
+    for doc, body, _ in rows[1:]:
+        lost = set()
+        for i in range(len(body) - 49):
+            if body[i : i + 50] in earlier:
+                lost.update(range(i, i + 50))
+        if doc == 2:
+            earlier |= {body[i : i + 50] for i in range(len(body) - 49)}
+        assert got[doc]["n_removed"] == len(lost), doc
+    assert got[2]["n_removed"] >= len(places) * len(passage) and got[1]["n_removed"] == 0
