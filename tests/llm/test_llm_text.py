@@ -200,3 +200,66 @@ def test_chunks_of_a_very_wide_part_follow_each_other(spark):
     place = {m["tool_call"]["id"]: i for i, m in enumerate(talks[2]) if "tool_call" in m}
     assert len(place) == n and all(place[m["tool_call_id"]] < i for i, m in enumerate(talks[2]) if "tool_call_id" in m)
     assert sum(r["n_linked"] for r in rows) == n and [m["content"] for m in talks[3]] == ["few"]
+
+
+def plain_region(html):
+    """Lines of the container a plain density reading picks: most characters for its tags."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.stack, self.blocks = [], {}
+
+        def handle_starttag(self, tag, attrs):
+            self.stack.append((tag, len(self.blocks) if tag != "div" else self.getpos()))
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            divs = [n for t, n in self.stack if t == "div"]
+            if data.strip() and divs and not any(t == "a" for t, _ in self.stack):
+                self.blocks.setdefault(divs[-1], []).append(" ".join(data.split()))
+
+    reader = Reader()
+    reader.feed(html)
+    return " ".join(max(reader.blocks.values(), key=lambda b: sum(map(len, b))))
+
+
+def test_pages_without_article_by_density():
+    rng = random.Random(11)
+    say = lambda n: " ".join(rng.choice("stone river lamp quiet amber field".split()) for _ in range(n))
+    for _ in range(40):
+        links = "".join(f"<li><a href=x>{say(2)}</a></li>" for _ in range(rng.randrange(3, 12)))
+        body = "".join(f"<p>{say(rng.randrange(30, 90))}</p>" for _ in range(rng.randrange(2, 7)))
+        html = f"<body><div><ul>{links}</ul></div><div>{body}</div><div><ul>{links}</ul></div></body>"
+        assert html_text.main_text(html) == plain_region(html)
+
+
+def test_an_article_is_a_prior_only():
+    text = " ".join(["the long story of a place nobody knew"] * 12)
+    page = f"<body><article><a href=x>teaser one</a></article><div><p>{text}</p><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == f"{text} {text}"
+    page = f"<body><div><a href=x>menu</a></div><article><h1>Head</h1><p>{text}</p></article></body>"
+    assert html_text.main_text(page) == f"Head {text}"
+
+
+def test_deep_pages_take_time_in_proportion():
+    import time
+
+    def taken(page):
+        start = time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - start
+
+    taken("<div>x" * 1000)
+    assert taken("<div>x" * 40_000) < 8  # 240 KB; minutes if each tag looked through all open ones
+    assert taken("<span>" * 20_000 + "<h1>a</h1>" * 20_000) < 8
+    assert html_text.main_text("<div>x" * 3000).count("x") == 3000
+
+
+def test_repeated_pages_stay(spark):
+    rows = [(1, "u", "<p>one two three</p>"), (1, "u", "<p>one two three</p>"), (None, None, None)]
+    got = html_text.html_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("one two three", 13), ("one two three", 13)]

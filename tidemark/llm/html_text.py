@@ -5,15 +5,14 @@ block boundaries is a line, with its characters outside links over its tags as i
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by
 element or by what their class, id or role says, give no lines.  The densities, in page order,
 are smoothed by a Gaussian; two clusters of them are told apart by a threshold, and the dense
-lines mark the content region: the container around them.  Pages with articles or a main element
-are read by these instead.
+lines mark the content region: the articles or the main element that hold them, where these hold
+the better part of the dense text, else the innermost container around nearly all of it.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -51,6 +50,7 @@ TITLE = re.compile(r"header")
 
 SIGMA = 1.0
 RADIUS = 3
+BOUNDS = frozenset("ul ol dl table article main section div body".split())  # an open item is not closed across these
 
 
 def hinted(hints: dict[str, str], inside: bool) -> bool:
@@ -62,16 +62,22 @@ def hinted(hints: dict[str, str], inside: bool) -> bool:
 
 
 class _Lines(HTMLParser):
-    """Lines of a page: text, density and the elements around it."""
+    """Lines of a page: text, density, the element they stand in, and whether all is links.
+
+    Elements are numbered as they open and know the one around them (``up``); 0 is the page.
+    For every tag the places of its open elements are kept, so no tag looks through the stack.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []   # tag, number, left out
-        self.lines: list[tuple[str, float, tuple[int, ...], bool]] = []
-        self.containers: set[int] = set()
+        self.tag, self.up, self.left = [""], [0], [False]
+        self.open: list[int] = []
+        self.places: dict[str, list[int]] = {}
+        self.bounds, self.blocks = [-1], [-1]
+        self.lines: list[tuple[str, float, int, bool]] = []
         self.articles: list[int] = []
         self.mains: list[int] = []
-        self.count = self.out = self.links = 0
+        self.out = self.links = self.inside = 0
         self.parts: list[str] = []
         self.tags = self.linked = 0
 
@@ -79,22 +85,41 @@ class _Lines(HTMLParser):
         text = " ".join("".join(self.parts).split())
         if text:
             plain = max(0, len(text) - self.linked)
-            self.lines.append((text, plain / (1 + self.tags), tuple(n for _, n, _ in self.open), plain == 0))
+            self.lines.append((text, plain / (1 + self.tags), self.open[-1] if self.open else 0, plain == 0))
         self.parts, self.tags, self.linked = [], 0, 0
 
+    def _push(self, tag: str, left: bool):
+        place = len(self.open)
+        self.tag.append(tag)
+        self.up.append(self.open[-1] if self.open else 0)
+        self.left.append(left)
+        self.open.append(len(self.tag) - 1)
+        self.places.setdefault(tag, []).append(place)
+        if tag in BOUNDS:
+            self.bounds.append(place)
+        if tag not in INLINE:
+            self.blocks.append(place)
+        self.out += left
+        self.links += tag == "a"
+        self.inside += tag in ("article", "main")
+
     def _pop(self, at: int):
-        for tag, _, left in self.open[at:]:
-            self.out -= left
+        while len(self.open) > at:
+            element = self.open.pop()
+            tag = self.tag[element]
+            self.places[tag].pop()
+            if tag in BOUNDS:
+                self.bounds.pop()
+            if tag not in INLINE:
+                self.blocks.pop()
+            self.out -= self.left[element]
             self.links -= tag == "a"
-        del self.open[at:]
+            self.inside -= tag in ("article", "main")
 
-    def _close(self, tags, until=("ul", "ol", "dl", "table", "article", "main", "section", "div", "body")):
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] in tags:
-                self._pop(at)
-                return
-            if self.open[at][0] in until:
-                return
+    def _close(self, tags):
+        at = max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+        if at > self.bounds[-1]:
+            self._pop(at)
 
     def handle_starttag(self, tag, attrs):
         inline = tag in INLINE
@@ -103,16 +128,15 @@ class _Lines(HTMLParser):
             if tag not in VOID:
                 self._close(("p",))
                 if tag in CLOSES:
-                    self._close(CLOSES[tag], ("ul", "ol", "dl", "table", "article", "main", "section", "div", "body"))
+                    self._close(CLOSES[tag])
         else:
             self.tags += 1
         if tag in VOID:
             if tag == "br":
                 self.parts.append(" ")
             return
-        self.count += 1
         hints = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "style", "aria-hidden", "itemprop")}
-        inside = any(t in ("article", "main") for t, _, _ in self.open)
+        inside = self.inside > 0
         left = (
             tag in LEFT_OUT
             or (tag == "header" and not inside)
@@ -122,16 +146,12 @@ class _Lines(HTMLParser):
             or "display:none" in hints.get("style", "").replace(" ", "")
             or (tag not in ("html", "body", "main", "article") and hinted(hints, inside))
         )
-        self.open.append((tag, self.count, left))
-        self.out += left
-        self.links += tag == "a"
-        if tag in CONTAINERS:
-            self.containers.add(self.count)
+        self._push(tag, left)
         if not self.out:
             if tag == "article":
-                self.articles.append(self.count)
+                self.articles.append(self.open[-1])
             elif tag == "main" or hints.get("role") == "main" or hints.get("itemprop") == "articlebody":
-                self.mains.append(self.count)
+                self.mains.append(self.open[-1])
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
@@ -148,12 +168,9 @@ class _Lines(HTMLParser):
             self.flush()
         else:
             self.tags += 1
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self._pop(at)
-                return
-            if tag in INLINE and self.open[at][0] not in INLINE:
-                return
+        at = self.places.get(tag)
+        if at and (tag not in INLINE or at[-1] > self.blocks[-1]):
+            self._pop(at[-1])
 
     def handle_data(self, data):
         if not self.out:
@@ -186,34 +203,48 @@ def threshold(values: np.ndarray) -> float:
     return (low + high) / 2
 
 
+def _within(up: list[int], regions) -> list[bool]:
+    """Per element whether it is one of ``regions`` or stands in one."""
+    inside = [False] * len(up)
+    for e in regions:
+        inside[e] = True
+    for e in range(1, len(up)):
+        inside[e] = inside[e] or inside[up[e]]
+    return inside
+
+
 def main_text(html: str | None) -> str:
     """The article of a page as one line; empty if there is none."""
     page = _Lines()
     page.feed(html or "")
     page.close()
     page.flush()
-    lines = page.lines
+    lines, up = page.lines, page.up
     if not lines:
         return ""
-    for regions in (page.articles, page.mains):
-        outer = [r for r in regions if any(r in around for _, _, around, _ in lines)]
-        if outer:
-            # Of several, those of nothing but links are teasers.
-            hit = {r for r in outer if any(r in around and not menu for _, _, around, menu in lines)} or set(outer)
-            return " ".join(t for t, _, around, _ in lines if hit.intersection(around))
     dense = smooth(np.array([math.log1p(d) for _, d, _, _ in lines]))
     chosen = dense >= threshold(dense)
-    # No article: the innermost container of several lines with nearly all dense text, and all its
-    # lines; only those of nothing but links before its first and behind its last dense line are a menu.
-    weight: dict[int, int] = {}
-    for c, (text, _, around, _) in zip(chosen, lines):
-        if c:
-            for element in page.containers.intersection(around):
-                weight[element] = weight.get(element, 0) + len(text)
-    total = sum(len(t) for c, (t, _, _, _) in zip(chosen, lines) if c)
-    several = Counter(e for _, _, around, _ in lines for e in around)
-    inner = max((e for e, w in weight.items() if w >= 0.8 * total and several[e] > 1), default=None)
-    held = [i for i, (_, _, around, _) in enumerate(lines) if inner is None or inner in around]
+    # Dense characters and lines of every element, its inner ones included: children come later.
+    weight, several = [0] * len(up), [0] * len(up)
+    for c, (text, _, element, _) in zip(chosen, lines):
+        weight[element] += len(text) if c else 0
+        several[element] += 1
+    for e in range(len(up) - 1, 0, -1):
+        weight[up[e]] += weight[e]
+        several[up[e]] += several[e]
+    total = weight[0]
+    for regions in (page.articles, page.mains):
+        around = _within(up, regions)
+        outer = [e for e in regions if not around[up[e]] and weight[e]]
+        if 2 * sum(weight[e] for e in outer) >= total:
+            # Articles without dense text are teasers.
+            inside = _within(up, outer)
+            return " ".join(t for t, _, e, _ in lines if inside[e])
+    # The innermost container of several lines with nearly all dense text, and all its lines; only
+    # those of nothing but links before its first and behind its last dense line are a menu.
+    inner = max((e for e in range(1, len(up)) if page.tag[e] in CONTAINERS and weight[e] >= 0.8 * total and several[e] > 1), default=0)
+    inside = _within(up, [inner])
+    held = [i for i, line in enumerate(lines) if inside[line[2]]]
     marked = [i for i in held if chosen[i]]
     return " ".join(lines[i][0] for i in held if marked[0] <= i <= marked[-1] or not lines[i][3])
 
