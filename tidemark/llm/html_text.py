@@ -225,20 +225,22 @@ def main_text(html: str | None) -> str:
     dense = smooth(np.array([math.log1p(d) for _, d, _, _ in lines]))
     chosen = dense >= threshold(dense)
     # Dense characters and lines of every element, its inner ones included: children come later.
-    weight, several = [0] * len(up), [0] * len(up)
-    for c, (text, _, element, _) in zip(chosen, lines):
+    weight, several, spoken = [0] * len(up), [0] * len(up), [0] * len(up)
+    for c, (text, _, element, menu) in zip(chosen, lines):
         weight[element] += len(text) if c else 0
         several[element] += 1
+        spoken[element] += not menu
     for e in range(len(up) - 1, 0, -1):
         weight[up[e]] += weight[e]
         several[up[e]] += several[e]
+        spoken[up[e]] += spoken[e]
     total = weight[0]
     for regions in (page.articles, page.mains):
         around = _within(up, regions)
-        outer = [e for e in regions if not around[up[e]] and weight[e]]
-        if 2 * sum(weight[e] for e in outer) >= total:
-            # Articles without dense text are teasers.
-            inside = _within(up, outer)
+        outer = [e for e in regions if not around[up[e]]]
+        if outer and 2 * sum(weight[e] for e in outer) >= total:
+            # Of several, those of nothing but links are teasers.
+            inside = _within(up, [e for e in outer if spoken[e]] or outer)
             return " ".join(t for t, _, e, _ in lines if inside[e])
     # The innermost container of several lines with nearly all dense text, and all its lines; only
     # those of nothing but links before its first and behind its last dense line are a menu.
