@@ -133,3 +133,33 @@ def test_duration_prefers_pending(spark):
     live = frame.withColumn("status", F.lit("ACTIVE"))
     row = normalize.with_duration(live, "2023-03-01").first()
     assert (row["duration_days"], row["duration_source"]) == (59.0, "export_date")
+
+
+def exports_of(folder, n):
+    for i in range(n):
+        head = "ML#,Status" if i % 2 else 'Status,"ML#",,Status'
+        body = f"{i},Sold" if i % 2 else f'Sold,{i},"a ""quoted"" word",x'
+        if i % 10 == 3:
+            body = f'{i},"So\nld"'
+        (folder / f"Q{i % 4 + 1}-2023 part{i}.csv").write_text(f"{head}\n{body}\n")
+
+
+def jobs_of(spark, work):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    found = work()
+    return found, len(set(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - set(before))
+
+
+def test_headers_of_many_files_in_one_pass(spark, tmp_path):
+    few, many = tmp_path / "few", tmp_path / "many"
+    few.mkdir(), many.mkdir()
+    exports_of(few, 8)
+    exports_of(many, 200)
+    _, small = jobs_of(spark, lambda: read_exports(spark, [str(p) for p in few.iterdir()]))
+    frame, large = jobs_of(spark, lambda: read_exports(spark, [str(p) for p in many.iterdir()]))
+    assert small == large
+    rows = frame.collect()
+    assert len(rows) == 200 and set(frame.columns) >= {"ML#", "Status", "_c2", "Status0", "Status3"}
+    by = {int(r["ML#"]): r for r in rows}
+    assert by[13]["Status"] == "So\nld" and by[1]["Status"] == "Sold" and by[1]["_c2"] is None
+    assert by[4]["_c2"] == 'a "quoted" word' and by[4]["Status3"] == "x" and by[4]["_source_quarter"] == "2023Q1"

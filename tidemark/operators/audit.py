@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -321,6 +322,72 @@ def status_evidence(df: DataFrame, sold: Column, evidence: str = "close_date") -
     )
 
 
+def status_by_previous(df: DataFrame, status: str, previous: str, blank: str = "<blank>") -> DataFrame:
+    """``(status, previous, rows)``: a long cross table, blanks named."""
+    return df.groupBy(
+        F.coalesce(F.col(status).cast("string"), F.lit(blank)).alias("status"),
+        F.coalesce(F.col(previous).cast("string"), F.lit(blank)).alias("previous"),
+    ).agg(F.count("*").alias("rows"))
+
+
+def sale_claims(df: DataFrame, status: str, previous: str, sold: str, evidence: str = "close_date") -> DataFrame:
+    """How well the status and the previous status agree with a closing date, a row each.
+
+    ``other_only`` counts the rows where the claim is made by this column alone.
+    """
+    proof = F.col(evidence).isNotNull()
+    said = {c: F.coalesce(F.col(c) == sold, F.lit(False)) for c in (status, previous)}
+    rows = []
+    for column, other in ((status, previous), (previous, status)):
+        claim = said[column]
+        rows.append(
+            F.struct(
+                F.lit(column).alias("column"), F.count(F.col(column)).alias("filled"), tally(claim).alias("claims"),
+                tally(claim & proof).alias("agreed"), tally(claim & ~proof).alias("unproven"), tally(~claim & proof).alias("missed"),
+                tally(claim & ~said[other]).alias("alone"),
+            )
+        )
+    return df.agg(F.array(*rows).alias("found")).select(F.inline("found"))
+
+
+def _ends(k: int):
+    """Keep the k lowest and k highest rows of every group seen so far, by value then ident."""
+
+    def best(table: pa.Table) -> pa.Table:
+        ordered = table.sort_by([("__g", "ascending"), ("__side", "ascending"), ("__by", "ascending"), ("ident", "ascending")])
+        group = pd.MultiIndex.from_arrays([ordered["__g"].to_pandas(), ordered["__side"].to_pandas()])
+        rank = pd.Series(np.ones(len(ordered), int)).groupby([group.get_level_values(0), group.get_level_values(1)]).cumsum().to_numpy()
+        kept = ordered.filter(pa.array(rank <= k))
+        return kept.set_column(kept.schema.get_field_index("rank"), "rank", pa.array(rank[rank <= k], pa.int32()))
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if batch.num_rows:
+                table = pa.Table.from_batches([batch])
+                held = best(table if held is None else pa.concat_tables([held, table]))
+        if held is not None:
+            yield from held.to_batches()
+
+    return run
+
+
+def extreme_rows(df: DataFrame, keys: list[str], value: str, ident: str, k: int = 10, columns: list[str] = []) -> DataFrame:
+    """The k rows of the lowest and of the highest value of every group.
+
+    Returns the keys, ``side`` (low, high), ``rank``, ``ident``, ``value`` and ``columns``.  Equal
+    values are ranked by ``ident``.  Each task keeps 2 k rows a group, twice, so a group is never
+    gathered or sorted; null and NaN values take no part, a null key is a group.
+    """
+    sides = F.explode(F.array(F.lit("low"), F.lit("high")))
+    rows = df.select(*keys, finite(value).alias("value"), F.col(ident).alias("ident"), *columns).where(F.col("value").isNotNull())
+    group = F.to_json(F.struct(*[F.col(c) for c in keys]), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    rows = rows.withColumns({"__g": group, "__side": sides, "rank": F.lit(0)})
+    rows = rows.withColumn("__by", F.when(F.col("__side") == "low", F.col("value")).otherwise(-F.col("value")))
+    kept = rows.mapInArrow(_ends(k), rows.schema).repartition("__g", "__side").mapInArrow(_ends(k), rows.schema)
+    return kept.select(*keys, F.col("__side").alias("side"), "rank", "ident", "value", *columns)
+
+
 def column_wedge(left: DataFrame, right: DataFrame, ident: str, value: str) -> DataFrame:
     """Two versions of one column matched by id: correlation, deviations, attenuation."""
     both = left.select(ident, finite(value).alias("x")).join(
@@ -347,6 +414,30 @@ def outside_support(cube: DataFrame, support: dict[str, float], keys: list[str]
     )
 
 
+def decompose_change(
+    old: DataFrame, new: DataFrame, old_variable: str, new_variable: str, covariates: list[str],
+    categorical: list[str] = ["submarket", "season"], least: int = 200,
+) -> DataFrame:
+    """``(part, value, error)``: the price coefficient of both tables under both variables, fitted in
+    one run, and the parts of the change from the first cell to the last."""
+    from tidemark.operators.keyed import Cell, fit_cells
+
+    cells = [
+        Cell(f"{when} data, {which} variable", frame, variable)
+        for when, frame in (("old", old), ("new", new)) for which, variable in (("old", old_variable), ("new", new_variable))
+    ]
+    found = fit_cells(cells, covariates, categorical, least)
+    values, rows = [], []
+    for cell in cells:
+        fit = found[cell.label]
+        own = None if isinstance(fit, str) else fit.coefficient("rel_price_premium")
+        values.append(own and own["value"])
+        rows.append((cell.label, own and own["value"], fit if isinstance(fit, str) else None))
+    if None not in values:
+        rows += [(name, value, None) for name, value in decomposition(*values).items()]
+    return old.sparkSession.createDataFrame(rows, "part string, value double, error string")
+
+
 def decomposition(old_old: float, old_new: float, new_old: float, new_new: float) -> dict[str, float]:
     """Two paths and the average attribution of a change in two steps.
 

@@ -122,8 +122,13 @@ def bootstrap_price(
     duration: str = DURATION,
     event: str = EVENT,
     seed: int = SEED,
+    weights: Column | None = None,
 ) -> Bootstrap:
-    """Refit both stages of all replicates on weighted rows and collect the coefficient."""
+    """Refit both stages of all replicates on weighted rows and collect the coefficient.
+
+    ``weights`` is an array of a row's counts, one per replicate; by default they come from a
+    hash of ``keys``.
+    """
     surface, hazard = premium.fit.design, cox.fit.design
     raw = hazard.expressions()
     raw.pop(PRICE, None)
@@ -137,12 +142,12 @@ def bootstrap_price(
         rows.withColumns(levels).select(
             F.lit(0).alias("fit"), F.lit(0.0).alias("stratum"), col(duration).cast("double").alias("t"), flag.alias("e"),
             *[(raw[n] if n in raw else F.lit(0.0)).cast("double").alias(x[n]) for n in hazard.names],
-            replicate_weights(keys, replicates, seed).alias("w"), *[priced[n].cast("double").alias(z[n]) for n in surface.names],
+            (replicate_weights(keys, replicates, seed) if weights is None else weights).alias("w"), *[priced[n].cast("double").alias(z[n]) for n in surface.names],
             F.log(col(price)).alias("_y"),
         )
     )
     grams = weighted_grams(rows, [*z.values(), "_y"], "w", replicates)
-    weights, failed = np.zeros((len(z) + 1, replicates)), set()
+    slopes, failed = np.zeros((len(z) + 1, replicates)), set()
     for r, moments in enumerate(grams):
         try:
             fit = least_squares(moments, "_y", _varying(moments, list(z.values())))
@@ -150,13 +155,13 @@ def bootstrap_price(
             failed.add(r)
             continue
         found = dict(zip(fit.names, fit.values))
-        weights[:, r] = [found["const"], *[found.get(c, 0.0) for c in z.values()]]
+        slopes[:, r] = [found["const"], *[found.get(c, 0.0) for c in z.values()]]
     p, at = len(x), hazard.names.index(PRICE)
 
     def with_premium(values: np.ndarray) -> np.ndarray:
         """Every replicate's own premium in place of the columns of the surface."""
         keep, columns = values[:, : LEAD + p + replicates], values[:, LEAD + p + replicates :]
-        return np.hstack([keep, np.expm1(columns[:, -1:] - weights[0] - columns[:, :-1] @ weights[1:])])
+        return np.hstack([keep, np.expm1(columns[:, -1:] - slopes[0] - columns[:, :-1] @ slopes[1:])])
 
     complete = rows.na.drop(subset=list(x.values()))
     layout = lay_out(complete, list(x.values()), complete.count(), replicates, at, with_premium)

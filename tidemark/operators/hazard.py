@@ -31,7 +31,7 @@ LEAST_ROWS = 2_000      # a partition is not cut smaller than this
 DIRECT = 4_000_000      # numbers of all partitions' matrices that come back without folding
 TIES_AT_ONCE = 1_000_000
 MAX_STEPS = 50
-TOLERANCE = 1e-9
+TOLERANCE = 1e-12
 LEAD = 4                # fit, stratum, day, event
 
 

@@ -8,20 +8,22 @@ import numpy as np
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GeneralizedLinearRegression
+from py4j.protocol import Py4JJavaError
+from pyspark.errors.exceptions.captured import CapturedException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.errors import IdentificationError, SchemaError
-from tidemark.functions.common import col, tally, uniform
+from tidemark.functions.common import col, tally
 from tidemark.operators.design import Design, learn_design, linear_predictor
 from tidemark.operators.fits import Fit
 from tidemark.operators.gram import gram
 from tidemark.operators.quantiles import bucket_edges, grouped_quantiles, right_closed_bucket
+from tidemark.operators.split import with_test_mark
 from tidemark.session import settle
 
 TEST_SHARE = 0.25
 SEED = 20240101
 CALIBRATION_BINS = 10
-SOLVER_WORDS = ("SingularMatrix", "singular", "positive definite", "instance weights", "NaN", "Infinity", "converge")
 
 
 def horizon_label(horizon: int, duration="duration_days", event="event_sold") -> Column:
@@ -137,18 +139,27 @@ def fit_logit(
 
 
 def _held_out_auc(rows: DataFrame, design: Design, id_columns: list[str]) -> float:
-    """AUC on a quarter of each outcome class, chosen by row hash; NaN when not viable."""
+    """AUC on exactly a quarter of each outcome class, chosen by row hash; NaN when not viable.
+
+    Whether one covariate separates the classes is tested before the fit; of the solver's errors
+    only those that name a singular system count as not viable.
+    """
     keys = id_columns or [f"`{n}`" for n in design.names]
-    marked = rows.withColumn("_u", uniform(SEED, *keys))
-    train, test = marked.where(F.col("_u") >= TEST_SHARE), marked.where(F.col("_u") < TEST_SHARE)
-    classes = test.agg(F.min("_label"), F.max("_label")).first()
-    if tuple(classes) != (0.0, 1.0):
+    marked = settle(with_test_mark(rows, "_label", TEST_SHARE, keys, SEED))
+    train, test = marked.where(~F.col("_test")), marked.where(F.col("_test"))
+    classes = marked.groupBy("_test", "_label").agg(
+        F.count("*").alias("n"), *[f(f"`{n}`").alias(f"{k}{i}") for i, n in enumerate(design.names) for k, f in (("lo", F.min), ("hi", F.max))]
+    ).collect()
+    sizes = {(r["_test"], r["_label"]): r for r in classes}
+    if any((t, y) not in sizes for t in (True, False) for y in (0.0, 1.0)):
+        return float("nan")
+    no, yes = sizes[False, 0.0], sizes[False, 1.0]
+    if any(no[f"hi{i}"] < yes[f"lo{i}"] or yes[f"hi{i}"] < no[f"lo{i}"] for i in range(len(design.names))):
         return float("nan")
     try:
         model = _glm(train, design, "binomial", "_label")
-    except Exception as error:
-        # The solver reports separation in its own words; anything else is a failure of the job.
-        if not any(word in str(error) for word in SOLVER_WORDS):
+    except (Py4JJavaError, CapturedException) as error:
+        if not _singular(error):
             raise
         return float("nan")
     scored = model.transform(_assembled(test, design))
@@ -157,6 +168,16 @@ def _held_out_auc(rows: DataFrame, design: Design, id_columns: list[str]) -> flo
     ).evaluate(scored)
 
 
+def _singular(error) -> bool:
+    """Whether the solver found a singular system, told by the class of an exception in the chain."""
+    cause = getattr(error, "java_exception", None) or getattr(error, "_origin", None)
+    while cause is not None:
+        if cause.getClass().getSimpleName() == "SingularMatrixException":
+            return True
+        cause = cause.getCause()
+    return False
+
+
 def fit_exponential(df: DataFrame, covariates: list[str], exposure: str, event: str) -> Fit:
     """Constant-hazard survival: Poisson regression of the event with log exposure offset."""
     rows = df.where((col(exposure) > 0) & col(event).isNotNull()).withColumns(

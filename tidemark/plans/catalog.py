@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.plans import check_features, check_models, check_normalize, check_plans, check_sources
+from tidemark.plans import check_features, check_models, check_more, check_normalize, check_plans, check_sources
 
-PARTS = (check_normalize, check_features, check_models, check_plans, check_sources)
+PARTS = (check_normalize, check_features, check_models, check_plans, check_sources, check_more)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from tidemark.operators import concordance, design, diagnostics, features, hedonic, logit, macro, survival
+from tidemark.operators import absorb, audit, bootstrap, concordance, design, diagnostics, features, hedonic, logit, macro, survival
+from tidemark.plans import fit_demand
 from tidemark.operators.gram import condition_number, explained_share, gram, gram_table, least_squares
 from tidemark.plans import stand_ins as S
 from tidemark.plans.check_features import LINES, lines
@@ -346,30 +349,39 @@ QUERIES["reg_cox"] = reg_cox
 def reg_cox_baseline(spark, folder):
     """Baseline of a model without signal: close to events over rows at risk."""
     fit = survival.fit_cox(spells(spark, folder), ["rel_price_premium"], [], with_concordance=False)
-    return fit.baseline_table(spark).select("t", F.round("survival", 4).alias("survival"))
+    return fit.baseline_table(spark).select("t", F.round("survival", 9).alias("survival"))
 
 
 QUERIES["reg_cox_baseline"] = reg_cox_baseline
 
 
 def _newton_sql(steps: int) -> str:
-    """Newton steps of a one-covariate hazard model with Efron ties, one after another."""
-    text = "b0 AS (SELECT CAST(0 AS DOUBLE) AS b)"
+    """Newton steps of one-covariate hazard models with Efron ties, one after another.
+
+    Over ``src`` (fit, stratum, t, e, x, n): rows counted n times, risk sets per stratum, a
+    coefficient per fit.
+    """
+    text = "b0 AS (SELECT DISTINCT fit, CAST(0 AS DOUBLE) AS b FROM src)"
     for k in range(1, steps + 1):
         text += f""",
-d{k} AS (SELECT t, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(e) AS m, sum(e * w) AS d0, sum(e * w * x) AS d1, sum(e * w * x * x) AS d2, sum(e * x) AS ex
-  FROM (SELECT duration_days AS t, rel_price_premium AS x, event_sold AS e, exp(b * rel_price_premium) AS w FROM spells, b{k - 1}) GROUP BY t),
-r{k} AS (SELECT *, sum(s0) OVER o AS r0, sum(s1) OVER o AS r1, sum(s2) OVER o AS r2 FROM d{k} WINDOW o AS (ORDER BY t DESC)),
+d{k} AS (SELECT fit, stratum, t, sum(w) AS s0, sum(w * x) AS s1, sum(w * x * x) AS s2, sum(n * e) AS m, sum(e * w) AS d0, sum(e * w * x) AS d1, sum(e * w * x * x) AS d2, sum(n * e * x) AS ex
+  FROM (SELECT src.*, n * exp(b * x) AS w FROM src JOIN b{k - 1} USING (fit)) GROUP BY ALL),
+r{k} AS (SELECT *, sum(s0) OVER o AS r0, sum(s1) OVER o AS r1, sum(s2) OVER o AS r2 FROM d{k} WINDOW o AS (PARTITION BY fit, stratum ORDER BY t DESC)),
 l{k} AS (SELECT *, unnest(range(CAST(m AS BIGINT))) / m AS f FROM r{k} WHERE m > 0),
-g{k} AS (SELECT sum((r1 - f * d1) / (r0 - f * d0)) AS g, sum((r2 - f * d2) / (r0 - f * d0) - pow((r1 - f * d1) / (r0 - f * d0), 2)) AS i FROM l{k}),
-b{k} AS (SELECT b + ((SELECT sum(ex) FROM d{k}) - g) / i AS b FROM g{k}, b{k - 1})"""
+g{k} AS (SELECT fit, sum((r1 - f * d1) / (r0 - f * d0)) AS g, sum((r2 - f * d2) / (r0 - f * d0) - pow((r1 - f * d1) / (r0 - f * d0), 2)) AS i FROM l{k} GROUP BY fit),
+b{k} AS (SELECT fit, b + (x - g) / i AS b FROM g{k} JOIN b{k - 1} USING (fit) JOIN (SELECT fit, sum(ex) AS x FROM d{k} GROUP BY fit) USING (fit))"""
     return text
 
 
-SQL["reg_cox_baseline"] = WITH_SPELLS + ", " + _newton_sql(6) + """,
+def _source(fit: str = "0", stratum: str = "0", x: str = "rel_price_premium", n: str = "1", rows: str = "spells") -> str:
+    return f"src AS (SELECT {fit} AS fit, {stratum} AS stratum, duration_days AS t, event_sold AS e, {x} AS x, {n} AS n FROM {rows})"
+
+
+ONE_COX = WITH_SPELLS + ", " + _source() + ", " + _newton_sql(6)
+SQL["reg_cox_baseline"] = ONE_COX + """,
 h AS (SELECT t, sum(m) AS m, sum(w) AS w FROM (SELECT duration_days AS t, event_sold AS m, exp(b * (rel_price_premium - (SELECT avg(rel_price_premium) FROM spells))) AS w FROM spells, b6) GROUP BY t),
 k AS (SELECT t, m / sum(w) OVER (ORDER BY t DESC) AS hazard FROM h)
-SELECT t, round(exp(-sum(hazard) OVER (ORDER BY t)), 4) AS survival FROM k"""
+SELECT t, round(exp(-sum(hazard) OVER (ORDER BY t)), 9) AS survival FROM k"""
 
 
 def reg_cox_price(spark, folder):
@@ -379,8 +391,171 @@ def reg_cox_price(spark, folder):
 
 
 QUERIES["reg_cox_price"] = reg_cox_price
-SQL["reg_cox_price"] = WITH_SPELLS + ", " + _newton_sql(6) + """
-SELECT 'rel_price_premium' AS name, round(b, 5) AS value, round(1 / sqrt(i), 5) AS std_error FROM b6, g6"""
+SQL["reg_cox_price"] = ONE_COX + """
+SELECT 'rel_price_premium' AS name, round(b, 5) AS value, round(1 / sqrt(i), 5) AS std_error FROM b6 JOIN g6 USING (fit)"""
+
+
+def reg_cox_strata(spark, folder):
+    """Every supplier a baseline of its own; the covariate is compared within suppliers."""
+    fit = survival.fit_cox(spells(spark, folder), ["rel_price_premium"], [], with_concordance=False, strata="l_suppkey")
+    table = fit.fit.tables(spark)["coefficients"].select("name", F.round("value", 7).alias("value"), F.round("std_error", 7).alias("std_error"))
+    return table.withColumns({"rows": F.lit(float(fit.fit.rows)), "strata": F.lit(fit.fit.stats["strata"])})
+
+
+QUERIES["reg_cox_strata"] = reg_cox_strata
+STRATA_COX = WITH_SPELLS + ", " + _source(stratum="l_suppkey") + ", " + _newton_sql(6)
+SQL["reg_cox_strata"] = STRATA_COX + """
+SELECT 'rel_price_premium' AS name, round(b, 7) AS value, round(1 / sqrt(i), 7) AS std_error, (SELECT CAST(count(*) AS DOUBLE) FROM src) AS rows,
+  (SELECT CAST(count(DISTINCT stratum) AS DOUBLE) FROM src) AS strata FROM b6 JOIN g6 USING (fit)"""
+
+
+def reg_strata_baseline(spark, folder):
+    """Each supplier's cumulative baseline hazard at day 45, between its own days."""
+    fit = survival.fit_cox(spells(spark, folder), ["rel_price_premium"], [], with_concordance=False, strata="l_suppkey")
+    return fit.cumulative_per_stratum(45).select("l_suppkey", F.round("total", 9).alias("total"))
+
+
+QUERIES["reg_strata_baseline"] = reg_strata_baseline
+SQL["reg_strata_baseline"] = STRATA_COX + """,
+h AS (SELECT stratum, t, sum(e) AS m, sum(w) AS w FROM (SELECT stratum, t, e, exp(b * (x - (SELECT avg(x) FROM src))) AS w FROM src, b6) GROUP BY 1, 2),
+k AS (SELECT stratum, t, m / sum(w) OVER (PARTITION BY stratum ORDER BY t DESC) AS hazard FROM h),
+c AS (SELECT stratum, t, sum(hazard) OVER (PARTITION BY stratum ORDER BY t) AS total FROM k),
+p AS (SELECT stratum, coalesce(max(t) FILTER (t <= 45), 0) AS lo, coalesce(arg_max(total, t) FILTER (t <= 45), 0) AS a,
+  min(t) FILTER (t > 45) AS hi, arg_min(total, t) FILTER (t > 45) AS z FROM c GROUP BY 1)
+SELECT stratum AS l_suppkey, round(CASE WHEN hi IS NULL THEN a ELSE a + (45 - lo) / (hi - lo) * (z - a) END, 9) AS total FROM p"""
+
+
+def reg_cox_pair(spark, folder):
+    """Two covariates at once: values, errors and the log likelihood's pieces agree with plain Newton steps."""
+    fit = survival.fit_cox(spells(spark, folder), ["rel_price_premium", "size"], [], with_concordance=False)
+    return fit.fit.tables(spark)["coefficients"].select("name", *[F.round(c, 7).alias(c) for c in ("value", "std_error", "ci_low", "ci_high")])
+
+
+def _pair_sql(steps: int) -> str:
+    text = "b0 AS (SELECT CAST(0 AS DOUBLE) AS b, CAST(0 AS DOUBLE) AS c)"
+    sums = [f"sum({pre}w{x}) AS {name}{i}" for pre, name in (("", "s"), ("e * ", "d")) for i, x in (("0", ""), ("x", " * x"), ("y", " * y"), ("xx", " * x * x"), ("xy", " * x * y"), ("yy", " * y * y"))]
+    share = lambda i: f"(r{i} - f * d{i}) / (r0 - f * d0)"
+    for k in range(1, steps + 1):
+        text += f""",
+d{k} AS (SELECT t, sum(e) AS m, sum(e * x) AS ex, sum(e * y) AS ey, {', '.join(sums)} FROM (SELECT p.*, exp(b * x + c * y) AS w FROM p, b{k - 1}) GROUP BY t),
+r{k} AS (SELECT *, {', '.join(f'sum(s{i}) OVER o AS r{i}' for i in ('0', 'x', 'y', 'xx', 'xy', 'yy'))} FROM d{k} WINDOW o AS (ORDER BY t DESC)),
+l{k} AS (SELECT *, unnest(range(CAST(m AS BIGINT))) / m AS f FROM r{k} WHERE m > 0),
+g{k} AS (SELECT (SELECT sum(ex) FROM d{k}) - sum({share('x')}) AS gx, (SELECT sum(ey) FROM d{k}) - sum({share('y')}) AS gy,
+  sum({share('xx')} - {share('x')} * {share('x')}) AS ixx, sum({share('xy')} - {share('x')} * {share('y')}) AS ixy, sum({share('yy')} - {share('y')} * {share('y')}) AS iyy FROM l{k}),
+b{k} AS (SELECT b + (gx * iyy - gy * ixy) / (ixx * iyy - ixy * ixy) AS b, c + (gy * ixx - gx * ixy) / (ixx * iyy - ixy * ixy) AS c FROM g{k}, b{k - 1})"""
+    return text
+
+
+PAIR_COX = WITH_SPELLS + ", p AS (SELECT duration_days AS t, event_sold AS e, rel_price_premium AS x, size AS y FROM spells), " + _pair_sql(6) + """,
+fitted AS (SELECT 'rel_price_premium' AS name, b AS value, sqrt(iyy / (ixx * iyy - ixy * ixy)) AS std_error FROM b6, g6
+  UNION ALL SELECT 'size', c, sqrt(ixx / (ixx * iyy - ixy * ixy)) FROM b6, g6)"""
+QUERIES["reg_cox_pair"] = reg_cox_pair
+SQL["reg_cox_pair"] = PAIR_COX + """
+SELECT name, round(value, 7) AS value, round(std_error, 7) AS std_error, round(value - 1.959963984540054 * std_error, 7) AS ci_low,
+  round(value + 1.959963984540054 * std_error, 7) AS ci_high FROM fitted"""
+
+
+def reg_absorbed(spark, folder):
+    """Slopes of the log price within suppliers, of which none has a column."""
+    rows = spells(spark, folder)
+    fit = absorb.absorbed_least_squares("close", rows, ["rel_price_premium", "l_quantity"], "log_price", ["l_suppkey"]).fit
+    pairs = [(n, v, fit.coefficient(n)["std_error"]) for n, v in fit.lookup.items()]
+    pairs += [("r_squared_within", fit.stats["r_squared_within"], None), ("levels", fit.stats["levels"], None)]
+    table = spark.createDataFrame([(n, float(v), e) for n, v, e in pairs], "name string, value double, std_error double")
+    return table.select("name", F.round("value", 9).alias("value"), F.round("std_error", 9).alias("std_error"))
+
+
+QUERIES["reg_absorbed"] = reg_absorbed
+SQL["reg_absorbed"] = WITH_SPELLS + """, d AS (SELECT l_suppkey, rel_price_premium - avg(rel_price_premium) OVER g AS x, l_quantity - avg(l_quantity) OVER g AS z, log_price - avg(log_price) OVER g AS y
+  FROM spells WINDOW g AS (PARTITION BY l_suppkey)),
+m AS (SELECT sum(x * x) AS xx, sum(z * z) AS zz, sum(x * z) AS xz, sum(x * y) AS xy, sum(z * y) AS zy, sum(y * y) AS yy, count(*) AS n, count(DISTINCT l_suppkey) AS k FROM d),
+s AS (SELECT *, (xy * zz - zy * xz) / (xx * zz - xz * xz) AS a, (zy * xx - xy * xz) / (xx * zz - xz * xz) AS b FROM m),
+v AS (SELECT *, (yy - a * xy - b * zy) / (n - 2 - k) / (xx * zz - xz * xz) AS u FROM s)
+SELECT 'rel_price_premium' AS name, round(a, 9) AS value, round(sqrt(u * zz), 9) AS std_error FROM v UNION ALL SELECT 'l_quantity', round(b, 9), round(sqrt(u * xx), 9) FROM v
+UNION ALL SELECT 'r_squared_within', round((a * xy + b * zy) / yy, 9), NULL FROM v UNION ALL SELECT 'levels', CAST(k AS DOUBLE), NULL FROM v"""
+
+
+def reg_level_effects(spark, folder):
+    """What absorbing leaves as each supplier's own level."""
+    rows = spells(spark, folder)
+    found = absorb.absorbed_least_squares("close", rows, ["rel_price_premium"], "log_price", ["l_suppkey"])
+    return found.effects.select("l_suppkey", "n", F.round("effect", 9).alias("effect"))
+
+
+QUERIES["reg_level_effects"] = reg_level_effects
+SQL["reg_level_effects"] = WITH_SPELLS + """, g AS (SELECT l_suppkey, count(*) AS n, avg(rel_price_premium) AS x, avg(log_price) AS y FROM spells GROUP BY 1),
+b AS (SELECT sum((rel_price_premium - x) * (log_price - y)) / sum((rel_price_premium - x) * (rel_price_premium - x)) AS b FROM spells JOIN g USING (l_suppkey))
+SELECT l_suppkey, n, round(y - b * x, 9) AS effect FROM g, b"""
+
+
+def coded(spark, folder, choice):
+    """The spells under one reading of the second return flag."""
+    rows = spells(spark, folder)
+    cancelled = F.col("l_returnflag") == "A"
+    if choice == "excluded":
+        return rows.where(~cancelled)
+    return rows.withColumn("event_sold", F.when(cancelled, F.lit(int(choice == "event"))).otherwise(F.col("event_sold")))
+
+
+def reg_cancelled_sweep(spark, folder):
+    """The coefficient under each reading of cancelled rows, all three fitted together."""
+    found = fit_demand.cancelled_sweep(lambda choice: coded(spark, folder, choice), ["rel_price_premium"], [])
+    return found.select("treatment", "rows", "events", *[F.round(c, 7).alias(c) for c in ("beta_price", "ci_low", "ci_high")], "error")
+
+
+QUERIES["reg_cancelled_sweep"] = reg_cancelled_sweep
+SQL["reg_cancelled_sweep"] = WITH_SPELLS + """, c AS (SELECT 'censored' AS treatment, duration_days, event_sold, rel_price_premium FROM spells
+  UNION ALL SELECT 'excluded', duration_days, event_sold, rel_price_premium FROM spells WHERE l_returnflag <> 'A'
+  UNION ALL SELECT 'event', duration_days, CAST(l_returnflag IN ('A', 'R') AS INT), rel_price_premium FROM spells), """ + _source(fit="treatment", rows="c") + ", " + _newton_sql(6) + """
+SELECT b6.fit AS treatment, rows, events, round(b, 7) AS beta_price, round(b - 1.959963984540054 / sqrt(i), 7) AS ci_low, round(b + 1.959963984540054 / sqrt(i), 7) AS ci_high, CAST(NULL AS VARCHAR) AS error
+FROM b6 JOIN g6 USING (fit) JOIN (SELECT fit, count(*) AS rows, CAST(sum(e) AS BIGINT) AS events FROM src GROUP BY fit) USING (fit)"""
+
+
+def reg_two_by_two(spark, folder):
+    """Old and new rows by old and new variable, four fits at once, and what the change is made of."""
+    rows = spells(spark, folder).withColumn("other_premium", F.col("l_tax") - F.col("l_discount"))
+    early = F.col("l_linenumber") <= 3
+    found = audit.decompose_change(rows.where(early), rows, "rel_price_premium", "other_premium", ["rel_price_premium"], [])
+    return found.select("part", F.round("value", 6).alias("value"))
+
+
+QUERIES["reg_two_by_two"] = reg_two_by_two
+SQL["reg_two_by_two"] = WITH_SPELLS + """, c AS (SELECT 'oo' AS cell, duration_days, event_sold, rel_price_premium AS x FROM spells WHERE l_linenumber <= 3
+  UNION ALL SELECT 'on', duration_days, event_sold, l_tax - l_discount FROM spells WHERE l_linenumber <= 3
+  UNION ALL SELECT 'no', duration_days, event_sold, rel_price_premium FROM spells UNION ALL SELECT 'nn', duration_days, event_sold, l_tax - l_discount FROM spells), """ + _source(fit="cell", x="x", rows="c") + ", " + _newton_sql(6) + """,
+v AS (SELECT max(b) FILTER (fit = 'oo') AS oo, max(b) FILTER (fit = 'on') AS en, max(b) FILTER (fit = 'no') AS ne, max(b) FILTER (fit = 'nn') AS nn FROM b6)
+SELECT part, round(value, 6) AS value FROM (SELECT unnest(['old data, old variable', 'old data, new variable', 'new data, old variable', 'new data, new variable', 'total', 'respecify_first', 'sample_second', 'sample_first',
+  'respecify_second', 'interaction', 'respecify_average', 'sample_average']) AS part, unnest([oo, en, ne, nn, nn - oo, en - oo, nn - en, ne - oo, nn - ne, (nn - ne) - (en - oo), ((en - oo) + (nn - ne)) / 2, ((ne - oo) + (nn - en)) / 2]) AS value FROM v)"""
+
+
+REPLICATES = 3
+
+
+def _md5_share(text):
+    """A number in [0, 1) that SQL can form too."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("double") / float(16**12)
+
+
+def reg_bootstrap(spark, folder):
+    """Both stages of three weighted replicates, refitted side by side."""
+    rows = spells(spark, folder).withColumnsRenamed({"ppsf": "list_ppsf"}).withColumn("rel_price_premium", F.lit(0.0))
+    premium = hedonic.fit_premium(rows, numeric=[], categorical=["p_type"])
+    scored = rows.drop("rel_price_premium").withColumn("rel_price_premium", F.expm1(F.log("list_ppsf") - F.log(premium.reference())))
+    cox = survival.fit_cox(scored, ["rel_price_premium"], [], with_concordance=False)
+    key = F.concat_ws("|", "l_orderkey", "l_linenumber")
+    weights = F.array(*[bootstrap.poisson_weight(_md5_share(F.concat(F.lit(f"{r}|"), key))) for r in range(REPLICATES)])
+    found = bootstrap.bootstrap_price(scored, cox, premium, [], REPLICATES, weights=weights)
+    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(found.draws)], "replicate int, beta double").withColumn("beta", F.round("beta", 7))
+
+
+QUERIES["reg_bootstrap"] = reg_bootstrap
+_POISSON = " ".join(f"WHEN u < {sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))!r} THEN {k}" for k in range(18))
+SQL["reg_bootstrap"] = WITH_SPELLS + f""", u AS (SELECT r, p_type, duration_days, event_sold, log_price, CAST('0x' || substr(md5(concat(r, '|', l_orderkey, '|', l_linenumber)), 1, 12) AS BIGINT) / {float(16**12)!r} AS u
+  FROM spells, (SELECT unnest(range({REPLICATES})) AS r)),
+w AS (SELECT *, CASE {_POISSON} ELSE 18 END AS n FROM u),
+y AS (SELECT r, p_type, sum(n * log_price) / sum(n) AS y FROM w GROUP BY ALL),
+c AS (SELECT r, duration_days, event_sold, exp(log_price - y) - 1 AS x, n FROM w JOIN y USING (r, p_type) WHERE n > 0), """ + _source(fit="r", x="x", n="n", rows="c") + ", " + _newton_sql(6) + """
+SELECT CAST(fit AS INT) AS replicate, round(b, 7) AS beta FROM b6"""
 
 
 def reg_diagnostics(spark, folder):
@@ -412,3 +587,53 @@ def ft_hedonic_features(spark, folder):
 
 
 QUERIES["ft_hedonic_features"] = ft_hedonic_features
+
+
+def aud_extremes(spark, folder):
+    """The three lowest and highest premiums of every brand; many are equal."""
+    rows = spells(spark, folder).withColumns(
+        {"line": F.col("l_orderkey") * 10 + F.col("l_linenumber"), "brand": F.when(F.col("p_brand") != "Brand#11", F.col("p_brand"))}
+    )
+    return audit.extreme_rows(rows, ["brand"], "rel_price_premium", "line", 3, ["duration_days"]).withColumn("value", F.round("value", 9))
+
+
+QUERIES["aud_extremes"] = aud_extremes
+SQL["aud_extremes"] = WITH_SPELLS + """, x AS (SELECT CASE WHEN p_brand <> 'Brand#11' THEN p_brand END AS brand, l_orderkey * 10 + l_linenumber AS line, rel_price_premium AS v, duration_days FROM spells),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY brand ORDER BY v, line) AS INT) AS lo, CAST(row_number() OVER (PARTITION BY brand ORDER BY v DESC, line) AS INT) AS hi FROM x)
+SELECT brand, 'low' AS side, lo AS rank, line AS ident, round(v, 9) AS value, duration_days FROM r WHERE lo <= 3
+UNION ALL SELECT brand, 'high', hi, line, round(v, 9), duration_days FROM r WHERE hi <= 3"""
+
+
+def statuses(spark, folder):
+    """Lines with a status, the status before it, and a closing date of their own."""
+    return lines(spark, folder).withColumns(
+        {
+            "status": F.when(F.col("l_returnflag") == "R", "Closed").when(F.col("l_returnflag") == "A", "Cancelled").otherwise("Active"),
+            "previous": F.when(F.col("l_linestatus") == "F", F.when(F.col("l_linenumber") < 3, "Closed").otherwise("Active")),
+            "close_date": F.when((F.col("l_returnflag") == "R") & (F.col("l_linenumber") != 2) | (F.col("l_linenumber") == 6), F.col("l_shipdate")),
+        }
+    )
+
+
+STATUSES = f"""WITH {LINES}, t AS (SELECT CASE l_returnflag WHEN 'R' THEN 'Closed' WHEN 'A' THEN 'Cancelled' ELSE 'Active' END AS status,
+  CASE WHEN l_linestatus = 'F' THEN CASE WHEN l_linenumber < 3 THEN 'Closed' ELSE 'Active' END END AS previous, (l_returnflag = 'R' AND l_linenumber <> 2) OR l_linenumber = 6 AS proof FROM lines)
+"""
+
+
+def aud_previous_status(spark, folder):
+    return audit.status_by_previous(statuses(spark, folder), "status", "previous")
+
+
+QUERIES["aud_previous_status"] = aud_previous_status
+SQL["aud_previous_status"] = STATUSES + "SELECT status, coalesce(previous, '<blank>') AS previous, count(*) AS rows FROM t GROUP BY ALL"
+
+
+def aud_sale_claims(spark, folder):
+    return audit.sale_claims(statuses(spark, folder), "status", "previous", "Closed")
+
+
+QUERIES["aud_sale_claims"] = aud_sale_claims
+SQL["aud_sale_claims"] = STATUSES + """, s AS (SELECT coalesce(status = 'Closed', FALSE) AS a, coalesce(previous = 'Closed', FALSE) AS b, status, previous, proof FROM t)
+SELECT 'status' AS "column", count(status) AS filled, count(*) FILTER (a) AS claims, count(*) FILTER (a AND proof) AS agreed, count(*) FILTER (a AND NOT proof) AS unproven,
+  count(*) FILTER (NOT a AND proof) AS missed, count(*) FILTER (a AND NOT b) AS alone FROM s
+UNION ALL SELECT 'previous', count(previous), count(*) FILTER (b), count(*) FILTER (b AND proof), count(*) FILTER (b AND NOT proof), count(*) FILTER (NOT b AND proof), count(*) FILTER (b AND NOT a) FROM s"""

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from tidemark.errors import IdentificationError, SchemaError
-from tidemark.operators import diagnostics, hedonic, logit, survival
+from tidemark.operators import diagnostics, hedonic, keyed, logit, survival
 from tidemark.operators.design import available
 from tidemark.operators.features import COVARIATES, FeatureTable
 from tidemark.operators.profile import fit_time_comps
@@ -17,6 +17,7 @@ from tidemark.sources.reports import write_tables
 # The controlled covariates of the hazard and the logit.
 CONTROLLED = [*[c for c in COVARIATES if c != "living_area_sqft"], "log_living_area"]
 CATEGORICAL = ["submarket", "season"]
+TREATMENTS = ("censored", "excluded", "event")
 VIEW_PREFIX = "view_"
 
 
@@ -89,27 +90,22 @@ def fit_demand(
 
 
 def cancelled_sweep(build, covariates: list[str], categorical: list[str] = CATEGORICAL) -> DataFrame:
-    """The price coefficient under each coding of cancelled listings.
+    """The price coefficient under each coding of cancelled listings, all fitted in one run.
 
-    ``build(choice)`` returns the feature table for one coding.
+    ``build(choice)`` returns the feature table, or its frame, for one coding.
     """
-    rows, spark = [], None
-    for choice in ("censored", "excluded", "event"):
-        table = build(choice)
-        frame = table.frame
-        spark = frame.sparkSession
-        try:
-            fit = survival.fit_cox(frame, covariates, categorical, with_concordance=False).fit
-        except (SchemaError, IdentificationError) as error:
-            rows.append((choice, None, None, None, None, None, str(error)))
-            continue
-        found = fit.coefficient(survival.PRICE)
-        events = frame.agg(F.sum("event_sold")).first()[0]
-        rows.append((choice, fit.rows, events, found["value"], found["ci_low"], found["ci_high"], None))
-    return spark.createDataFrame(
-        rows,
-        "treatment string, rows bigint, events bigint, beta_price double, ci_low double, "
-        "ci_high double, error string",
+    stacked = None
+    names = [survival.DURATION, survival.EVENT, *covariates]
+    for choice in TREATMENTS:
+        frame = build(choice)
+        frame = getattr(frame, "frame", frame).select(F.lit(choice).alias("treatment"), *names)
+        stacked = frame if stacked is None else stacked.unionByName(frame)
+    stacked = settle(stacked)
+    fits = keyed.fit_cox_by(stacked, "treatment", covariates, categorical)
+    events = stacked.groupBy("treatment").agg(F.sum(F.col(survival.EVENT).cast("bigint")).alias("events"))
+    table = keyed.sweep_table(stacked.sparkSession, fits, order=list(TREATMENTS)).drop("events")
+    return table.join(events, "treatment", "left").select(
+        "treatment", "rows", F.when(F.col("error").isNull(), F.col("events")).alias("events"), "beta_price", "ci_low", "ci_high", "error"
     )
 
 

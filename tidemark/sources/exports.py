@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tidemark.errors import SchemaError
@@ -43,8 +46,30 @@ def _reader(spark: SparkSession, multi_line: bool):
     )
 
 
+def file_heads(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(file, head, lines, broken)`` of every file, in one pass over their lines.
+
+    ``broken`` counts the lines with an odd number of quotes: a value goes on in the next line.
+    """
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("i"),
+    )
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    # Ids of a task ascend with the lines it reads, so a block's least id is its first line.
+    first = F.min(F.struct("block", "i", "value"))
+    return lines.groupBy("file").agg(first["value"].alias("head"), F.count("*").alias("lines"), F.count(F.when(quotes % 2 == 1, 1)).alias("broken"))
+
+
+def header_names(head: str) -> tuple[str, ...]:
+    """Column names of a header line: blanks by their place, repeated names with it."""
+    values = next(csv.reader([head]), [])
+    lowered = [v.lower() for v in values]
+    return tuple(f"_c{i}" if not v else f"{v}{i}" if lowered.count(v.lower()) > 1 else v for i, v in enumerate(values))
+
+
 def read_exports(
-    spark: SparkSession, paths: list[str] | str, multi_line: bool = False
+    spark: SparkSession, paths: list[str] | str, multi_line: bool | None = None
 ) -> DataFrame:
     """Read one or more exports into one frame of strings.
 
@@ -52,27 +77,32 @@ def read_exports(
     by name.  Every row carries its file, the quarter the file name states, and
     an order that follows the file: ``(file, block start, row within block)``.
 
-    With ``multi_line`` false files are split across tasks; rows with line
-    breaks inside quotes then show up in :func:`broken_rows`, and the file has
-    to be read again with ``multi_line=True``.
+    One pass over all files finds their headers, and the files with line breaks inside quotes:
+    those are read whole, the others split across tasks.  With ``multi_line`` false all are
+    split and such rows show up in :func:`broken_rows`; with true all are read whole.
+    Files without any line have no rows.
     """
     if isinstance(paths, str):
         paths = export_files(spark, paths) if not paths.lower().endswith(SUFFIXES) else [paths]
-    groups: dict[tuple[str, ...], list[str]] = {}
     for path in paths:
         if not path.lower().endswith(SUFFIXES):
             raise SchemaError(f"unsupported export type: {path}")
-        # Only the first line is looked at here.
-        header = tuple(_reader(spark, False).csv(path).columns)
-        groups.setdefault(header, []).append(path)
+    groups: dict[tuple, list[str]] = {}
+    for r in file_heads(spark, paths).orderBy("file").collect():  # a row per file
+        whole = bool(r["broken"]) if multi_line is None else multi_line
+        if r["head"].count('"') % 2:
+            header = tuple(_reader(spark, True).csv(unquote(r["file"])).columns)
+        else:
+            header = header_names(r["head"])
+        groups.setdefault((header, whole), []).append(unquote(r["file"]))
 
     result: DataFrame | None = None
-    for header, members in groups.items():
+    for (header, whole), members in groups.items():
         schema = T.StructType(
             [T.StructField(c, T.StringType()) for c in header] + [T.StructField(BROKEN, T.StringType())]
         )
         raw = (
-            _reader(spark, multi_line)
+            _reader(spark, whole)
             .schema(schema)
             .option("columnNameOfCorruptRecord", BROKEN)
             .csv(members)
