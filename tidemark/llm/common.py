@@ -36,6 +36,23 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def even_labels(spark: SparkSession, buckets: int) -> np.ndarray:
+    """Numbers for buckets that a hash shuffle spreads evenly over the session's partitions.
+
+    Buckets 0, 1, … would fall into partitions at random, several into some; of consecutive
+    integers those are taken that fill the partitions in turn.
+    """
+    width, found = shuffle_width(spark), {}
+    number = F.col("id").cast("int")
+    each, tried = -(-buckets // width), 0
+    while sum(min(len(v), each) for v in found.values()) < each * width:
+        rows = spark.range(tried, tried + 8 * max(buckets, width)).select(number.alias("n"), F.pmod(F.hash(number), F.lit(width)).alias("p")).collect()
+        for r in rows:
+            found.setdefault(r["p"], []).append(r["n"])
+        tried += 8 * max(buckets, width)
+    return np.array([found[p][i] for i in range(each) for p in range(width)][:buckets], np.int32)
+
+
 def text_or_empty(name: str) -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
