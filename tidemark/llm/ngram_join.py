@@ -26,9 +26,9 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import U64, chunks, mix64, shuffle_width, text_or_empty, utf8
+from tidemark.llm.common import U64, chunks, even_labels, mix64, shuffle_width, text_or_empty, utf8
 from tidemark.llm.components import components
 from tidemark.llm.shingles import Sets, shingle_sets
 from tidemark.session import land, settle
@@ -176,16 +176,20 @@ def common_slots(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def _parity(own: np.ndarray) -> bytes:
-    """Parity of the set in each of 4 to 8 bits a shingle: two sketches differ in no more bits
-    than their sets do in shingles."""
-    bits = max(64, 1 << int(4 * len(own) - 1).bit_length())
+    """Parity of the set in each of 1 to 2 bits a shingle: two sketches differ in no more bits
+    than their sets do in shingles, and in about half of all bits when the sets have little in
+    common."""
+    bits = max(64, 1 << int(len(own) - 1).bit_length())
     odd = np.bincount(((own >> U64(7)) & U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _sketch(buckets: int, width: int, at_least: int, per: int, marks: bytes):
+def _sketch(labels: np.ndarray, width: int, at_least: int, per: int, marks: bytes):
     """Rows (bucket, kind, packed): kind 0 holds signatures of the first of equal sets of a
-    batch, kind 1 documents with their set's size, parity sketch and first equal document."""
+    batch, kind 1 documents with their set's size, 128-bit mark, parity sketch and first equal
+    document."""
+
+    buckets = len(labels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.unpackbits(np.frombuffer(marks, np.uint8)).astype(bool)
@@ -194,7 +198,7 @@ def _sketch(buckets: int, width: int, at_least: int, per: int, marks: bytes):
 
         def rows(found, kind, blobs):
             return pa.RecordBatch.from_arrays(
-                [pa.array(found, pa.int32()), pa.array([kind] * len(found), pa.int32()), pa.array(blobs, pa.binary())],
+                [pa.array(labels[found].tolist(), pa.int32()), pa.array([kind] * len(found), pa.int32()), pa.array(blobs, pa.binary())],
                 names=["bucket", "kind", "packed"],
             )
 
@@ -238,6 +242,7 @@ def _sketch(buckets: int, width: int, at_least: int, per: int, marks: bytes):
                 held.append((sig, ids[lo:hi][row]))
                 count += len(sig)
                 body = np.int64(hi - lo).tobytes() + ids[lo:hi].tobytes() + sizes.tobytes() + same.tobytes()
+                body += np.stack([one, two], axis=1).tobytes()
                 body += np.array([len(x) for x in sketches], np.int32).tobytes() + b"".join(sketches)
                 yield rows([zlib.crc32(body) % buckets], 1, [body])
                 if count >= FLUSH:
@@ -258,7 +263,7 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(U64).ravel(), ids[place]
 
 
-FOUND = "pivot long, doc long, n_shingles long, same_as long, sketch binary"
+FOUND = "pivot long, doc long, n_shingles long, same_as long, mark binary, sketch binary"
 
 
 def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -281,10 +286,11 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
     docs = []
     for body in pdf.loc[~kept, "packed"]:
         n = int(np.frombuffer(body, np.int64, 1)[0])
-        long = np.frombuffer(body, np.int32, n, 8 + 24 * n)
-        ends = 8 + 28 * n + np.cumsum(long)
+        long = np.frombuffer(body, np.int32, n, 8 + 40 * n)
+        ends = 8 + 44 * n + np.cumsum(long)
         columns = (np.frombuffer(body, np.int64, n, 8 + 8 * n * j).tolist() for j in range(3))
-        docs += [(*x, body[e - l : e]) for *x, l, e in zip(*columns, long.tolist(), ends.tolist())]
+        marks = (body[8 + 24 * n + 16 * i : 24 + 24 * n + 16 * i] for i in range(n))
+        docs += [(*x, body[e - l : e]) for *x, l, e in zip(*columns, marks, long.tolist(), ends.tolist())]
     none = [None] * len(pivot)
     return pd.DataFrame(
         {
@@ -292,39 +298,44 @@ def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
             "doc": pd.array(other.tolist() + [d[0] for d in docs], dtype="Int64"),
             "n_shingles": pd.array(none + [d[1] for d in docs], dtype="Int64"),
             "same_as": pd.array(none + [d[2] for d in docs], dtype="Int64"),
-            "sketch": pd.Series(none + [d[3] for d in docs], dtype=object),
+            "mark": pd.Series(none + [d[3] for d in docs], dtype=object),
+            "sketch": pd.Series(none + [d[4] for d in docs], dtype=object),
         }
     )
 
 
 def _near(at_least: int, per: int):
-    """Pairs whose parity sketches do not rule the link out."""
+    """Rows (pivot, doc, sizes and sketches of both): whether these leave the link open."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(6)]
+            columns = [batch.column(i).to_pylist() for i in range(2, 6)]
             keep = []
-            for n, m, a, b in zip(*columns[2:]):
+            for n, m, a, b in zip(*columns):
+                if per * min(n, m) < at_least * max(n, m):
+                    keep.append(False)
+                    continue
                 while len(a) > len(b):
                     a = (int.from_bytes(a[: len(a) // 2], "little") ^ int.from_bytes(a[len(a) // 2 :], "little")).to_bytes(len(a) // 2, "little")
                 while len(b) > len(a):
                     b = (int.from_bytes(b[: len(b) // 2], "little") ^ int.from_bytes(b[len(b) // 2 :], "little")).to_bytes(len(b) // 2, "little")
                 apart = (int.from_bytes(a, "little") ^ int.from_bytes(b, "little")).bit_count()
-                keep.append(
-                    per * min(n, m) >= at_least * max(n, m) and apart <= (n + m) * (per - at_least) // (per + at_least)
-                )
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["pivot", "doc"])
+                keep.append(apart <= (n + m) * (per - at_least) // (per + at_least))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keep, pa.bool_())], names=["pivot", "doc", "open"])
 
     return run
 
 
-def possible(pairs: DataFrame, docs: DataFrame, at_least: int, per: int) -> DataFrame:
-    """The pairs (pivot, doc) that sizes and sketches leave open; ``docs`` has both per document."""
-    own = docs.select("doc_id", "n_shingles", "sketch")
-    return (
-        pairs.join(own.toDF("pivot", "n", "a"), "pivot").join(own.toDF("doc", "m", "b"), "doc")
-        .select("pivot", "doc", "n", "m", "a", "b").mapInArrow(_near(at_least, per), "pivot long, doc long")
+def judged(pairs: DataFrame, own: DataFrame, at_least: int, per: int) -> DataFrame:
+    """The pairs (pivot, doc) as pairs of those that stand for their sets, and whether sizes and
+    sketches leave the link ``open``; pairs of equal sets are gone.
+
+    ``own`` has per document the size, the sketch and the smallest document of its set (``rep``).
+    """
+    sides = own.select("doc_id", "rep", "n_shingles", "sketch")
+    both = pairs.join(sides.toDF("pivot", "p", "n", "a"), "pivot").join(sides.toDF("doc", "d", "m", "b"), "doc").filter("p != d")
+    return both.select(F.col("p").alias("pivot"), F.col("d").alias("doc"), "n", "m", "a", "b").mapInArrow(
+        _near(at_least, per), "pivot long, doc long, open boolean"
     )
 
 
@@ -391,20 +402,26 @@ def verify(docs: DataFrame, pairs: DataFrame, width: int, at_least: int, per: in
 def open_seats(edges: DataFrame, fresh: DataFrame, joined: DataFrame) -> DataFrame:
     """A pivot and what met it are a group; the members of groups that lie in several components.
 
-    ``rank`` counts a group's components from its largest one, ``turn`` its members from the
-    smallest component's.
+    ``rest`` holds for members outside the group's largest component.  Only counts per group and
+    component are gathered.
     """
     nodes = fresh.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")).join(
         joined.withColumnRenamed("node", "doc"), "doc", "left"
     ).withColumn("component", F.coalesce("component", "doc"))
-    members = edges.select(F.col("pivot").alias("gid"), "doc").union(edges.select("pivot", "pivot").distinct())
-    group, part = Window.partitionBy("gid"), Window.partitionBy("gid", "component")
-    seats = members.join(nodes, "doc").repartition("gid").withColumns(
-        {"low": F.min("component").over(group), "high": F.max("component").over(group)}
-    ).filter("low != high").withColumn("many", F.count(F.lit(1)).over(part))
-    seats = seats.withColumn("rank", F.dense_rank().over(group.orderBy(F.desc("many"), "component")))
-    seats = seats.withColumn("turn", F.row_number().over(group.orderBy(F.desc("rank"), F.xxhash64("doc"), "doc")))
-    return settle(seats.select("gid", "doc", "n", "component", "rank", "turn"))
+    members = edges.select(F.col("gid"), "doc").union(edges.select("gid", "gid")).distinct()
+    seats = settle(members.join(nodes, "doc").select("gid", "doc", "n", "component"))
+    parts = seats.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("many"))
+    groups = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("many", -F.col("component"))).alias("largest"))
+    return settle(seats.join(groups.filter("parts > 1").select("gid", "largest"), "gid").withColumn("rest", F.col("component") != F.col("largest")).drop("largest"))
+
+
+def few_heads(seats: DataFrame) -> DataFrame:
+    """Up to ``PIVOTS`` members of each group from outside its largest component, by least hashes."""
+    rest = seats.filter("rest")
+    one = F.struct("doc", "component", "n")
+    picked = rest.groupBy("gid").agg(*[F.min_by(one, F.xxhash64("doc", F.lit(i))).alias(f"h{i}") for i in range(PIVOTS)])
+    heads = picked.select("gid", F.explode(F.array_distinct(F.array(*[f"h{i}" for i in range(PIVOTS)]))).alias("h"))
+    return heads.select("gid", F.col("h.doc").alias("head"), F.col("h.component").alias("c"), F.col("h.n").alias("m"))
 
 
 def _hold(at_least: int, per: int):
@@ -458,7 +475,7 @@ def apart(seats: DataFrame, fresh: DataFrame, at_least: int, per: int) -> DataFr
     size = seats.groupBy("gid").agg(F.ceil(F.count(F.lit(1)) / PART).alias("parts"))
     own = seats.join(size, "gid").join(fresh.select(F.col("doc_id").alias("doc"), "sketch"), "doc")
     held = own.select("gid", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"), F.lit(0).alias("role"), "component", "doc", "n", "sketch")
-    heads = own.filter("rank > 1").select(
+    heads = own.filter("rest").select(
         "gid", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "component", "doc", "n", "sketch"
     )
     rows = held.union(heads).repartition("gid", "part").sortWithinPartitions("gid", "part", "role", "doc")
@@ -471,9 +488,9 @@ def all_links(docs: DataFrame, edges: DataFrame, fresh: DataFrame, width: int, a
     Linked sets share a signature, so both are in the group of its pivot: all members of a group
     are held against each other, in whatever component they are.
     """
-    members = edges.select(F.col("pivot").alias("gid"), "doc").union(edges.select("pivot", "pivot").distinct())
+    members = edges.select("gid", "doc").union(edges.select("gid", "gid")).distinct()
     own = members.join(fresh.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")), "doc")
-    seats = settle(own.select("gid", "doc", "n", F.col("doc").alias("component"), F.lit(2).alias("rank")))
+    seats = settle(own.select("gid", "doc", "n", F.col("doc").alias("component"), F.lit(True).alias("rest")))
     return verify(docs, settle(apart(seats, fresh, at_least, per)), width, at_least, per).distinct()
 
 
@@ -509,40 +526,42 @@ def ngram_join(
     docs = df.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")
     )
-    buckets = 2 * shuffle_width(spark)
+    labels = even_labels(spark, 2 * shuffle_width(spark))
     marks = np.packbits(common_slots(docs, width)).tobytes()
     sketch = land(
-        docs.mapInArrow(_sketch(buckets, width, at_least, per, marks), "bucket int, kind int, packed binary")
+        docs.mapInArrow(_sketch(labels, width, at_least, per, marks), "bucket int, kind int, packed binary")
         .groupBy("bucket").applyInPandas(_meet, FOUND),
         "ngram-meetings",
     )
     known = sketch.filter("pivot is null").withColumnRenamed("doc", "doc_id")
-    edges = settle(sketch.filter("pivot is not null").select("pivot", "doc").distinct())
-    # Copies in other tasks have sketches of their own; a repeated id keeps one row.
-    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("same_as").alias("same_as"))
-    fresh = known.filter("n_shingles > 0 and same_as = doc_id").groupBy("doc_id").agg(
-        F.max("n_shingles").alias("n_shingles"), F.max_by("sketch", "n_shingles").alias("sketch")
+    # A repeated id keeps one row.  Equal sets are known by size and mark, in whatever task they
+    # were met; the smallest document stands for them all.
+    first = known.filter("n_shingles > 0 and same_as = doc_id").groupBy("doc_id").agg(
+        F.max("n_shingles").alias("n_shingles"), F.max_by("mark", "n_shingles").alias("mark"), F.max_by("sketch", "n_shingles").alias("sketch")
     )
-    same = known.filter("same_as != doc_id").select(F.col("doc_id").alias("u"), F.col("same_as").alias("v"))
-    links = settle(verify(docs, possible(edges, fresh, at_least, per), width, at_least, per).distinct())
+    reps = known.filter("n_shingles > 0").groupBy("n_shingles", "mark").agg(F.min("doc_id").alias("rep"))
+    own = settle(first.join(reps, ["n_shingles", "mark"]).select("doc_id", "n_shingles", "sketch", "rep"))
+    fresh = own.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max_by("sketch", "n_shingles").alias("sketch")).withColumn("doc_id", F.col("rep"))
+    sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("same_as").alias("__first")).join(
+        own.select(F.col("doc_id").alias("__first"), "rep"), "__first", "left"
+    ).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("same_as"))
+    met = settle(judged(sketch.filter("pivot is not null").select("pivot", "doc").distinct(), own, at_least, per).distinct())
+    # Sets that share a signature have its pivot's set in common: that is their group.
+    edges = met.select(F.col("pivot").alias("gid"), "doc")
+    links = settle(verify(docs, met.filter("open").select("pivot", "doc"), width, at_least, per).distinct())
     # A few more pivots join most of what belongs together; then the rest is held apart.
-    seats = open_seats(edges, fresh, components(links.union(same)))
-    heads = seats.filter((F.col("turn") <= PIVOTS) & (F.col("rank") > 1)).select(
-        "gid", F.col("doc").alias("head"), F.col("turn").alias("t"), F.col("component").alias("c"), F.col("n").alias("m")
-    )
+    seats = open_seats(edges, fresh, components(links))
+    heads = few_heads(seats)
     alike = (F.col("n") * per >= F.col("m") * at_least) & (F.col("m") * per >= F.col("n") * at_least)
-    pairs = (
-        seats.join(heads, (seats["gid"] == heads["gid"]) & (F.col("c") != F.col("component")) & (F.col("t") < F.col("turn")) & alike)
-        .select(F.col("head").alias("pivot"), "doc").distinct()
-    )
-    links = settle(links.union(verify(docs, possible(pairs, fresh, at_least, per), width, at_least, per)).distinct())
-    still = seats.filter("doc != gid").select(F.col("gid").alias("pivot"), "doc")
-    seats = open_seats(still, fresh, components(links.union(same)))
+    pairs = seats.join(heads, "gid").filter((F.col("c") != F.col("component")) & alike).select(F.col("head").alias("pivot"), "doc").distinct()
+    pairs = judged(pairs, fresh, at_least, per).filter("open").select("pivot", "doc").distinct()
+    links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
+    seats = open_seats(seats.select("gid", "doc"), fresh, components(links))
     pairs = settle(apart(seats, fresh, at_least, per))
     links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
-    joined = components(links.union(same))
-    found = sizes.join(joined, sizes["doc_id"] == joined["node"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")
+    joined = components(links)
+    found = sizes.join(joined, sizes["same_as"] == joined["node"], "left").select(
+        "doc_id", "n_shingles", F.coalesce("component", "same_as").alias("component_id")
     )
     if not with_links:
         return found
@@ -552,6 +571,25 @@ def ngram_join(
     )
 
 
+def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """The rows of ``df`` that stay, with all their columns: of every group of linked rows the one with
+    the smallest id.
+
+    Where ids repeat or are null, rows are joined by their place in a written copy instead of by id,
+    so texts of one id are sets of their own and every row is judged; a null id counts as the
+    largest, and of rows tied on the id one stays.
+    """
+    odd = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if odd.isEmpty():
+        gone = ngram_join(df, id_col, text_col, with_links=False, **settings).filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+        return df.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    rows = land(df.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+    joined = ngram_join(rows, "__row", text_col, with_links=False, **settings).select(F.col("doc_id").alias("__row"), "component_id")
+    ids = rows.select("__row", F.col(id_col).cast("long").alias("__id")).join(joined, "__row")
+    stay = ids.groupBy("component_id").agg(F.min(F.struct(F.col("__id").isNull(), "__id", "__row")).alias("best")).select(F.col("best.__row").alias("__row"))
+    return rows.join(stay, "__row", "left_semi").drop("__row")
+
+
 SQL = r"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
