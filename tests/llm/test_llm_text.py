@@ -144,6 +144,67 @@ def test_calls_are_linked_ordered_and_checked(spark):
     assert chat_format.chat_format(frame.limit(0), TOOLS).count() == 0
 
 
+def said(i, text):
+    return f'{{"tool_call_id": "{i}", "content": "{text}"}}'
+
+
+def names(row):
+    return [m.get("tool_call", {}).get("id") or m.get("tool_call_id") and f"{m['tool_call_id']}={m['content']}" or m["content"] for m in json.loads(row["messages"])]
+
+
+def test_a_repeated_identifier_keeps_its_own_turn(spark):
+    talk = [
+        (1, 0, "user", "a"), (1, 1, "assistant", "one" + call("x")), (1, 2, "tool", said("x", "1")),
+        (1, 3, "user", "b"), (1, 4, "assistant", "two" + call("x")), (1, 5, "tool", said("x", "2")),
+        (None, 0, "assistant", call("n")), (None, 1, "tool", said("n", "ok")),
+        (2, 0, "tool", said("late", "early")), (2, 3, "assistant", call("late")),
+        (3, 0, "assistant", call("x")), (3, 5000, "tool", said("x", "far")), (3, 6000, "assistant", call("x")),
+    ]
+    frame = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    rows = sorted(chat_format.chat_format(frame, TOOLS).collect(), key=lambda r: r["part"])
+    got = {r["conv_id"]: [n for q in rows if q["conv_id"] == r["conv_id"] for n in names(q)] for r in rows}
+    assert got[1] == ["a", "one", "x", "x=1", "b", "two", "x", "x=2"]
+    assert got[None] == ["n", "n=ok"] and got[2] == ["late", "late=early"] and got[3] == ["x", "x=far", "x"]
+    assert all(r["problems"] == "" for r in rows if r["conv_id"] in (1, None, 2))
+    assert [r["problems"] for r in rows if r["conv_id"] == 3] == ["", "", "no result"]
+
+
+def plain_order(calls, results):
+    """Turn at which each call of one talk is ready, by looking through its needs again and again."""
+    ready = {}
+    while True:
+        fresh = {c: max([t] + [max(ready[n], results.get(n, 0)) for n in needs if n in calls]) for c, (t, needs) in calls.items()
+                 if c not in ready and all(n in ready for n in needs if n in calls)}
+        if not fresh:
+            return ready
+        ready |= fresh
+
+
+def test_long_chains_and_joined_needs_equal_plain_python(spark):
+    rng = random.Random(6)
+    n, calls = 300, {}
+    for i in range(n):
+        needs = [f"c{i - 1}"] if i and i % 50 else []
+        if i % 37 == 5:
+            needs = sorted({f"c{rng.randrange(i)}" for _ in range(3)}) + ["gone"]
+        calls[f"c{i}"] = (rng.randrange(200), needs)
+    calls["p"], calls["q"], calls["r"] = (1, ["q"]), (2, ["p"]), (3, ["p", "c1"])
+    results = {c: rng.randrange(260) for c in calls if c[-1] != "7"}
+    talk = [(9, t, "assistant", call(c, needs=json.dumps(needs))) for c, (t, needs) in calls.items()]
+    talk += [(9, t, "tool", said(c, "ok")) for c, t in results.items()]
+    frame = spark.createDataFrame(talk, "conv_id long, turn long, role string, text string")
+    want = plain_order(calls, results)
+    rows = chat_format.linked(chat_format.events(frame)).filter("kind = 'call'").collect()
+    assert {r["call_id"]: r["at"] for r in rows} == {c: want.get(c, calls[c][0]) for c in calls}
+    assert {r["call_id"] for r in rows if r["cyclic"]} == {"p", "q", "r"}
+    order = [x for r in sorted(chat_format.chat_format(frame, TOOLS).collect(), key=lambda r: (r["part"], r["deal"])) for x in names(r)]
+    place = {x.split("=")[0] + ("=" if "=" in x else ""): i for i, x in enumerate(order)}
+    for c, (_, needs) in calls.items():
+        if c in want:
+            assert all(place[f"{m}="] < place[c] for m in needs if m in results), c
+            assert c not in results or place[c] < place[f"{c}="]
+
+
 def test_derived_lookups_equal_plain_python(spark):
     folder = "/root/testdata/sf0.001"
     talk = spark.read.parquet(f"{folder}/conversations.parquet")

@@ -2,8 +2,10 @@
 
 A message may carry tool calls (``<tool_call>{"id", "name", "arguments", "depends_on"}</tool_call>``
 in its text) and tool messages their results (``{"tool_call_id", "content"}``).  Calls and results
-are hash-joined by conversation and identifier.  Events are put in topological order: a result
-comes after its call, a call after the results it depends on; otherwise turns keep their order.
+are hash-joined by conversation and identifier; where an identifier is used again, a result belongs
+to the latest call before it.  Events are put in topological order: a result comes after its
+call, a call after the results it depends on; otherwise turns keep their order.  Chains of
+calls are followed by pointer doubling, so their length counts by its logarithm.
 Arguments are checked against a schema per tool, and every message is written as canonical JSON:
 keys sorted, no spaces, text as it is.
 """
@@ -17,11 +19,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.session import settle
+from tidemark.session import land, settle
 
 CALL = r"(?s)<tool_call>(.*?)</tool_call>"
 PART_TURNS = 64     # turns of a conversation that one row holds
 PART_ROWS = 512     # events of such a part before it is cut into chunks
+BLOCK_TURNS = 1024  # turns in which the calls of one identifier are looked up together
 
 TYPES = {
     "string": str, "integer": int, "number": (int, float), "boolean": bool, "array": list, "object": dict, "null": type(None),
@@ -100,53 +103,117 @@ def events(messages: DataFrame) -> DataFrame:
     return said.union(calls)
 
 
-def linked(events: DataFrame) -> DataFrame:
-    """Events with ``linked``, ``ready`` (turn at which all before them is there), ``depth`` and ``cyclic``.
+ID = ["talk", "call_id"]
+
+
+def as_of(asks: DataFrame, calls: DataFrame) -> DataFrame:
+    """Rows (talk, call_id, turn, nid): the call that an identifier names at a turn.
 
-    Repeated identifiers link to the first call that has them.  Calls that depend on nothing are
-    ready at their turn; the others wait round by round for the results they name, as many
-    rounds as the longest chain has links.  Calls on a cycle keep their turn and are marked.
+    That is the latest call of the identifier at or before the turn, else its first one.  Turns are
+    taken in blocks, so an identifier that is used throughout a long talk is not one task.
     """
-    keys = ["conv_id", "call_id"]
-    called = events.filter("kind = 'call' and call_id is not null").groupBy(keys).agg(
-        F.min("turn").alias("call_turn"), F.min_by("depends_on", F.struct("turn", "seat")).alias("needs")
+    pos = F.struct("turn", "seat", "nid")
+    both = calls.select(*ID, "turn", F.lit(0).alias("side"), pos.alias("pos"))
+    both = both.union(asks.select(*ID, "turn", F.lit(1), F.lit(None).cast(both.schema["pos"].dataType)).distinct())
+    both = both.withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
+    inside = Window.partitionBy(*ID, "block").orderBy("turn", "side", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.withColumn("here", F.last("pos", ignorenulls=True).over(inside)).filter("side = 1")
+    blocks = Window.partitionBy(*ID).orderBy("block")
+    ends = both.groupBy(*ID, "block").agg(F.max("pos").alias("last"), F.min("pos").alias("first")).select(
+        *ID, "block", F.max("last").over(blocks.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.min("first").over(Window.partitionBy(*ID)).alias("first"),
     )
-    answered = events.filter("kind = 'result'").groupBy(keys).agg(F.min("turn").alias("result_turn"))
-    state = called.join(answered, keys, "left").select(*keys, "call_turn", "result_turn", F.array_distinct("needs").alias("needs"))
-    ready = state.filter(F.size("needs") == 0).select(
-        *keys, F.col("call_turn").alias("ready"), F.greatest("call_turn", "result_turn").alias("told"), F.lit(0).alias("depth")
+    return here.join(ends, [*ID, "block"]).select(*ID, "turn", F.coalesce("here", "before", "first")["nid"].alias("nid")).filter("nid is not null")
+
+
+def chains(state: DataFrame) -> DataFrame:
+    """Rows (nid, to, far, steps) of the calls with one need: the first call on their way that has none or
+    several (``to``), the latest turn told on the way, and its length.
+
+    In every round a call takes over the pointer of the call it points to.  Calls that still point
+    to a call with one need once the rounds exceed all lengths are on a cycle or behind one.
+    """
+    single = state.filter("many = 1")
+    current = settle(
+        single.join(state.select(F.col("nid").alias("one"), F.greatest("turn", "result_turn").alias("far"), (F.coalesce("many", F.lit(0)) == 1).alias("goes_on")), "one")
+        .select("nid", F.col("one").alias("to"), "far", F.lit(1).cast("long").alias("steps"), "goes_on")
     )
-    waiting = state.filter(F.size("needs") > 0)
-    if not waiting.isEmpty():
-        ready, waiting = settle(ready), settle(waiting)
-        while True:
-            need = waiting.select(*keys, "call_turn", "result_turn", F.size("needs").alias("many"), F.explode("needs").alias("need"))
-            known = ready.join(state.select(*keys), keys).select("conv_id", F.col("call_id").alias("need"), "told", F.col("depth").alias("before"))
-            # A need that names no call of the conversation holds nobody up.
-            named = state.select("conv_id", F.col("call_id").alias("need"), F.lit(1).alias("there"))
-            met = need.join(named, ["conv_id", "need"], "left").join(known, ["conv_id", "need"], "left").groupBy(*keys, "call_turn", "result_turn").agg(
-                F.max("told").alias("latest"), F.max("before").alias("before"), F.sum(F.when(F.col("there").isNotNull() & F.col("before").isNull(), 1).otherwise(0)).alias("open")
-            )
-            fresh = settle(
-                met.filter("open = 0").select(
-                    *keys, F.greatest("call_turn", "latest").alias("ready"),
-                    F.greatest("call_turn", "latest", "result_turn").alias("told"), (F.coalesce("before", F.lit(-1)) + 1).alias("depth"),
-                )
-            )
-            if fresh.isEmpty():
-                break
-            ready = settle(ready.union(fresh))
-            waiting = settle(waiting.join(fresh.select(*keys), keys, "left_anti"))
-    joined = events.join(ready, keys, "left").join(answered.withColumn("__answered", F.lit(True)).drop("result_turn"), keys, "left").join(
-        called.select(*keys, F.lit(True).alias("__called")), keys, "left"
+    reach, most = 1, current.count()
+    while reach <= most and not current.filter("goes_on").isEmpty():
+        ahead = current.select(*[F.col(c).alias(f"__{c}") for c in current.columns])
+        moved = current.filter("goes_on").join(ahead, F.col("to") == F.col("__nid")).select(
+            "nid", F.col("__to").alias("to"), F.greatest("far", "__far").alias("far"), (F.col("steps") + F.col("__steps")).alias("steps"), F.col("__goes_on").alias("goes_on")
+        )
+        current = settle(moved.union(current.filter("not goes_on")))
+        reach *= 2
+    return current.filter("not goes_on").drop("goes_on")
+
+
+def readiness(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """Rows (nid, ready, told, depth): the turn at which a call has all it needs, and its results are there.
+
+    Calls without needs come first; chains follow in one step; calls of several needs as soon as
+    these are ready, as many rounds as such calls stand behind each other.  Calls on a cycle or
+    behind one have no row.
+    """
+    told = lambda ready: F.greatest(ready, "result_turn").alias("told")
+    done = state.filter("many is null").select("nid", F.col("turn").alias("ready"), told(F.col("turn")), F.lit(0).cast("long").alias("depth"))
+    waiting = state.filter("many is not null")
+    if waiting.isEmpty():
+        return done
+    done, way = settle(done), chains(state).join(state.select("nid", "turn", "result_turn"), "nid")
+    several = waiting.filter("many > 1").select("nid", "turn", "result_turn", "many").join(edges, "nid")
+    while True:
+        known = done.select(F.col("nid").alias("__nid"), F.col("told").alias("__told"), F.col("depth").alias("__depth"))
+        ready = F.greatest("turn", "far", "__told")
+        one = way.join(known, F.col("to") == F.col("__nid")).select("nid", ready.alias("ready"), told(ready), (F.col("__depth") + F.col("steps")).alias("depth"))
+        met = several.join(known, F.col("need") == F.col("__nid")).groupBy("nid", "turn", "result_turn", "many").agg(
+            F.count(F.lit(1)).alias("there"), F.max("__told").alias("latest"), F.max("__depth").alias("__depth")
+        ).filter("there = many")
+        ready = F.greatest("turn", "latest")
+        both = one.union(met.select("nid", ready.alias("ready"), told(ready), (F.col("__depth") + 1).alias("depth")))
+        fresh = settle(both.join(done.select("nid"), "nid", "left_anti"))
+        if fresh.isEmpty():
+            return done
+        done = settle(done.union(fresh))
+
+
+def linked(events: DataFrame) -> DataFrame:
+    """Events with ``linked``, ``at`` (the turn they are written at), ``depth`` and ``cyclic``.
+
+    A call is written at its own turn or once all results that it needs are there; a result at its
+    own turn or once its call is written.  A need names the latest call of that identifier up to
+    the turn of the call that has it, else the first; a need that names no call holds nobody
+    up.  Calls on a cycle keep their turn and are marked.
+    """
+    events = events.withColumn("talk", F.coalesce(F.col("conv_id").cast("string"), F.lit("none")))
+    calls = events.filter("kind = 'call' and call_id is not null").groupBy(*ID, "turn", "seat").agg(
+        F.array_distinct(F.flatten(F.collect_set("depends_on"))).alias("needs")
+    )
+    calls = settle(calls.withColumn("nid", F.monotonically_increasing_id()))
+    results = events.filter("kind = 'result'").select(*ID, "turn").distinct()
+    needs = calls.select("nid", "talk", "turn", F.explode("needs").alias("call_id")).filter("call_id is not null")
+    named = settle(as_of(results.union(needs.select(*ID, "turn")), calls))
+    edges = settle(needs.join(named.withColumnRenamed("nid", "need"), [*ID, "turn"]).select("nid", "need").distinct())
+    answered = results.join(named, [*ID, "turn"]).groupBy("nid").agg(F.min("turn").alias("result_turn"))
+    state = calls.select("nid", "turn").join(answered, "nid", "left").join(
+        edges.groupBy("nid").agg(F.count(F.lit(1)).alias("many"), F.min("need").alias("one")), "nid", "left"
     )
+    state = settle(state)
+    times = readiness(state, edges).drop("told")
+    found = state.select("nid", F.col("result_turn").isNotNull().alias("__answered")).join(times, "nid", "left")
+    own = calls.select(*ID, "turn", "seat", "nid").join(found, "nid").select(F.lit("call").alias("kind"), *ID, "turn", "seat", "__answered", "ready", "depth")
+    told = named.join(results, [*ID, "turn"]).join(found, "nid").select(F.lit("result").alias("kind"), *ID, "turn", F.lit(0).alias("seat"), "__answered", "ready", "depth")
+    keys = ["kind", *ID, "turn", "seat"]
+    met = own.union(told).withColumn("__met", F.lit(True)).hint("shuffle_hash")
+    joined = events.join(met, keys, "left")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
-    at = F.when(is_call, F.coalesce("ready", "turn")).when(is_result, F.greatest("turn", F.coalesce("ready", "turn"))).otherwise(F.col("turn"))
+    at = F.when(is_call | is_result, F.greatest("turn", F.coalesce("ready", "turn"))).otherwise(F.col("turn"))
     return joined.select(
         "conv_id", "turn", "seat", "kind", "role", "call_id", "name", "body",
-        F.when(is_call, F.coalesce("__answered", F.lit(False))).when(is_result, F.coalesce("__called", F.lit(False))).alias("linked"),
-        at.alias("at"), F.coalesce(F.when(is_call | is_result, F.col("depth")), F.lit(0)).alias("depth"),
-        (is_call & F.col("__called").isNotNull() & F.col("ready").isNull()).alias("cyclic"),
+        F.when(is_call, F.coalesce("__answered", F.lit(False))).when(is_result, F.coalesce("__met", F.lit(False))).alias("linked"),
+        at.alias("at"), F.coalesce("depth", F.lit(0).cast("long")).alias("depth"),
+        (is_call & F.col("__met").isNotNull() & F.col("ready").isNull()).alias("cyclic"),
     )
 
 
@@ -239,7 +306,7 @@ def chat_format(conversations: DataFrame, schemas: dict[str, dict]) -> DataFrame
     arguments and reported.  An empty table gives an empty result.  Other columns are not read.
     """
     rows = messages(conversations, schemas).filter("kind != 'message' or message not like '{\"content\":\"\",%'")
-    rows = rows.withColumn("part", F.floor(F.col("at") / PART_TURNS))
+    rows = land(rows.withColumn("part", F.floor(F.col("at") / PART_TURNS)), "events")
     size = rows.groupBy("conv_id", "part").agg(F.count(F.lit(1)).alias("many"))
     wide = settle(size.filter(F.col("many") > PART_ROWS))
     split = rows.join(wide.withColumnsRenamed({"conv_id": "__c", "part": "__p"}), F.col("conv_id").eqNullSafe(F.col("__c")) & (F.col("part") == F.col("__p")), "left")
@@ -272,12 +339,18 @@ LOOKUPS = {
 
 def with_lookups(conversations: DataFrame) -> DataFrame:
     """The conversations with a tool call derived from every user turn, and its result from the
-    assistant turn that follows; a user turn without an answer leaves its call without result."""
+    assistant turn that follows; a user turn without an answer leaves its call without result.
+
+    Each call depends on the one two turns before, so a talk is a chain of calls.  Turns or
+    conversations that are null are written as "null" in the identifiers; repeated rows stay.
+    """
     spoken = conversations.select("conv_id", "turn", "role", "text")
     words = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda w: w != ""))
     asked = spoken.filter("role = 'user'").select(
         "conv_id", "turn", F.lit("assistant").alias("role"),
-        F.format_string('<tool_call>{"id": "call_%d_%d", "name": "lookup", "arguments": {"words": %d, "turn": %d, "conv": %d}}</tool_call>', "conv_id", "turn", words, "turn", "conv_id").alias("text"),
+        F.format_string('<tool_call>{"id": "call_%d_%d", "name": "lookup", "arguments": {"words": %d, "turn": %d, "conv": %d}, "depends_on": ["call_%d_%d"]}</tool_call>',
+            "conv_id", "turn", words, "turn", "conv_id", "conv_id", F.col("turn") - 2,
+        ).alias("text"),
     )
     told = spoken.filter("role = 'assistant'").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.lit("tool").alias("role"),
