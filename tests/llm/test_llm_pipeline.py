@@ -1,11 +1,14 @@
 import hashlib
 import re
+from collections import Counter
 
 import corpus_pipeline
 import odd
 import pytest
 from pyspark.sql import functions as F
 
+from tidemark.llm import mixing
+
 from test_llm_dedup import normal
 from test_llm_ngram import plain
 from test_llm_text import labelled
@@ -68,11 +71,58 @@ def test_stages_on_an_empty_table(spark, folder):
         assert out.count() == 0
 
 
-def test_stages_with_nulls_and_further_columns(spark, folder):
-    frame = odd.frame(spark, odd.rows(9, 30))
-    for name, stage in corpus_pipeline.STAGES[:3]:
-        out = stage(spark, frame, folder)
-        assert out.columns == frame.columns and out.count() > 0
+def odd_documents():
+    """Null ids, several texts under one id, repeated rows, null and blank texts, copies and near copies."""
+    rows = [(i, t, s) for i, t, s in odd.rows(9, 30)]
+    base = " ".join(f"w{i}" for i in range(60))
+    rows += [(500, "one text of an id", "s1"), (500, "another text of that id, quite different", "s1"), (500, "one text of an id", "s1")]
+    rows += [(None, base, "s2"), (None, base + " more", None), (None, "nothing like the others at all", "s2"), (501, base + " end", "s2"), (502, base, None)]
+    rows += [(None, None, None), (503, None, "s1"), (503, "", "s1"), (503, "  ", "s1")]
+    return rows
+
+
+def key(r):
+    return (r["doc_id"], r["text"], r["source"])
+
+
+def test_every_stage_with_odd_rows(spark, folder):
+    frame = odd.frame(spark, odd_documents())
+    rows = [key(r) for r in frame.collect()]
+    stages = dict(corpus_pipeline.STAGES)
+    clean = stages["toxicity"](spark, frame, folder)
+    assert clean.columns == frame.columns and sorted(map(str, map(key, clean.collect()))) == sorted(map(str, rows))
+
+    once = stages["exact dedup"](spark, frame, folder)
+    least = {}
+    for d, t, _ in rows:
+        best = least.get(normal(t), (True, None))
+        least[normal(t)] = min(best, (d is None, d), key=lambda b: (b[0], b[1] or 0)) if normal(t) in least else (d is None, d)
+    kept = [key(r) for r in once.collect()]
+    assert once.columns == frame.columns
+    assert {(d, normal(t)) for d, t, _ in kept} == {(d, t) for t, (_, d) in least.items()}
+    assert len(kept) == len({(d, t) for d, t, _ in kept if t is not None}) + sum(t is None for _, t, _ in kept)
+
+    near = stages["n-gram Jaccard join"](spark, frame, folder)
+    groups = plain([(i, t, s) for i, (_, t, s) in enumerate(rows)])
+    want = {}
+    for i, _, c in groups:
+        want.setdefault(c, []).append(rows[i])
+    least = sorted(str(min(((d is None, d or 0) for d, _, _ in g))) for g in want.values())
+    assert near.columns == frame.columns
+    assert sorted(str((r["doc_id"] is None, r["doc_id"] or 0)) for r in near.collect()) == least
+
+    mixed = stages["mixing sources to target weights"](spark, frame, folder)
+    words = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    found, taken = Counter(), Counter()
+    for r in mixed.collect():
+        found[r["doc_id"]] += words(r["text"])
+    for r in mixing.mix(frame).collect():
+        taken[r["doc_id"]] += r["taken"]
+    assert mixed.columns == frame.columns and {d: n for d, n in taken.items() if n} == dict(found)
+
+    last = stages["SentencePiece encoding and decoding"](spark, frame, folder)
+    want = Counter((d, hashlib.sha256((t or "").encode()).hexdigest()) for d, t, _ in rows)
+    assert Counter((r["doc_id"], r["decoded_sha256"]) for r in last.collect()) == want
 
 
 def test_names():

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidemark.llm.common import WORD, shuffle_width, text_or_empty
-from tidemark.session import settle
+from tidemark.session import land, settle
 
 BLOCK = 64
 SHARD = 4096         # slots of an output shard
@@ -88,7 +88,7 @@ def placed(sized: DataFrame, sources: DataFrame, small: bool) -> DataFrame:
     table = sources.select(F.col("source").alias("__source"), "sid", "source_size", "target")
     joined = sized.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
     joined = joined.withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(many)))
-    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("sid", "chunk").orderBy("doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = Window.partitionBy("sid").orderBy("chunk").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = joined.groupBy("sid", "chunk").agg(F.sum("size").alias("words")).withColumn("base", F.sum("words").over(before) - F.col("words"))
     return (
@@ -121,10 +121,19 @@ def slots(sources: DataFrame, small: bool, seed: int, shard: int = SHARD) -> Dat
     )
 
 
-def pieces(df: DataFrame, id_col="doc_id", text_col="text", source_col="source", block: int = BLOCK, seed: int = 17, weights=WEIGHTS, most: int = MOST):
-    """Documents with their place, and their pieces with the number of times the mix uses them."""
+def pieces(
+    df: DataFrame, id_col="doc_id", text_col="text", source_col="source", block: int = BLOCK, seed: int = 17, weights=WEIGHTS, most: int = MOST,
+    row: Column | None = None,
+):
+    """Documents with their place, and their pieces with the number of times the mix uses them.
+
+    ``row`` tells rows of equal id and size apart; without it they stand for each other.
+    """
     sized = settle(
-        df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"))
+        df.select(
+            F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"),
+            (F.lit(0) if row is None else row).cast("long").alias("row"),
+        )
     )
     sources = settle(targets(sized, weights, most, block))
     small = sources.count() <= SMALL
@@ -165,13 +174,22 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     The c-th row of a document holds the words of its pieces that are used c times or more,
     with the document's own text where that is all of it, else the words joined by one space;
     ``chars_col``, where there is one, is counted anew.  Documents the mix does not use are
-    absent.  Ids are unique in ``df``; rows with a null id are left out.
+    absent.  Where ids repeat or are null, rows are told apart by their place in a written copy, so each
+    row gives the words that :func:`mix` says, also of several texts under one id.  Null and
+    blank texts give nothing; an empty table gives an empty result.
     """
-    _, cut = pieces(df, id_col, text_col, source_col, **settings)
-    used = cut.groupBy("doc_id", "size").agg(
+    columns = df.columns
+    odd = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(id_col).isNull())
+    if odd.isEmpty():
+        key = F.col(id_col).cast("long")
+    else:
+        df = land(df.withColumn("__row", F.monotonically_increasing_id()), "numbered-rows")
+        key = F.col("__row")
+    _, cut = pieces(df, id_col, text_col, source_col, row=key, **settings)
+    used = cut.groupBy("row", "size").agg(
         F.sort_array(F.collect_list(F.struct("from_word", "words", "uses"))).alias("__cut"), F.max("uses").alias("__most")
-    ).filter(F.col("__most") > 0).select(F.col("doc_id").alias("__id"), "__cut", "__most", F.col("size").alias("__size"))
-    rows = df.join(used, df[id_col].cast("long") == used["__id"]).withColumn(
+    ).filter(F.col("__most") > 0).select(F.col("row").alias("__id"), "__cut", "__most", F.col("size").alias("__size"))
+    rows = df.join(used, key == used["__id"]).withColumn(
         "__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__most")))
     )
     rows = rows.withColumn("__taken", F.filter("__cut", lambda p: p["uses"] >= F.col("__copy")))
@@ -185,4 +203,4 @@ def mixed_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn(text_col, F.when(whole, F.col(text_col)).otherwise(some))
     if chars_col in df.columns:
         rows = rows.withColumn(chars_col, F.char_length(text_col).cast(df.schema[chars_col].dataType))
-    return rows.select(*df.columns)
+    return rows.select(*columns)
