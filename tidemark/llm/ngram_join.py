@@ -368,21 +368,22 @@ def _verify(width: int, at_least: int, per: int):
 
 
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Texts of the given documents; rows a hashed bit filter excludes do not enter the shuffle.
+    """Texts that may be of the given documents: those that a hashed bit filter lets through, so the
+    others do not enter the shuffle of the join behind.
 
-    The filter has ``FILTER_WORDS`` words at any size, so what is broadcast is bounded; when
-    it fills up it only lets more rows through to the join behind it.
+    No semi-join follows here: the optimizer would put it before the filter.  The filter has
+    ``FILTER_WORDS`` words at any size, so what is broadcast is bounded; when it fills up it only
+    lets more rows through to the join behind it.
     """
     slot = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))
     marked = ids.select(F.col("doc").alias("doc_id"))
     words = marked.select((slot / 64).cast("int").alias("word"), (slot % 64).cast("int").alias("bit")).groupBy("word").agg(
         F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")
     )
-    maybe = (
+    return (
         docs.withColumns({"word": (slot / 64).cast("int"), "bit": (slot % 64).cast("int")})
         .join(F.broadcast(words), "word").filter(F.getbit("bits", F.col("bit")) == 1).select("doc_id", "text")
     )
-    return maybe.join(marked, "doc_id", "left_semi")
 
 
 def verify(docs: DataFrame, pairs: DataFrame, width: int, at_least: int, per: int) -> DataFrame:
