@@ -102,7 +102,7 @@ def token_counts(docs: DataFrame, tokens: DataFrame, widths: list[int], max_rows
     if _fits(tokens, max_rows):
         rows = rows.join(F.broadcast(tokens), "token")
     else:
-        rows = _maybe(rows, tokens).join(tokens, "token", "left_semi")
+        rows = _maybe(rows, tokens).join(tokens, "token")
     return rows.groupBy("token").agg(F.count(F.lit(1)).alias("many"))
 
 
