@@ -7,7 +7,7 @@ import os
 import time
 
 from tidemark.plans import catalog, stand_ins
-from tidemark.session import build_session
+from tidemark.session import build_session, own_folder
 
 HEADLINE = (
     "ft_cell_median_premium", "ft_entry_competition", "ft_size_bucket", "cln_outlier_cells",
@@ -22,7 +22,8 @@ def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session(
-        cpus, "tidemark-bench", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g"
+        cpus, "tidemark-bench", spark__sql__shuffle__partitions=cpus, spark__driver__memory="16g",
+        spark__checkpoint__dir=own_folder(),
     )
     spark.sparkContext.setLogLevel("ERROR")
     found = catalog.queries()

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.errors import IdentificationError, SchemaError
@@ -92,12 +93,7 @@ def weighted_grams(rows: DataFrame, columns: list[str], weights: str, replicates
                 z = np.column_stack([np.ones(len(batch)), batch.iloc[:, 1:].to_numpy(dtype="float64")])
                 for r, w in enumerate(np.stack(batch[weights].to_numpy()).T):
                     total[r] += ((z.T * w) @ z)[upper]
-        yield pd.DataFrame({"r": np.arange(replicates), "part": hash_part(), "m": list(total)})
-
-    def hash_part() -> int:
-        from pyspark import TaskContext
-
-        return TaskContext.get().partitionId() % FAN_IN
+        yield pd.DataFrame({"r": np.arange(replicates), "part": TaskContext.get().partitionId() % FAN_IN, "m": list(total)})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.iloc[:1].assign(m=[np.sum(np.stack(pdf["m"].to_numpy()), axis=0)])

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.functions.common import col, first_match, tally
 from tidemark.functions.dates import quarter_key
 from tidemark.functions.text import contains_any, flag, squash
-from tidemark.session import attach, land
+from tidemark.session import attach, land, settle
 
 # Phrases that mark a distressed sale, a rental or a condo.
 DISTRESS_WORDS = ("foreclosure", "shortsale", "auction", "reo", "bankowned")
@@ -77,34 +77,30 @@ def _hashable(df: DataFrame) -> list[Column]:
 def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column) -> DataFrame:
     """Flag ``_duplicate``: rows of ``among`` that share an id with an earlier one.
 
-    The earliest order value per id is a pre-aggregated minimum, so an id that
-    fills a third of the table costs one row per task, not one task.  Exactly one
-    row of an id stays: rows tied on ``order`` are told apart by a hash of all
-    their values, and of rows equal in every column any one stays.  Null ids are
-    never duplicates and take no part in the join.
+    The earliest order value per id is aggregated, so an id that fills a third of the table
+    costs one row per task and value, not one task.  Exactly one row of an id stays: rows tied
+    on ``order`` are told apart by a hash of all their values, and of rows equal in every
+    column any one stays.  Null ids are never duplicates.  The table is read twice: for the
+    ids with copies, a table of counted size, and for the rows beside it.
     """
     position = F.struct(*[F.col(c) for c in order], F.xxhash64(*_hashable(df)))
-    seen = df.where(among & F.col(ident).isNotNull())
-    first = (
-        seen.groupBy(ident)
-        .agg(F.min(position).alias("_first"), F.count("*").alias("_copies"))
-        .where(F.col("_copies") > 1)
-        .drop("_copies")
+    seen = df.where(among & F.col(ident).isNotNull()).select(ident, position.alias("_first"))
+    each = seen.groupBy(ident, "_first").agg(F.count("*").alias("_tied"))
+    first = settle(
+        each.groupBy(ident).agg(F.min("_first").alias("_first"), F.min_by("_tied", "_first").alias("_tied"), F.sum("_tied").alias("_copies"))
+        .where(F.col("_copies") > 1).drop("_copies")
     )
-    # Only ids with copies have a row in ``first``.
-    named, none = df.where(F.col(ident).isNotNull()), df.where(F.col(ident).isNull())
-    joined = named.join(first, ident, "left").withColumn("_among", among)
-    alone = joined.where(F.col("_first").isNull() | ~F.col("_among")).withColumn("_duplicate", F.lit(False))
-    shared = joined.where(F.col("_first").isNotNull() & F.col("_among"))
-    # Only rows equal to the first one in every column meet; the others keep their spread.
-    later = position > F.col("_first")
-    place = Window.partitionBy(ident, F.when(later, F.pmod(F.xxhash64(position), F.lit(4096)) + 1).otherwise(0)).orderBy(F.lit(1))
-    judged = shared.withColumn("_duplicate", later | (F.row_number().over(place) > 1))
+    joined = attach(df, first, [ident]).withColumn("_among", among)
+    found = F.col("_among") & F.col("_first").isNotNull()
+    joined = joined.withColumn("_duplicate", F.coalesce(found & (position > F.col("_first")), F.lit(False)))
     columns = [*df.columns, "_duplicate"]
-    return (
-        alone.select(columns).unionByName(judged.select(columns))
-        .unionByName(none.withColumn("_duplicate", F.lit(False)).select(columns))
-    )
+    if first.where(F.col("_tied") > 1).isEmpty():
+        return joined.select(columns)
+    # Rows equal to the first one in every column: one of them stays, the others are its copies.
+    equal = F.coalesce(found & (position == F.col("_first")) & (F.col("_tied") > 1), F.lit(False))
+    copies = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_tied")), lambda i: i > 1))
+    same = joined.where(equal).dropDuplicates([ident]).withColumn("_duplicate", copies)
+    return joined.where(~equal).select(columns).unionByName(same.select(columns))
 
 
 def plausible_ppsf(df: DataFrame, columns: tuple[str, ...] = ("list_ppsf", "close_ppsf")) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tidemark.errors import IdentificationError, SchemaError
 from tidemark.functions.common import col
+from tidemark.operators.absorb import AbsorbedFit, absorbed_least_squares
 from tidemark.operators.design import (
     Design, available, learn_design, learn_filled_design, linear_predictor,
 )
@@ -167,10 +168,24 @@ class CloseSurface:
     fit: Fit
     bound_sd: float
     floor_premium: dict[str, float]
+    absorbed: AbsorbedFit | None = None
 
     def columns(self, present: list[str] | None = None) -> dict[str, Column]:
         """Predicted price per square foot and the band of ``bound_sd`` deviations."""
-        predicted = F.exp(linear_predictor(self.fit.design, self.fit.lookup, present))
+        if self.absorbed is not None:
+            raise SchemaError(f"levels of {self.absorbed.factors} were absorbed; use with_columns")
+        return self._band(linear_predictor(self.fit.design, self.fit.lookup, present))
+
+    def with_columns(self, df: DataFrame, present: list[str] | None = None) -> DataFrame:
+        """Add prediction and band; null for a level of an absorbed factor that the fit has not seen."""
+        if self.absorbed is None:
+            return df.withColumns(self.columns(present))
+        slopes = linear_predictor(self.fit.design, self.fit.lookup, present)
+        scored = self.absorbed.with_prediction(df, slopes, "__log")
+        return scored.withColumns(self._band(F.col("__log"))).drop("__log")
+
+    def _band(self, log_price: Column) -> dict[str, Column]:
+        predicted = F.exp(log_price)
         spread = self.bound_sd * self.fit.stats["residual_sd"]
         return {
             "predicted_ppsf": predicted,
@@ -193,22 +208,30 @@ def fit_close(
     bound_sd: float = BOUND_SD,
     min_sales: int = MIN_SALES,
     reference_floor: float = REFERENCE_FLOOR,
+    absorb: list[str] = [],
 ) -> CloseSurface:
-    """Fit log close price per square foot over closed sales."""
+    """Fit log close price per square foot over closed sales.
+
+    The levels of the ``absorb`` columns (buildings, say), however many, have effects of their own
+    without a column each; sales without such a level are left out.
+    """
     if reference_floor < 0:
         raise SchemaError("reference_floor must not be negative")
     sold = df.where(col(price) > 0)
     n = sold.count()
     if n < min_sales:
         raise SchemaError(f"the close-price surface needs {min_sales} sales, found {n}")
-    present = available(sold, covariates)
+    present = [c for c in available(sold, covariates) if c not in absorb]
     sold = sold.withColumn("_y", F.log(col(price)))
+    for name in absorb:
+        sold = sold.where(F.col(name).isNotNull())
     design, rows = learn_design(
-        sold, present, [c for c in categorical if c in present], extra=["_y"]
+        sold, present, [c for c in categorical if c in present], extra=["_y", *absorb]
     )
-    fit = least_squares_fit("close_hedonic", rows, design, "_y")
+    absorbed = absorbed_least_squares("close_hedonic", rows, design.names, "_y", absorb, design) if absorb else None
+    fit = absorbed.fit if absorbed else least_squares_fit("close_hedonic", rows, design, "_y")
     skipped = [c for c in covariates if c not in present]
-    fit.notes = [*design.notes] + ([f"absent or empty covariates: {skipped}"] if skipped else [])
+    fit.notes = [*design.notes, *(fit.notes if absorbed else [])] + ([f"absent or empty covariates: {skipped}"] if skipped else [])
     alpha = fit.coefficient("log_floor")
     if alpha is None:
         raise IdentificationError("no log_floor term, so the floor premium is not identified")
@@ -218,4 +241,4 @@ def fit_close(
         "alpha_std_error": alpha["std_error"], "gamma_std_error": alpha["std_error"] * shift,
         "reference_floor": reference_floor,
     }
-    return CloseSurface(fit, bound_sd, curve)
+    return CloseSurface(fit, bound_sd, curve, absorbed)

@@ -329,3 +329,19 @@ QUERIES["aud_extremes_all"] = aud_extremes_all
 SQL["aud_extremes_all"] = WITH_SPELLS + """, r AS (SELECT l_orderkey * 10 + l_linenumber AS line, l_extendedprice AS v, CAST(row_number() OVER (ORDER BY l_extendedprice, l_orderkey * 10 + l_linenumber) AS INT) AS lo,
   CAST(row_number() OVER (ORDER BY l_extendedprice DESC, l_orderkey * 10 + l_linenumber) AS INT) AS hi FROM spells)
 SELECT 'low' AS side, lo AS rank, line AS ident, v AS value FROM r WHERE lo <= 5 UNION ALL SELECT 'high', hi, line, v FROM r WHERE hi <= 5"""
+
+
+def reg_close_absorbed(spark, folder):
+    """The close-price surface within suppliers: slope, floor premium and what each supplier's pieces should bring."""
+    rows = lines(spark, folder).withColumns({"close_ppsf": F.col("ppsf"), "log_floor": F.log1p("p_size")})
+    made = hedonic.fit_close(rows, covariates=["log_floor"], categorical=[], absorb=["l_suppkey"])
+    sums = made.with_columns(rows).groupBy("l_suppkey").agg(*[F.round(F.avg(F.log(c)), 7).alias(c) for c in ("predicted_ppsf", "p_floor_ppsf", "p_ceiling_ppsf")])
+    return sums.withColumns({k: F.lit(round(made.floor_premium[k], 8)) for k in ("alpha", "alpha_std_error")})
+
+
+QUERIES["reg_close_absorbed"] = reg_close_absorbed
+SQL["reg_close_absorbed"] = WITH_LINES + """, d AS (SELECT l_suppkey, ln(p_size + 1) AS x, ln(ppsf) AS y FROM lines),
+g AS (SELECT l_suppkey, avg(x) AS mx, avg(y) AS my, count(*) AS n FROM d GROUP BY 1),
+s AS (SELECT sum((x - mx) * (y - my)) / sum((x - mx) * (x - mx)) AS a, sum((x - mx) * (x - mx)) AS xx, sum((y - my) * (y - my)) AS yy, count(*) AS n, count(DISTINCT l_suppkey) AS k FROM d JOIN g USING (l_suppkey)),
+e AS (SELECT a, sqrt((yy - a * a * xx) / (n - 1 - k)) AS sd, sqrt((yy - a * a * xx) / (n - 1 - k) / xx) AS se FROM s)
+SELECT l_suppkey, round(my, 7) AS predicted_ppsf, round(my - 1.5 * sd, 7) AS p_floor_ppsf, round(my + 1.5 * sd, 7) AS p_ceiling_ppsf, round(a, 8) AS alpha, round(se, 8) AS alpha_std_error FROM g, e"""

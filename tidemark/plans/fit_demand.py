@@ -61,16 +61,18 @@ def fit_demand(
     controls: bool = True,
     building_effects: bool = False,
     id_columns: list[str] = [],
+    strata: str | None = None,
 ) -> DemandFit:
     """Fit every model over one feature table.
 
-    A fit on real data has to be asked for with ``calibration_gate``.
+    A fit on real data has to be asked for with ``calibration_gate``.  With ``strata``
+    (buildings, say) the hazard has a baseline per level and the close surface absorbs them.
     """
     if real_data and not calibration_gate:
         raise SchemaError("refused: a fit on real data needs calibration_gate=True")
     frame = features.frame
     covariates = chosen_covariates(features, controls)
-    cox = survival.fit_cox(frame, covariates, CATEGORICAL, building_effects=building_effects)
+    cox = survival.fit_cox(frame, covariates, CATEGORICAL, building_effects=building_effects, strata=strata)
     logit_fit = None
     deciles = None
     try:
@@ -83,7 +85,7 @@ def fit_demand(
         deciles = logit.calibration(scored, "predicted", "observed")
     except (SchemaError, IdentificationError):
         logit_fit = None
-    close = hedonic.fit_close(frame)
+    close = hedonic.fit_close(frame, absorb=[strata] if strata else [])
     residual = features.premium_model is not None
     diagnosis = diagnostics.diagnose(frame, cox.fit, logit_fit and logit_fit.fit, deciles, residual)
     return DemandFit(cox, logit_fit, close, diagnosis, fit_time_comps(frame), features)

@@ -30,12 +30,21 @@ def build_session(cores: str = "*", app: str = "tidemark", **conf: str) -> Spark
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Settled tables go with the frames that read them.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
 
 
+def own_folder() -> str:
+    """A temporary folder for a local session, removed at its end."""
+    folder = tempfile.mkdtemp(prefix="tidemark-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
@@ -50,8 +59,7 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not folder:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError(f"set {CHECKPOINT_KEY} to a folder that all executors share")
-        folder = tempfile.mkdtemp(prefix="tidemark-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        folder = own_folder()
     context.setCheckpointDir(folder)
     return context.getCheckpointDir()
 
