@@ -36,6 +36,14 @@ def shuffle_width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+TASK_ROWS = 20_000
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for a table of small rows that are known to be about this many."""
+    return max(1, -(-rows // TASK_ROWS))
+
+
 def even_labels(spark: SparkSession, buckets: int) -> np.ndarray:
     """Numbers for buckets that a hash shuffle spreads evenly over the session's partitions.
 

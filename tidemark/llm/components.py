@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.llm.common import tasks_for
 from tidemark.session import settle
 
 
@@ -11,7 +12,7 @@ def _both(edges: DataFrame) -> DataFrame:
     return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, tasks: int) -> DataFrame:
     """Hang the larger (or smaller) neighbours of every node on its least neighbour."""
     near = _both(edges)
     least = near.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -20,7 +21,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     hung = joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
     if not large:
         hung = hung.union(least.select("u", F.col("m").alias("v")))
-    return hung.filter(F.col("u") != F.col("v")).distinct()
+    return hung.filter(F.col("u") != F.col("v")).distinct().coalesce(tasks)
 
 
 def components(edges: DataFrame, node: str = "node", component: str = "component") -> DataFrame:
@@ -41,7 +42,9 @@ def components(edges: DataFrame, node: str = "node", component: str = "component
         if mark[0] == 0 or tuple(mark) == last:
             break
         last = tuple(mark)
-        current = settle(_star(_star(current, large=True), large=False))
+        # A round has no more edges than about the one before, so few edges are few tasks.
+        tasks = tasks_for(mark[0])
+        current = settle(_star(_star(current.coalesce(tasks), True, tasks), False, tasks))
     return (
         current.select(F.col("u").alias(node), F.col("v").alias(component))
         .union(current.select(F.col("v"), F.col("v")).distinct())

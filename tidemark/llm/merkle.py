@@ -15,14 +15,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidemark.llm.common import shuffle_width
+from tidemark.llm.common import shuffle_width, tasks_for
 from tidemark.session import attach, land, settle
 
 RUN = 16
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 TAMPERED = 5  # crc32 of the id modulo this is 0
 TOP = -1      # number of the tree over the subroots
-TASK_ROWS = 20_000
 NODE = ["tree", "level", "place"]
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -49,11 +48,6 @@ def leaves(df: DataFrame, names: dict[str, str]) -> DataFrame:
     )
 
 
-def tasks_for(rows: int) -> int:
-    """Tasks for a table whose rows are known to be this many at most."""
-    return max(1, -(-rows // TASK_ROWS))
-
-
 def numbered(df: DataFrame, keys: list[str], name: str, many: int) -> DataFrame:
     """Add ``name``: the place, 0, 1, …, of each of ``many`` rows in the order of ``keys``, nulls first.
 

@@ -28,7 +28,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidemark.llm.common import U64, chunks, even_labels, mix64, shuffle_width, text_or_empty, utf8
+from tidemark.llm.common import U64, chunks, even_labels, mix64, shuffle_width, tasks_for, text_or_empty, utf8
 from tidemark.llm.components import components
 from tidemark.llm.shingles import Sets, shingle_sets
 from tidemark.session import land, settle
@@ -386,21 +386,24 @@ def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     )
 
 
-def verify(docs: DataFrame, pairs: DataFrame, width: int, at_least: int, per: int) -> DataFrame:
-    """Of the pairs (pivot, doc), those whose shingle sets are similar enough, as (u, v)."""
+def verify(docs: DataFrame, pairs: DataFrame, width: int, at_least: int, per: int, tasks: int) -> DataFrame:
+    """Of the pairs (pivot, doc), those whose shingle sets are similar enough, as (u, v).
+
+    ``tasks`` is how many the seats, rows of a few numbers, are written by.
+    """
     degree = pairs.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     members = pairs.join(degree, "pivot").select(
         "pivot", F.pmod(F.xxhash64("doc"), F.ceil(F.col("n") / STAR)).cast("int").alias("part"), F.lit(1).alias("role"), "doc"
     )
     heads = members.select("pivot", "part", F.lit(0).alias("role"), F.col("pivot").alias("doc")).distinct()
-    seats = settle(members.union(heads))
+    seats = settle(members.union(heads).coalesce(tasks))
     texts = _texts_of(docs, seats.select("doc").distinct())
     rows = seats.join(texts, seats["doc"] == texts["doc_id"]).select("pivot", "part", "role", "doc", "text")
     rows = rows.repartition("pivot", "part").sortWithinPartitions("pivot", "part", "role", "doc")
     return rows.mapInArrow(_verify(width, at_least, per), "u long, v long")
 
 
-def open_seats(edges: DataFrame, fresh: DataFrame, joined: DataFrame) -> DataFrame:
+def open_seats(edges: DataFrame, fresh: DataFrame, joined: DataFrame, tasks: int) -> DataFrame:
     """A pivot and what met it are a group; the members of groups that lie in several components.
 
     ``rest`` holds for members outside the group's largest component.  Only counts per group and
@@ -410,10 +413,10 @@ def open_seats(edges: DataFrame, fresh: DataFrame, joined: DataFrame) -> DataFra
         joined.withColumnRenamed("node", "doc"), "doc", "left"
     ).withColumn("component", F.coalesce("component", "doc"))
     members = edges.select(F.col("gid"), "doc").union(edges.select("gid", "gid")).distinct()
-    seats = settle(members.join(nodes, "doc").select("gid", "doc", "n", "component"))
+    seats = settle(members.join(nodes, "doc").select("gid", "doc", "n", "component").coalesce(4 * tasks))
     parts = seats.groupBy("gid", "component").agg(F.count(F.lit(1)).alias("many"))
     groups = parts.groupBy("gid").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", F.struct("many", -F.col("component"))).alias("largest"))
-    return settle(seats.join(groups.filter("parts > 1").select("gid", "largest"), "gid").withColumn("rest", F.col("component") != F.col("largest")).drop("largest"))
+    return settle(seats.join(groups.filter("parts > 1").select("gid", "largest"), "gid").withColumn("rest", F.col("component") != F.col("largest")).drop("largest").coalesce(tasks))
 
 
 def few_heads(seats: DataFrame) -> DataFrame:
@@ -483,7 +486,7 @@ def apart(seats: DataFrame, fresh: DataFrame, at_least: int, per: int) -> DataFr
     return rows.mapInArrow(_hold(at_least, per), "pivot long, doc long").distinct()
 
 
-def all_links(docs: DataFrame, edges: DataFrame, fresh: DataFrame, width: int, at_least: int, per: int) -> DataFrame:
+def all_links(docs: DataFrame, edges: DataFrame, fresh: DataFrame, width: int, at_least: int, per: int, tasks: int) -> DataFrame:
     """Every link (u, v) of two sets in ``fresh``.
 
     Linked sets share a signature, so both are in the group of its pivot: all members of a group
@@ -492,7 +495,7 @@ def all_links(docs: DataFrame, edges: DataFrame, fresh: DataFrame, width: int, a
     members = edges.select("gid", "doc").union(edges.select("gid", "gid")).distinct()
     own = members.join(fresh.select(F.col("doc_id").alias("doc"), F.col("n_shingles").alias("n")), "doc")
     seats = settle(own.select("gid", "doc", "n", F.col("doc").alias("component"), F.lit(True).alias("rest")))
-    return verify(docs, settle(apart(seats, fresh, at_least, per)), width, at_least, per).distinct()
+    return verify(docs, settle(apart(seats, fresh, at_least, per)), width, at_least, per, tasks).distinct()
 
 
 def link_counts(sizes: DataFrame, links: DataFrame) -> DataFrame:
@@ -535,38 +538,40 @@ def ngram_join(
         "ngram-meetings",
     )
     known = sketch.filter("pivot is null").withColumnRenamed("doc", "doc_id")
+    # Tables of small rows take tasks by the number of documents, not by the width of the shuffle.
+    few = tasks_for(known.count())
     # A repeated id keeps one row.  Equal sets are known by size and mark, in whatever task they
     # were met; the smallest document stands for them all.
     first = known.filter("n_shingles > 0 and same_as = doc_id").groupBy("doc_id").agg(
         F.max("n_shingles").alias("n_shingles"), F.max_by("mark", "n_shingles").alias("mark"), F.max_by("sketch", "n_shingles").alias("sketch")
     )
     reps = known.filter("n_shingles > 0").groupBy("n_shingles", "mark").agg(F.min("doc_id").alias("rep"))
-    own = settle(first.join(reps, ["n_shingles", "mark"]).select("doc_id", "n_shingles", "sketch", "rep"))
+    own = settle(first.join(reps, ["n_shingles", "mark"]).select("doc_id", "n_shingles", "sketch", "rep").coalesce(few))
     fresh = own.groupBy("rep").agg(F.max("n_shingles").alias("n_shingles"), F.max_by("sketch", "n_shingles").alias("sketch")).withColumn("doc_id", F.col("rep"))
     sizes = known.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("same_as").alias("__first")).join(
         own.select(F.col("doc_id").alias("__first"), "rep"), "__first", "left"
     ).select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("same_as"))
-    met = settle(judged(sketch.filter("pivot is not null").select("pivot", "doc").distinct(), own, at_least, per).distinct())
+    met = settle(judged(sketch.filter("pivot is not null").select("pivot", "doc").distinct(), own, at_least, per).distinct().coalesce(4 * few))
     # Sets that share a signature have its pivot's set in common: that is their group.
     edges = met.select(F.col("pivot").alias("gid"), "doc")
-    links = settle(verify(docs, met.filter("open").select("pivot", "doc"), width, at_least, per).distinct())
+    links = settle(verify(docs, met.filter("open").select("pivot", "doc"), width, at_least, per, few).distinct().coalesce(few))
     # A few more pivots join most of what belongs together; then the rest is held apart.
-    seats = open_seats(edges, fresh, components(links))
+    seats = open_seats(edges, fresh, components(links), few)
     heads = few_heads(seats)
     alike = (F.col("n") * per >= F.col("m") * at_least) & (F.col("m") * per >= F.col("n") * at_least)
     pairs = seats.join(heads, "gid").filter((F.col("c") != F.col("component")) & alike).select(F.col("head").alias("pivot"), "doc").distinct()
     pairs = judged(pairs, fresh, at_least, per).filter("open").select("pivot", "doc").distinct()
-    links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
-    seats = open_seats(seats.select("gid", "doc"), fresh, components(links))
-    pairs = settle(apart(seats, fresh, at_least, per))
-    links = settle(links.union(verify(docs, pairs, width, at_least, per)).distinct())
+    links = settle(links.union(verify(docs, pairs, width, at_least, per, few)).distinct().coalesce(few))
+    seats = open_seats(seats.select("gid", "doc"), fresh, components(links), few)
+    pairs = settle(apart(seats, fresh, at_least, per).coalesce(few))
+    links = settle(links.union(verify(docs, pairs, width, at_least, per, few)).distinct().coalesce(few))
     joined = components(links)
     found = sizes.join(joined, sizes["same_as"] == joined["node"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "same_as").alias("component_id")
     )
     if not with_links:
         return found
-    counts = link_counts(sizes, settle(all_links(docs, edges, fresh, width, at_least, per)))
+    counts = link_counts(sizes, settle(all_links(docs, edges, fresh, width, at_least, per, few)))
     return found.join(counts, found["doc_id"] == counts["u"], "left").select(
         "doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")
     )
