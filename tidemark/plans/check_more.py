@@ -261,7 +261,8 @@ def reg_close_surface(spark, folder):
     rows = lines(spark, folder).withColumns({"close_ppsf": F.col("ppsf"), "log_floor": F.log1p("p_size")})
     made = hedonic.fit_close(rows, covariates=["log_floor"], categorical=[])
     scored = rows.withColumns(made.columns()).withColumn("premium", made.floor_log_premium("p_size"))
-    sums = scored.groupBy("p_size").agg(*[F.round(F.avg(c), 6).alias(c) for c in ("predicted_ppsf", "p_floor_ppsf", "p_ceiling_ppsf", "premium")])
+    # Adding zero makes a negative zero a plain one.
+    sums = scored.groupBy("p_size").agg(*[(F.round(F.avg(c), 6) + F.lit(0.0)).alias(c) for c in ("predicted_ppsf", "p_floor_ppsf", "p_ceiling_ppsf", "premium")])
     return sums.withColumns({k: F.lit(round(made.floor_premium[k], 8)) for k in ("alpha", "gamma", "alpha_std_error", "gamma_std_error")})
 
 
@@ -269,7 +270,7 @@ QUERIES["reg_close_surface"] = reg_close_surface
 SQL["reg_close_surface"] = WITH_LINES + """, f AS (SELECT regr_slope(ln(ppsf), ln(p_size + 1)) AS a, regr_intercept(ln(ppsf), ln(p_size + 1)) AS c, count(*) AS n, var_pop(ln(p_size + 1)) AS vx, var_pop(ln(ppsf)) AS vy FROM lines),
 e AS (SELECT *, sqrt((vy - a * a * vx) * n / (n - 2)) AS sd, sqrt((vy - a * a * vx) / (n - 2) / vx) AS se FROM f)
 SELECT p_size, round(exp(c + a * ln(p_size + 1)), 6) AS predicted_ppsf, round(exp(c + a * ln(p_size + 1) - 1.5 * sd), 6) AS p_floor_ppsf, round(exp(c + a * ln(p_size + 1) + 1.5 * sd), 6) AS p_ceiling_ppsf,
-  round(a * (ln(p_size + 1) - ln(2)), 6) AS premium, round(a, 8) AS alpha, round(-a * ln(2), 8) AS gamma, round(se, 8) AS alpha_std_error, round(se * ln(2), 8) AS gamma_std_error
+  round(a * (ln(p_size + 1) - ln(2)), 6) + CAST(0 AS DOUBLE) AS premium, round(a, 8) AS alpha, round(-a * ln(2), 8) AS gamma, round(se, 8) AS alpha_std_error, round(se * ln(2), 8) AS gamma_std_error
 FROM (SELECT DISTINCT p_size FROM lines), e"""
 
 
