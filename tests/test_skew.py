@@ -106,3 +106,19 @@ def test_runs_across_pieces(spark):
     frame = spark.createDataFrame(rows, "file string, piece int, i int, v string").repartition(3)
     got = sorted((r["run"], r["value"], r["rows"]) for r in sampling.runs(frame, ["file"], "piece", ["i"], "v").collect())
     assert [(v, n) for _, v, n in got] == [("a", 3), ("b", 2), ("a", 4), ("c", 3), ("a", 1)]
+
+
+def test_extreme_rows_over_several_batches(spark):
+    # One task reads more rows than one batch holds: kept rows meet the next batch.
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"k": rng.choice(["a", "b"], 25_000), "v": rng.integers(0, 900, 25_000).astype(float), "i": np.arange(25_000), "more": rng.normal(size=25_000)})
+    frame = spark.createDataFrame(pdf).coalesce(1)
+    got = {(r["k"], r["side"], r["rank"]): (r["ident"], r["value"], r["more"]) for r in audit.extreme_rows(frame, ["k"], "v", "i", 4, ["more"]).collect()}
+    wanted = {}
+    for k, group in pdf.groupby("k"):
+        for side, up in (("low", True), ("high", False)):
+            ends = group.sort_values(["v", "i"], ascending=[up, True]).head(4)
+            wanted |= {(k, side, n): (r.i, r.v, r.more) for n, r in enumerate(ends.itertuples(), 1)}
+    assert got == wanted
+    whole = audit.extreme_rows(frame, [], "v", "i", 2).orderBy("side", "rank").collect()
+    assert [r["ident"] for r in whole] == [*pdf.sort_values(["v", "i"], ascending=[False, True])["i"][:2], *pdf.sort_values(["v", "i"])["i"][:2]]

@@ -358,7 +358,9 @@ def _ends(k: int):
         group = pd.MultiIndex.from_arrays([ordered["__g"].to_pandas(), ordered["__side"].to_pandas()])
         rank = pd.Series(np.ones(len(ordered), int)).groupby([group.get_level_values(0), group.get_level_values(1)]).cumsum().to_numpy()
         kept = ordered.filter(pa.array(rank <= k))
-        return kept.set_column(kept.schema.get_field_index("rank"), "rank", pa.array(rank[rank <= k], pa.int32()))
+        # The batches' own field, so that kept rows and the next batch have one schema.
+        at = kept.schema.get_field_index("rank")
+        return kept.set_column(at, kept.schema.field(at), pa.array(rank[rank <= k], pa.int32()))
 
     def run(batches):
         held = None
