@@ -24,7 +24,7 @@ def _frame(spark, folder):
 
 def _typed(names):
     def run(spark, folder):
-        mapped, _ = normalize.map_columns(S.raw_export(spark, folder), S.KEEP)
+        mapped, _ = normalize.map_columns(S.raw_export(spark, folder, whole=False), S.KEEP)
         return normalize.coerce_types(mapped).select(*ROW, *names)
 
     return run
@@ -105,7 +105,7 @@ SQL["nrm_unit_floor"] = WITH + (
 
 
 def nrm_parse_floor(spark, folder):
-    mapped, _ = normalize.map_columns(S.raw_export(spark, folder), S.KEEP)
+    mapped, _ = normalize.map_columns(S.raw_export(spark, folder, whole=False), S.KEEP)
     typed = normalize.coerce_types(mapped)
     parsed = floors.parse_floor(typed, "unit_number", "total_stories", "unit_floor")
     return parsed.select(*ROW, "floor", "floor_source", "is_penthouse", "floor_rejected")
