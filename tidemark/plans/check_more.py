@@ -11,6 +11,7 @@ from tidemark.plans import stand_ins as S
 from tidemark.plans.check_features import LINES, lines
 from tidemark.plans.check_models import ONE_COX, WITH_SPELLS, spells
 from tidemark.plans.check_sources import _orders, _place
+from tidemark.session import land
 from tidemark.sources import exports, inventory, reports, settings
 
 QUERIES = {}
@@ -276,7 +277,7 @@ FROM (SELECT DISTINCT p_size FROM lines), e"""
 
 def reg_probability(spark, folder):
     """Probabilities of a sale by day 60 under a fitted hazard, averaged per brand, and the baseline between days."""
-    rows = spells(spark, folder)
+    rows = land(spells(spark, folder).select("p_brand", "rel_price_premium", "duration_days", "event_sold"), "spells")
     fit = survival.fit_cox(rows, ["rel_price_premium"], [], with_concordance=False)
     found = rows.withColumn("p", fit.probability(60.5)).groupBy("p_brand").agg(F.round(F.avg("p"), 8).alias("probability"), F.round(F.max("p"), 8).alias("most"))
     return found.withColumn("base", F.lit(round(float(fit.survival_at(60.5)[0]), 8)))
