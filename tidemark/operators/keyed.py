@@ -22,6 +22,7 @@ from tidemark.operators.fits import Fit
 from tidemark.operators.gram import FAN_IN, MAX_COLUMNS, Gram
 from tidemark.operators.hazard import Passes, Recipe, lay_out, maximise
 from tidemark.operators.survival import DURATION, EVENT, PRICE
+from tidemark.session import land
 
 MAX_KEYS = 200  # fits of one run; their designs are on the driver
 
@@ -99,10 +100,12 @@ def fit_cox_by(
     """
     flag = col(event).cast("double")
     df = df.where(F.col(key).isNotNull())
-    usable_rows = df.where((col(duration) > 0) & flag.isin(0.0, 1.0))
     absent = [c for c in covariates if c not in df.columns]
     if absent:
         raise SchemaError(f"design columns absent from the frame: {absent}")
+    # The rows are read several times; they are made once, with the columns the fits need.
+    needed = [F.col(f"`{c}`") for c in dict.fromkeys([key, *covariates, duration, event])]
+    usable_rows = land(df.where((col(duration) > 0) & flag.isin(0.0, 1.0)).select(*needed), "fits")
     categories = sorted(c for c in categorical if c in covariates)
     numeric = [c for c in covariates if c not in categories]
     usable = {c: F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in numeric}
@@ -214,14 +217,17 @@ def fit_cells(cells: list[Cell], covariates: list[str], categorical: list[str] =
     duration, event = names.get("duration", DURATION), names.get("event", EVENT)
     wanted = [c for c in covariates if c != PRICE]
     stacked = None
+    # Cells of one frame are made in one reading of it.
+    by_frame: dict[int, list[Cell]] = {}
     for cell in cells:
-        if cell.variable not in cell.frame.columns:
-            continue
-        part = cell.frame.select(
-            F.lit(cell.label).alias("__cell"), F.col(duration).cast("double").alias(duration), F.col(event).cast("double").alias(event),
-            F.col(cell.variable).cast("double").alias(PRICE),
-            *[F.col(c).cast("string" if c in categorical else "double").alias(c) for c in wanted],
-        )
+        if cell.variable in cell.frame.columns:
+            by_frame.setdefault(id(cell.frame), []).append(cell)
+    for own in by_frame.values():
+        pairs = [F.struct(F.lit(c.label).alias("__cell"), F.col(c.variable).cast("double").alias("__variable")) for c in own]
+        part = own[0].frame.select(
+            F.col(duration).cast("double").alias(duration), F.col(event).cast("double").alias(event),
+            *[F.col(c).cast("string" if c in categorical else "double").alias(c) for c in wanted], F.inline(F.array(*pairs)),
+        ).withColumnRenamed("__variable", PRICE)
         stacked = part if stacked is None else stacked.unionByName(part)
     found = fit_cox_by(stacked, "__cell", [PRICE, *wanted], categorical, duration, event, least=least) if stacked is not None else {}
     return {c.label: found.get(c.label, f"{c.variable} absent" if c.variable not in c.frame.columns else "no usable rows") for c in cells}
