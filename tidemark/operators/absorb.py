@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.errors import IdentificationError, SchemaError
 from tidemark.operators.design import Design
 from tidemark.operators.fits import Fit
-from tidemark.operators.gram import Gram, dependent_columns, gram
+from tidemark.operators.gram import NATIVE_COLUMNS, Gram, dependent_columns, gram
 from tidemark.session import attach, settle
 
 TOLERANCE = 1e-9
@@ -47,6 +47,9 @@ def demean(rows: DataFrame, columns: list[str], factors: list[str], tolerance: f
     """Demean ``columns`` over ``factors``; rows with a null among them must be gone."""
     if not factors:
         raise SchemaError("no factor to absorb")
+    if len(columns) <= NATIVE_COLUMNS:
+        # Three readings of what made the rows would cost more than one copy of few columns.
+        rows = settle(rows.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*factors, *columns])]))
     total = gram(rows, columns)
     deviations = total.deviations
     scale = np.where(deviations > 0, deviations, 1.0)
