@@ -203,6 +203,7 @@ def calibration(
 ) -> DataFrame:
     """``(decile, n, predicted_mean, observed_rate)`` by quantile of the prediction."""
     rows = df.where(F.col(predicted).isNotNull() & F.col(observed).isNotNull())
+    rows = settle(rows.select(*dict.fromkeys([predicted, observed])))
     wanted = {f"q{i}": i / bins for i in range(bins + 1)}
     found = grouped_quantiles(rows, [], predicted, wanted).first()
     edges = bucket_edges(list(found)) if found else []
