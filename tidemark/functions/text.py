@@ -82,9 +82,13 @@ def number(text) -> Column:
 
 def money(value) -> Column:
     """Amounts such as ``$1,200``; parentheses mean negative."""
-    text = F.regexp_replace(strip(value), r"^\(\s*-(.*)\)$", "$1")
+    bare = strip(value)
+    text = F.regexp_replace(bare, r"^\(\s*-(.*)\)$", "$1")
     text = F.regexp_replace(text, r"^\((.*)\)$", "-$1")
-    return number(F.translate(text, "$, ", ""))
+    text = F.when(bare.startswith("("), text).otherwise(bare)
+    for mark in "$, ":
+        text = F.replace(text, F.lit(mark), F.lit(""))
+    return number(text)
 
 
 def boolean(value) -> Column:
@@ -102,20 +106,21 @@ def flag(value) -> Column:
 def area(value) -> Column:
     """Square feet with optional unit words; null outside the plausible range."""
     text = F.regexp_replace(strip(value), r"(?i)sq\.?\s*ft\.?|ft²|sf|sqft", "")
-    size = number(strip(F.translate(text, ",", "")))
+    size = number(strip(F.replace(text, F.lit(","), F.lit(""))))
     return F.when(size.between(*AREA_RANGE), size)
 
 
 def postal_code(value) -> Column:
     """Five digits, left-padded; the extension and a trailing ``.0`` are cut."""
-    text = F.regexp_replace(strip(value), r"^(\d*)\.0$", "$1")
+    bare = strip(value)
+    text = F.when(bare.endswith(".0"), F.regexp_replace(bare, r"^(\d*)\.0$", "$1")).otherwise(bare)
     digits = F.regexp_replace(text, r"\D", "")
     return F.when(digits != "", F.lpad(F.substring(digits, 1, 5), 5, "0"))
 
 
 def real(value) -> Column:
     """A double out of text with thousands commas."""
-    return number(strip(F.translate(col(value), ",", "")))
+    return number(strip(F.replace(col(value), F.lit(","), F.lit(""))))
 
 
 def whole(value) -> Column:

@@ -19,6 +19,7 @@ CONDO_WORDS = ("condo", "condominium", "coop", "cooperative")
 # Believable dollars per square foot, longest spell, outlier band.
 PPSF_RANGE = (100.0, 20_000.0)
 MAX_DURATION = 1095
+PPSF = ("list_ppsf", "close_ppsf")
 OUTLIER_SIGMAS = 3
 OUTLIER_MIN_ROWS = 5
 
@@ -74,7 +75,7 @@ def _hashable(df: DataFrame) -> list[Column]:
     return [F.to_json(F.struct(F.col(f"`{n}`"))) if "map<" in t else F.col(f"`{n}`") for n, t in df.dtypes]
 
 
-def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column) -> DataFrame:
+def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column, whole: DataFrame | None = None) -> DataFrame:
     """Flag ``_duplicate``: rows of ``among`` that share an id with an earlier one.
 
     The earliest order value per id is aggregated, so an id that fills a third of the table
@@ -82,8 +83,11 @@ def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column)
     on ``order`` are told apart by a hash of all their values, and of rows equal in every
     column any one stays.  Null ids are never duplicates.  The table is read twice: for the
     ids with copies, a table of counted size, and for the rows beside it.
+
+    ``df`` may hold fewer columns than the table has; ``whole`` is then the table itself, read
+    only for the rows that tie.
     """
-    position = F.struct(*[F.col(c) for c in order], F.xxhash64(*_hashable(df)))
+    position = F.struct(*[F.col(c) for c in order])
     seen = df.where(among & F.col(ident).isNotNull()).select(ident, position.alias("_first"))
     each = seen.groupBy(ident, "_first").agg(F.count("*").alias("_tied"))
     first = settle(
@@ -94,16 +98,25 @@ def mark_duplicates(df: DataFrame, ident: str, order: list[str], among: Column)
     found = F.col("_among") & F.col("_first").isNotNull()
     joined = joined.withColumn("_duplicate", F.coalesce(found & (position > F.col("_first")), F.lit(False)))
     columns = [*df.columns, "_duplicate"]
-    if first.where(F.col("_tied") > 1).isEmpty():
+    tied = first.where(F.col("_tied") > 1)
+    if tied.isEmpty():
         return joined.select(columns)
+    at_tie = F.coalesce(found & (position == F.col("_first")) & (F.col("_tied") > 1), F.lit(False))
+    whole = df if whole is None else whole
+    ties = attach(whole.where(among), tied.select(ident, "_first"), [ident], "inner").where(position == F.col("_first"))
+    ties = settle(ties.withColumn("_hash", F.xxhash64(*_hashable(whole))))
+    equal = ties.groupBy(ident, "_hash").agg(F.count("*").alias("_equal"))
+    least = equal.groupBy(ident).agg(F.min("_hash").alias("_least"), F.min_by("_equal", "_hash").alias("_equal"))
+    ties = attach(ties, least, [ident])
     # Rows equal to the first one in every column: one of them stays, the others are its copies.
-    equal = F.coalesce(found & (position == F.col("_first")) & (F.col("_tied") > 1), F.lit(False))
-    copies = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_tied")), lambda i: i > 1))
-    same = joined.where(equal).dropDuplicates([ident]).withColumn("_duplicate", copies)
-    return joined.where(~equal).select(columns).unionByName(same.select(columns))
+    is_first = F.col("_hash") == F.col("_least")
+    copies = F.explode(F.transform(F.sequence(F.lit(1).cast("long"), F.col("_equal")), lambda i: i > 1))
+    same = ties.where(is_first).dropDuplicates([ident]).withColumn("_duplicate", copies)
+    later = ties.where(~is_first).withColumn("_duplicate", F.lit(True))
+    return joined.where(~at_tie).select(columns).unionByName(same.select(columns)).unionByName(later.select(columns))
 
 
-def plausible_ppsf(df: DataFrame, columns: tuple[str, ...] = ("list_ppsf", "close_ppsf")) -> DataFrame:
+def plausible_ppsf(df: DataFrame, columns: tuple[str, ...] = PPSF) -> DataFrame:
     """Null prices per square foot outside the believable range and say so."""
     for name in columns:
         value = F.col(name)
@@ -161,13 +174,22 @@ def clean_listings(
     allowed_properties: list[str] = [],
     min_price: float | None = None,
     ident: str = "mls_number",
+    columns: list[str] | None = None,
 ) -> Cleaned:
     """Filter in order, null implausible prices, mark outliers.
 
-    Every reason counts only rows that no earlier reason took.
+    Every reason counts only rows that no earlier reason took.  ``columns`` names the columns
+    of the kept rows that will be read; the filters then run over these and their own inputs
+    alone, and the rows are the same.
     """
-    judged = df.withColumn(REASON, static_reason(excluded_sales, allowed_properties, min_price))
-    judged = mark_duplicates(judged, ident, order, F.col(REASON).isNull())
+    df = df.withColumn(REASON, static_reason(excluded_sales, allowed_properties, min_price))
+    rows, prices = df, list(PPSF)
+    if columns is not None:
+        prices = [c for c in PPSF if c == "list_ppsf" or {c, f"{c}_source"} & set(columns)]
+        wanted = [*order, ident, *columns, *prices, "duration_days", "submarket", "list_date", REASON]
+        # Written once: read for the ids with copies and for the rows beside them.
+        rows = land(df.select(*[F.col(f"`{c}`") for c in dict.fromkeys(wanted) if c in df.columns]), "typed")
+    judged = mark_duplicates(rows, ident, order, F.col(REASON).isNull(), df)
     judged = judged.withColumn(
         REASON,
         F.coalesce(
@@ -178,7 +200,7 @@ def clean_listings(
     ).drop("_duplicate")
     # Written once: the kept rows and the waterfall are both read from it.
     judged = land(judged, "judged")
-    frame = plausible_ppsf(judged.where(F.col(REASON).isNull()).drop(REASON))
+    frame = plausible_ppsf(judged.where(F.col(REASON).isNull()).drop(REASON), tuple(prices))
     frame = frame.withColumn("_list_quarter", quarter_key("list_date"))
     frame = flag_outliers(frame, "list_ppsf", ["submarket", "_list_quarter"], "list_ppsf_outlier")
     return Cleaned(frame.drop("_list_quarter"), judged, waterfall(judged))

@@ -63,9 +63,9 @@ def export_snapshot(
     df: DataFrame,
     columns: tuple[str, ...] = ("status_change_date", "close_date", "pending_date", "list_date"),
 ):
-    """Day of the export: the maximum of the first column that has a value."""
-    row = df.agg(*[F.max(c).cast("date").alias(c) for c in columns]).first()
-    return next((row[c] for c in columns if row[c] is not None), None)
+    """Day of the export: the maximum of the first column that has a value; later ones are not read."""
+    days = (df.agg(F.max(c).cast("date")).first()[0] for c in columns)
+    return next((day for day in days if day is not None), None)
 
 
 def with_list_date(df: DataFrame, snapshot, quarter: str | None = None) -> DataFrame:
@@ -84,10 +84,11 @@ def with_list_date(df: DataFrame, snapshot, quarter: str | None = None) -> DataF
     derived = F.when(
         F.col("list_date").isNull() & (dom >= 0), dates.minus_days(anchor, dom)
     )
+    df = df.withColumn("_derived", derived)
     outside = F.lit(False)
     if quarter is not None:
-        outside = F.coalesce(dates.quarter_key(derived) != F.col(quarter), F.lit(False))
-    df = df.withColumns({"_derived": derived, "_list_date_rejected": derived.isNotNull() & outside})
+        outside = F.coalesce(dates.quarter_key("_derived") != F.col(quarter), F.lit(False))
+    df = df.withColumn("_list_date_rejected", F.col("_derived").isNotNull() & outside)
     kept = F.when(~F.col("_list_date_rejected"), F.col("_derived"))
     return df.withColumns(
         {

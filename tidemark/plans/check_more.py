@@ -92,7 +92,7 @@ SQL["nrm_missing"] = WITH_LINES + "SELECT p_brand, count(*) FILTER (l_linenumber
 
 def cln_excluded(spark, folder):
     """The waterfall when cancelled listings are left out."""
-    return S.cleaned(spark, folder, "excluded").waterfall
+    return S.cleaned(spark, folder, "excluded", columns=()).waterfall
 
 
 QUERIES["cln_excluded"] = cln_excluded

@@ -19,7 +19,7 @@ SQL = {}
 
 
 def _frame(spark, folder):
-    return S.normalized(spark, folder).frame
+    return S.normalized(spark, folder, whole=False).frame
 
 
 def _typed(names):
@@ -209,7 +209,7 @@ SQL["nrm_unmapped_map"] = WITH + (
 
 
 def nrm_snapshot(spark, folder):
-    frame = S.normalized(spark, folder)
+    frame = S.normalized(spark, folder, whole=False)
     return frame.frame.groupBy(F.lit(frame.snapshot).alias("snapshot")).agg(
         F.count(F.when(F.col("list_date") > F.lit(frame.snapshot), 1)).alias("listed_after")
     )
@@ -222,7 +222,7 @@ SQL["nrm_snapshot"] = WITH + (
 
 
 def nrm_cancelled_choices(spark, folder):
-    frame = _frame(spark, folder).select("status", "pending_date", "duration_days")
+    frame = S.listings(spark, folder, "status", "pending_date")
     coded = None
     for choice in ("censored", "excluded", "event"):
         part = frame.withColumns(normalize.sale_event(choice))
@@ -260,7 +260,7 @@ SQL["src_file_quarter"] = """SELECT CASE WHEN o_custkey % 7 <> 0 THEN concat(yea
 
 
 def cln_waterfall(spark, folder):
-    return S.cleaned(spark, folder).waterfall
+    return S.cleaned(spark, folder, columns=()).waterfall
 
 
 QUERIES["cln_waterfall"] = cln_waterfall
@@ -270,10 +270,9 @@ SQL["cln_waterfall"] = WITH_CLEAN + (
 
 
 def cln_rows(spark, folder):
-    return S.cleaned(spark, folder).frame.select(
-        *ROW, "mls_number", "list_ppsf_source", "close_ppsf_source", "list_ppsf_outlier",
-        F.round("list_ppsf", 6).alias("list_ppsf"),
-    )
+    columns = (*ROW, "mls_number", "list_ppsf_source", "close_ppsf_source", "list_ppsf_outlier")
+    rows = S.cleaned(spark, folder, columns=(*columns, "list_ppsf")).frame
+    return rows.select(*columns, F.round("list_ppsf", 6).alias("list_ppsf"))
 
 
 QUERIES["cln_rows"] = cln_rows
@@ -284,7 +283,8 @@ SQL["cln_rows"] = WITH_CLEAN + (
 
 
 def cln_counts(spark, folder):
-    return clean.clean_counts(S.cleaned(spark, folder).frame)
+    columns = ("list_ppsf_outlier", "list_ppsf_source", "close_ppsf_source")
+    return clean.clean_counts(S.cleaned(spark, folder, columns=columns).frame)
 
 
 QUERIES["cln_counts"] = cln_counts

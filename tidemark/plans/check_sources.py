@@ -86,7 +86,7 @@ SQL["snk_report"] = "SELECT o_orderpriority, count(*) AS orders, CAST(max(o_cust
 
 
 def _ingest(spark, folder):
-    normal, found = S.normalized(spark, folder), S.cleaned(spark, folder)
+    normal, found = S.normalized(spark, folder, whole=False), S.cleaned(spark, folder, written=False)
     return ingest_report.write_ingest(found.frame, _place(spark), normal.headers, found.judged)
 
 
